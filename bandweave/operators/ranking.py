@@ -23,14 +23,19 @@ def _name(i: int) -> str:
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL meets NULL; the right keys are dropped."""
-    if not keys:
-        return left.join(right, F.lit(True), how)
+    if not keys:  # the right side is a single summary row
+        return with_scalars(left, right)
     renamed = right.select(*[F.col(k).alias(_name(i)) for i, k in enumerate(keys)],
                            *[c for c in right.columns if c not in keys])
     on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[_name(i)]) for i, k in enumerate(keys)])
     return left.join(renamed, on, how).drop(*[_name(i) for i in range(len(keys))])
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row summary as scalar subqueries."""
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:
     """First ``n`` rows of each group, exact.
 

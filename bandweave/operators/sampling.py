@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import hash_text, hash_unit
 from ..session import collect_bounded
-from .ranking import exact_percentiles, first_per_group, null_safe_join, numbered, ranked
+from .ranking import exact_percentiles, first_per_group, null_safe_join, numbered, ranked, with_scalars
 
 
 def cap_per_group(df: DataFrame, keys: list[str], row_key: list[str], n: int | None, seed: int) -> DataFrame:
@@ -73,7 +73,7 @@ def split_tiles(tiles: DataFrame, key: str, seed: int, train: float = 0.7, val:
     rows = ranked(named, [], ["__h", key], "__rn")
     total = rows.agg(F.count(F.lit(1)).alias("__n"))
     at = F.col("__rn") - 1
-    share = rows.join(total, F.lit(True))
+    share = with_scalars(rows, total)
     return share.select(key, F.when(at < F.floor(F.col("__n") * train), "train")
                         .when(at < F.floor(F.col("__n") * train) + F.floor(F.col("__n") * val), "val")
                         .otherwise("test").alias("split"))
@@ -90,7 +90,7 @@ def hold_out_polygons(df: DataFrame, keys: list[str], share: float, seed: int) -
     polygons = df.select(*keys).distinct().withColumn("__h", hash_text(seed, *keys))
     rows = ranked(polygons, [], ["__h", *keys], "__rn")
     total = rows.agg(F.greatest(F.lit(1), F.rint(F.count(F.lit(1)) * share)).cast("bigint").alias("__n"))
-    marked = rows.join(total, F.lit(True)).withColumn("split", F.when(F.col("__rn") <= F.col("__n"), "val")
+    marked = with_scalars(rows, total).withColumn("split", F.when(F.col("__rn") <= F.col("__n"), "val")
                                                        .when(F.col("__rn") <= 2 * F.col("__n"), "test").otherwise("train"))
     return null_safe_join(df.drop("split"), marked.select(*keys, "split"), keys)
 
