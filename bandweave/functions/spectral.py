@@ -141,7 +141,8 @@ def bridged(spectrum, wavelengths: list[float], bad: list[tuple[float, float]])
 
     @F.arrow_udf(returnType=DOUBLES)
     def kernel(column: pa.Array) -> pa.Array:
-        y, present = matrix(column)
+        values, present = matrix(column)
+        y = values.copy()
         for i in range(y.shape[0]):
             use = ~off & np.isfinite(y[i])
             if use.sum() >= 2:

@@ -167,10 +167,10 @@ def rings(spark, sf_dir):
 e AS (SELECT polygon_id, tile_id, ax AS x0, ay AS y0, bx AS x1, b_y AS y1 FROM v UNION ALL SELECT polygon_id, tile_id, bx, b_y, cx, cy FROM v UNION ALL SELECT polygon_id, tile_id, cx, cy, ax, ay FROM v),
 hit AS (SELECT e.polygon_id, p.pixel, count(*) AS k FROM e JOIN p ON e.tile_id = p.tile_id AND (e.y0 <= p.pixel_row + 5e-1) <> (e.y1 <= p.pixel_row + 5e-1)
    AND e.x0 + (p.pixel_row + 5e-1 - e.y0) / (e.y1 - e.y0) * (e.x1 - e.x0) > p.pixel_col + 5e-1 GROUP BY e.polygon_id, p.pixel)
-SELECT hit.polygon_id, CAST(count(*) AS BIGINT) AS n_px, round(avg(p.value), 6) AS mean_value FROM hit JOIN p USING (pixel) WHERE k % 2 = 1 GROUP BY hit.polygon_id""")
+SELECT hit.polygon_id, CAST(count(*) AS BIGINT) AS n_px, round(avg(p.value), 4) AS mean_value FROM hit JOIN p USING (pixel) WHERE k % 2 = 1 GROUP BY hit.polygon_id""")
 def point_in_polygon(spark, sf_dir):
     j = J.polygon_pixel_join(rings(spark, sf_dir), derive(spark, sf_dir, GRID))
-    return j.groupBy("polygon_id").agg(F.count(F.lit(1)).alias("n_px"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return j.groupBy("polygon_id").agg(F.count(F.lit(1)).alias("n_px"), F.round(F.avg("value"), 4).alias("mean_value"))
 
 
 BOX_A = "SELECT s_suppkey AS a_id, s_acctbal / 1e2 AS a_x0, s_nationkey * 1e0 AS a_y0, s_acctbal / 1e2 + 3e0 AS a_x1, s_nationkey + 15e-1 AS a_y1 FROM supplier"
