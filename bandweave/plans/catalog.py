@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import curate_plans, evaluate_plans, labels_plans, sampling_plans, spectral_plans  # noqa: F401
+from . import curate_plans, evaluate_plans, grid_plans, labels_plans, sampling_plans, spectral_plans  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
