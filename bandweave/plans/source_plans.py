@@ -15,7 +15,7 @@ from ..sources import scans as S, sinks as W
 from ..streaming import ledger as D
 from .curate_plans import rings
 from .grid_plans import centers, grid, spectrum_grid
-from .labels_plans import DEFECT_SQL, defects
+from .labels_plans import AUDIT_SQL, defects
 from .registry import query
 from .sampling_plans import DEC, GRD, PIX, ROW, ROWS
 from .tables import DECISIONS, GRID, PIXELS, POLYGONS, SPECTRA, cte, derive, load
@@ -324,20 +324,23 @@ def stream_skip_decided(spark, sf_dir):
 @query("stream_first_seen", DEC + "SELECT DISTINCT polygon_uid FROM p")
 def stream_first_seen(spark, sf_dir):
     place = W.scratch(spark, "first")
-    rows = D.first_seen(event_stream(spark, sf_dir), "40 days").select("polygon_uid")
+    rows = D.first_seen(event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "40 days").select("polygon_uid")
     q = rows.writeStream.format("parquet").outputMode("append").option("path", f"{place}/table").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     finished(q)
     return spark.read.parquet(f"{place}/table")
 
 
-@query("stream_audit", f"WITH d AS ({DEFECT_SQL}), b AS (SELECT vec_id, bool_or(isnan(v) OR v = 65535 OR band > 1 AND NOT isnan(v) AND v > 1) OR count(CASE WHEN band > 60 AND v = 0 THEN 1 END) >= 3 AND bool_and(band <= 61 OR v = 0) OR vec_id % 9 = 0 AND count(CASE WHEN band BETWEEN 20 AND 26 AND v = 0 THEN 1 END) >= 5 AS bad FROM d GROUP BY vec_id) SELECT 't' || CAST(vec_id % 8 AS STRING) AS tile_id, CAST(count(*) AS BIGINT) AS n_rows FROM b GROUP BY 1")
+BAD_ROWS = "CASE WHEN zero_tail OR zero_run OR all_zero OR nodata OR nonfinite OR over_phys OR flat THEN 1 END"
+
+
+@query("stream_audit", f"SELECT 't' || CAST(vec_id % 8 AS STRING) AS tile_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count({BAD_ROWS}) AS BIGINT) AS n_bad FROM ({AUDIT_SQL}) q GROUP BY 1")
 def stream_audit(spark, sf_dir):
     place = W.scratch(spark, "audit")
     defects(spark, sf_dir).select("tile_id", "spectrum").repartition(4).write.parquet(f"{place}/in")
     schema = spark.read.parquet(f"{place}/in").schema
     name = "audit_" + place[-12:]
     finished(D.run_table(D.audit_counts(D.read_table(spark, f"{place}/in", schema)), name, f"{place}/checkpoint"))
-    return spark.table(name).drop("n_bad")
+    return spark.table(name)
 
 
 @query("stream_confirmed_upsert", UIDPIX + "SELECT x.polygon_uid, CAST(count(*) AS BIGINT) AS n, sum(CASE WHEN predicted_class = 'lcp' THEN 1e0 ELSE 0e0 END) AS lcp FROM x JOIN (SELECT DISTINCT polygon_uid, predicted_class FROM d WHERE event_type IN ('purchase', 'click')) c ON c.polygon_uid = x.polygon_uid GROUP BY x.polygon_uid")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, rules as R, spectral as S
 from ..operators import aggregates as A, endmembers as E
-from .labels_plans import DEFECT_SQL, defects
+from .labels_plans import AUDIT_SQL, DEFECT_SQL, defects
 from .registry import query
 from .sampling_plans import PIX, h
 from .tables import GRID, PIXELS, SPECTRA, cte, derive, load
@@ -274,10 +274,9 @@ def endmember_library(spark, sf_dir):
     return lib.select("class", F.round(total(F.col("spectrum")), 6).alias("total"))
 
 
-@query("spectrum_defect_rates", None)
+@query("spectrum_defect_rates", f"SELECT 't' || CAST(vec_id % 8 AS STRING) AS tile_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(CASE WHEN zero_tail OR zero_run OR all_zero OR nodata OR nonfinite OR over_phys OR flat THEN 1 END) AS BIGINT) AS n_bad, " + ", ".join(f"CAST(count(CASE WHEN {c} THEN 1 END) AS BIGINT) AS {c}" for c in ("zero_tail", "zero_run", "all_zero", "nodata", "nonfinite", "over_phys", "flat", "blue_edge")) + f" FROM ({AUDIT_SQL}) q GROUP BY 1")
 def spectrum_defect_rates(spark, sf_dir):
-    d = A.audit_summary(defects(spark, sf_dir), "spectrum", ["tile_id"])
-    return d.withColumn("bad_rate", F.col("n_bad") / F.col("n_rows"))
+    return A.audit_summary(defects(spark, sf_dir), "spectrum", ["tile_id"])
 
 
 @query("range_contamination", f"WITH d AS ({DEFECT_SQL}), r AS (SELECT vec_id, bool_or(isnan(v) OR v = 65535) AS bad, bool_or(NOT isnan(v) AND v > 1) AS over1, max(CASE WHEN NOT isnan(v) AND v <> 65535 THEN v END) AS top FROM d GROUP BY vec_id) SELECT 't' || CAST(vec_id % 8 AS STRING) AS tile_id, CAST(count(CASE WHEN NOT bad THEN 1 END) AS BIGINT) AS n_before, CAST(count(CASE WHEN NOT bad AND over1 THEN 1 END) AS BIGINT) AS n_dropped, round(max(CASE WHEN NOT bad THEN top END), 6) AS max_value FROM r GROUP BY 1")
