@@ -268,7 +268,7 @@ def relabel_soft_targets(spark, sf_dir):
 
 @query("parse_number_blobs", """
 SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(64 AS BIGINT) END AS n,
-  CASE WHEN vec_id % 4 = 0 THEN NULL ELSE round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 3) END AS total
+  CASE WHEN vec_id % 4 = 0 THEN NULL ELSE round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 4) END AS total
 FROM embeddings""")
 def parse_number_blobs(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
@@ -276,7 +276,7 @@ def parse_number_blobs(spark, sf_dir):
     text = F.when(F.col("vec_id") % 4 == 0, F.lit("[0.1, 0.2 nonsense]")).otherwise(F.concat(F.lit("["), text, F.lit("]")))
     v = L.parse_numbers(text)
     return e.select("vec_id", F.size(v).cast("bigint").alias("n"),
-                    F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 3).alias("total")).withColumn(
+                    F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total")).withColumn(
         "n", F.when(F.col("total").isNotNull(), F.col("n")))
 
 

@@ -322,10 +322,10 @@ ma AS (SELECT label, vec_id, avg(ang) AS mean_angle FROM pr GROUP BY label, vec_
 """
 
 
-@query("class_medoids", PAIR + "SELECT 'c' || CAST(label AS STRING) AS class, vec_id, CASE WHEN rn = 1 THEN 'medoid' ELSE 'candidate' || CAST(rn AS STRING) END AS kind, round(mean_angle, 7) AS mean_angle FROM rk WHERE rn <= 5")
+@query("class_medoids", PAIR + "SELECT 'c' || CAST(label AS STRING) AS class, vec_id, CASE WHEN rn = 1 THEN 'medoid' ELSE 'candidate' || CAST(rn AS STRING) END AS kind, round(mean_angle, 6) AS mean_angle FROM rk WHERE rn <= 5")
 def class_medoids(spark, sf_dir):
     m = E.medoids(polygons(spark, sf_dir).where("n_px >= 10"), ["class"], "vec_id", 5)
-    return m.select("class", "vec_id", "kind", F.round("mean_angle", 7).alias("mean_angle"))
+    return m.select("class", "vec_id", "kind", F.round("mean_angle", 6).alias("mean_angle"))
 
 
 MED = PAIR + """, md AS (SELECT u.label, u.i, u.u FROM u JOIN rk USING (vec_id) WHERE rn = 1),
@@ -338,11 +338,11 @@ def medoid_library(spark, sf_dir):
     return p, *E.library(E.medoids(p.where("n_px >= 10"), ["class"], "vec_id"))
 
 
-@query("discriminative_endmember", MED + ", sc AS (SELECT am.label, am.vec_id, min(ang) - max(mean_angle) AS s FROM am JOIN ma USING (vec_id) WHERE am.other <> am.label GROUP BY am.label, am.vec_id) SELECT 'c' || CAST(label AS STRING) AS class, vec_id, round(s, 7) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s, 12) DESC, vec_id) AS rn FROM sc) q WHERE rn = 1")
+@query("discriminative_endmember", MED + ", sc AS (SELECT am.label, am.vec_id, min(ang) - max(mean_angle) AS s FROM am JOIN ma USING (vec_id) WHERE am.other <> am.label GROUP BY am.label, am.vec_id) SELECT 'c' || CAST(label AS STRING) AS class, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(s, 12) DESC, vec_id) AS rn FROM sc) q WHERE rn = 1")
 def discriminative_endmember(spark, sf_dir):
     p = polygons(spark, sf_dir).where("n_px >= 10")
     out = E.discriminative(p, "vec_id", E.medoids(p, ["class"], "vec_id"))
-    return out.select("class", "vec_id", F.round("score", 7).alias("score"))
+    return out.select("class", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("medoid_angle_matrix", MED + "SELECT 'c' || CAST(am.label AS STRING) AS class, 'c' || CAST(other AS STRING) AS other, CASE WHEN am.label = other THEN 0e0 ELSE round(degrees(ang), 4) END AS angle_deg FROM am JOIN rk USING (vec_id) WHERE rn = 1")

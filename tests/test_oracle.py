@@ -1,4 +1,9 @@
-"""Every registered query against its SQL on the smallest data set."""
+"""Every registered query against its SQL on the smallest data set.
+
+The queries run side by side in one session; each has its own test.
+"""
+
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -9,14 +14,22 @@ QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
-def con(sf_dir):
-    return connect(sf_dir)
+def outcomes(spark, sf_dir):
+    con = connect(sf_dir)
+
+    def run(name):
+        try:
+            return compare(spark, con.cursor(), sf_dir, name, QUERIES[name], ORACLES.get(name))
+        except Exception as error:
+            return f"FAIL {type(error).__name__} {str(error)[:500]}"
+
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(QUERIES, pool.map(run, QUERIES)))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, con, sf_dir, name):
-    text = compare(spark, con, sf_dir, name, QUERIES[name], ORACLES.get(name))
-    assert not text.startswith("FAIL"), text
+def test_query(outcomes, name):
+    assert not outcomes[name].startswith("FAIL"), outcomes[name]
 
 
 def test_every_oracle_has_a_query():
