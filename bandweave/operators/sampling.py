@@ -13,6 +13,9 @@ from ..session import collect_bounded
 from .ranking import exact_percentiles, first_per_group, null_safe_join, numbered, ranked, with_scalars
 
 
+SMALL_SAMPLE = 1000
+
+
 def cap_per_group(df: DataFrame, keys: list[str], row_key: list[str], n: int | None, seed: int) -> DataFrame:
     """At most ``n`` rows per group in hash order; None or 0 keeps everything."""
     if not n:
@@ -21,8 +24,24 @@ def cap_per_group(df: DataFrame, keys: list[str], row_key: list[str], n: int | N
 
 
 def subsample(df: DataFrame, row_key: list[str], n: int, seed: int) -> DataFrame:
-    """``n`` rows in hash order, all of them when there are fewer."""
-    return df.orderBy(hash_text(seed, *row_key), *row_key).limit(n)
+    """``n`` rows in hash order, all of them when there are fewer.
+
+    A small sample is a plain top-n. For a large one a top-n would bring ``n`` rows of
+    every partition into one task, so rows that cannot be among the first ``n`` are
+    filtered by their hash first and the rest is ranked over many tasks.
+    """
+    key = hash_text(seed, *row_key)
+    if n <= SMALL_SAMPLE:
+        return df.orderBy(key, *row_key).limit(n)
+    total = df.count()
+    if total <= n:
+        return df
+    share = (n + 8.0 * n ** 0.5 + 50.0) / total
+    near = df.where(hash_unit(seed, *row_key) < share)
+    if share >= 1.0 or near.count() < n:
+        near = df
+    order = ranked(near.withColumn("__h", key), [], ["__h", *row_key], "__rn")
+    return order.where(F.col("__rn") <= n).drop("__h", "__rn")
 
 
 def subsample_classes(df: DataFrame, by: str, row_key: list[str], budget: int, seed: int, classes: int) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage, shared_dir
+from ..session import collect_bounded, cut_lineage, shared_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -14,7 +14,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -31,12 +31,12 @@ def publish(df: DataFrame, path: str) -> str:
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     names = [s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
-    done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and _exists(spark, f"{path}/{n}/_SUCCESS")]
+    done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and exists(spark, f"{path}/{n}/_SUCCESS")]
     return max(done) if done else None
 
 
@@ -47,17 +47,24 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{version:08d}")
 
 
+MAX_TOUCHED = 10_000  # partitions one upsert may rewrite
+
+
+def touched_rows(table: DataFrame, rows: DataFrame, partition: str) -> DataFrame:
+    """Rows of the partitions that ``rows`` falls in; the values prune the scan."""
+    values = [r[0] for r in collect_bounded(rows.select(partition).distinct(), MAX_TOUCHED, "touched partitions")]
+    return table.where(F.col(partition).isin(values))
+
+
 def upsert_partitions(rows: DataFrame, path: str, key: str, partition: str) -> None:
     """Rows replace earlier rows of the same key in a table partitioned by ``partition``.
 
     Only the touched partitions are read and rewritten. A key must not change partition.
     """
     spark = rows.sparkSession
-    merged = rows
-    if _exists(spark, path):
-        table = spark.read.parquet(path)
-        touched = rows.select(partition).distinct()
-        old = table.join(touched, partition, "left_semi").join(rows.select(key).distinct(), key, "left_anti")
+    merged = rows = cut_lineage(rows)
+    if exists(spark, path):
+        old = touched_rows(spark.read.parquet(path), rows, partition).join(rows.select(key).distinct(), key, "left_anti")
         merged = cut_lineage(old.unionByName(rows, allowMissingColumns=True))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 

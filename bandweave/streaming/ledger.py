@@ -11,7 +11,8 @@ from ..functions import masks as M
 from ..operators.review import confirmed_rows
 from ..operators.sampling import latest
 from ..schema import DECISION_SCHEMA
-from ..sources.sinks import upsert_partitions
+from ..session import cut_lineage
+from ..sources.sinks import exists, touched_rows, upsert_partitions
 
 BUCKETS = 64  # partitions of the keyed tables
 
@@ -54,13 +55,10 @@ def merge_latest(path: str, order: list[str]) -> Callable[[DataFrame, int], None
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("polygon_uid"), F.lit(BUCKETS)).cast("int"))
-        newest = latest(keyed, "polygon_uid", order)
-        try:
-            stored = spark.read.parquet(path).join(newest.select("polygon_uid"), "polygon_uid", "left_semi")
+        newest = cut_lineage(latest(keyed, "polygon_uid", order))
+        if exists(spark, path):
+            stored = touched_rows(spark.read.parquet(path), newest, "bucket").join(newest.select("polygon_uid"), "polygon_uid", "left_semi")
             newest = latest(newest.unionByName(stored, allowMissingColumns=True), "polygon_uid", order)
-        except Exception as error:  # first batch: the table does not exist yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         upsert_partitions(newest, path, "polygon_uid", "bucket")
     return write
 

@@ -362,3 +362,25 @@ def test_audit_flags_on_planted_defects(spark):
     assert hit("good") == set() and hit("tail") == {"zero_tail"} and hit("run") == {"zero_run"} and hit("nan") == {"nonfinite"}
     assert hit("over") == {"over_phys"} and hit("blue") == {"blue_edge"} and hit("flat") == {"flat"}
     assert hit("nodata") == {"nodata", "blue_edge"} and hit("zero") == {"zero_tail", "zero_run", "all_zero", "flat"}
+
+
+def test_large_sample_equals_a_plain_top_n(spark):
+    df = spark.range(9000).select("id", (F.col("id") % 5).alias("x"))
+    want = {r["id"] for r in df.orderBy(keys.hash_text(3, "id"), "id").limit(2500).collect()}
+    assert {r["id"] for r in sampling.subsample(df, ["id"], 2500, 3).collect()} == want
+    assert sampling.subsample(df, ["id"], 20_000, 3).count() == 9000
+
+
+def test_latest_merge_is_idempotent(spark, tmp_path):
+    from bandweave.streaming.ledger import merge_latest
+    write = merge_latest(f"{tmp_path}/t", ["ts"])
+    rows = lambda *r: spark.createDataFrame(r, "polygon_uid string, ts int, decision string")
+    write(rows(("a", 1, "confirm"), ("b", 5, "reject")), 0)
+    for batch in (1, 1):
+        write(rows(("a", 3, "skip"), ("b", 2, "confirm")), batch)
+    got = {(r["polygon_uid"], r["ts"], r["decision"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()}
+    assert got == {("a", 3, "skip"), ("b", 5, "reject")}
+
+
+def test_nearest_bands_take_the_first_on_a_tie():
+    assert J.nearest_bands([1.0, 2.5], [0.5, 1.5, 3.0]) == [(0, 0, 0.5), (1, 2, 0.5)]
