@@ -57,15 +57,15 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: dic
                    descending: bool = False, partitions: int | None = None) -> DataFrame:
     """Inclusive running sums per group along ``order``.
 
-    ``(keys, order)`` must be unique per row: aggregate ties first.
+    ``(keys, order)`` must be unique per row: aggregate ties first. Without a partition
+    count, adaptive execution merges small neighbouring ranges, which keeps the order.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     inputs = {name: f"__in{i}" for i, name in enumerate(totals)}
     base = df.select("*", *[expr.alias(inputs[name]) for name, expr in totals.items()])
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    ranged = cut_lineage(base.repartitionByRange(n, *[F.col(k).asc() for k in keys], *direction)
-                         .withColumn("__part", F.spark_partition_id()))
+    columns = [*[F.col(k).asc() for k in keys], *direction]
+    spread = base.repartitionByRange(partitions, *columns) if partitions else base.repartitionByRange(*columns)
+    ranged = cut_lineage(spread.withColumn("__part", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy(*keys, "__part")
                .agg(*[F.sum(c).alias(c) for c in inputs.values()])
