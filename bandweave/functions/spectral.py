@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
-from ..schema import CLIP_MAX, N_BANDS, NODATA, WAVELENGTHS_NM, good_bands
+from ..schema import NODATA, WAVELENGTHS_NM, good_bands
 
 # ---- fixed values: must equal the reference's for right results ----
 LINEAR_CLIP = (0.0, 2.0)

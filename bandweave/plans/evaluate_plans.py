@@ -8,7 +8,7 @@ from ..functions import labels as L
 from ..operators import aggregates as A, evaluate as V
 from ..operators.ranking import exact_percentiles, numbered, order_statistics
 from .registry import query
-from .sampling_plans import DEC, GRD, PIX, ROW, ROWS
+from .sampling_plans import DEC, GRD, PIX
 from .tables import DECISIONS, GRID, PIXELS, POLYGONS, SCORES_SQL, cte, derive, load, scores
 
 CLASSES = {"quality": ("y0", "s0"), "toxic": ("y1", "s1"), "short": ("y2", "s2")}

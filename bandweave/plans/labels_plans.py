@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import keys, labels as L, masks as M
 from .registry import query
-from .tables import DECISIONS, GRID, PIXELS, POLYGONS, SPECTRA, cte, derive, load
+from .tables import PIXELS, POLYGONS, SPECTRA, cte, derive, load
 
 POLY = cte(p=POLYGONS)
 PIX = cte(p=PIXELS)

@@ -7,18 +7,16 @@ from functools import cache
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.geo import polygon_pixels
-from ..operators import aggregates as A, curate as C, joins as J, review as R
+from ..operators import aggregates as A, joins as J, review as R
 from ..operators.sampling import latest
-from ..schema import LABELS_RAW, pack_bands
+from ..schema import LABELS_RAW
 from ..sources import scans as S, sinks as W
 from ..streaming import ledger as D
-from .curate_plans import rings
-from .grid_plans import centers, grid, spectrum_grid
+from .grid_plans import centers, grid
 from .labels_plans import AUDIT_SQL, defects
 from .registry import query
 from .sampling_plans import DEC, GRD, PIX, ROW, ROWS
-from .tables import DECISIONS, GRID, PIXELS, POLYGONS, SPECTRA, cte, derive, load
+from .tables import DECISIONS, PIXELS, POLYGONS, SPECTRA, cte, derive, load
 
 
 @cache

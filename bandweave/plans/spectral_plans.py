@@ -8,8 +8,8 @@ from ..functions import geo, rules as R, spectral as S
 from ..operators import aggregates as A, endmembers as E
 from .labels_plans import AUDIT_SQL, DEFECT_SQL, defects
 from .registry import query
-from .sampling_plans import PIX, h
-from .tables import GRID, PIXELS, SPECTRA, cte, derive, load
+from .sampling_plans import h
+from .tables import SPECTRA, cte, derive, load
 
 N = 64
 X = [float(i) for i in range(1, N + 1)]
