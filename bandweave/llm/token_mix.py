@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bandweave.session import cut_lineage
+
 from .text import parts_for, word_count
 
 
@@ -63,14 +65,15 @@ def mixed(docs: DataFrame, levels: list[str], weights: dict[tuple[str, ...], flo
     documents epoch after epoch, each epoch in the order of an MD5 of seed, epoch and doc_id, until its budget is
     used: whole epochs first, then a prefix of the next, whose last document may be cut (take_tokens <
     n_tokens). The prefix is found by token sums of parts of the order and sums inside a part, so no leaf is
-    sorted in one task. Only built-in expressions are used.
+    sorted in one task. Texts are scanned once, for their token counts. Only built-in expressions are used.
 
     Null text and texts without words have no tokens and are never selected. Null level values are a name of
     their own; null doc_ids share one place in the order. Rows that repeat are each read, in no stated order among
     themselves. Only doc_id, text and the levels are read. Empty table: no rows.
     """
     names = [f"__l{k}" for k in range(len(levels))]
-    rows = docs.select("doc_id", *[F.col(c).cast("string").alias(n) for c, n in zip(levels, names)], word_count(F.col("text")).alias("n_tokens")).where("n_tokens > 0")
+    rows = docs.select("doc_id", *[F.col(c).cast("string").alias(n) for c, n in zip(levels, names)], word_count(F.col("text")).alias("n_tokens"))
+    rows = cut_lineage(rows.where("n_tokens > 0"))
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("n"))
     able = usable_tokens(leaves, names, weights, max_epochs)
     totals = able.agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n"), F.sum("able").alias("able")).first()
