@@ -15,7 +15,8 @@ from bandweave.session import cut_lineage
 from .components import components, local_forest
 
 TOP_BITS = 16
-LEAF_ROWS = 16_384
+LEAST_DEPTH = 5
+LEAF_ROWS = 65_536
 FRONTIER = 50_000
 FINISH = 32
 
@@ -60,10 +61,10 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def top_trie(counts: dict[int, int], leaf_rows: int) -> list[tuple[int, int]]:
-    """(prefix, depth) of the leaves of the upper trie: at most ``leaf_rows`` rows, or TOP_BITS deep."""
+    """(prefix, depth) of the leaves of the upper trie: at most ``leaf_rows`` rows from LEAST_DEPTH on, or TOP_BITS deep."""
     leaves, level = [], counts_at(counts, 0)
     for depth in range(TOP_BITS + 1):
-        done = {p for p, n in level.items() if n <= leaf_rows or depth == TOP_BITS}
+        done = {p for p, n in level.items() if depth >= LEAST_DEPTH and n <= leaf_rows or depth == TOP_BITS}
         leaves += [(p, depth) for p in sorted(done)]
         if len(done) == len(level):
             break
@@ -132,8 +133,8 @@ def trie_links(a: np.ndarray, b: np.ndarray, budget: int, same: bool) -> Iterato
 def trie_join(fps: DataFrame, budget: int = 2, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Links (band, a, b) between the distinct fingerprints of each band that span all pairs within ``budget`` bits.
 
-    ``fps`` has band (a small number, one trie each) and fp. The upper tries are cut where a node holds at
-    most ``leaf_rows`` fingerprints (or TOP_BITS deep, so at most 2^16 counts a band reach the driver). Each
+    ``fps`` has band (a small number, one trie each) and fp. The upper tries are cut from LEAST_DEPTH on where a
+    node holds at most ``leaf_rows`` fingerprints (TOP_BITS deep at most, so 2^16 counts a band reach the driver). Each
     pair of leaves that can still be in budget is one group, walked in one task. A group returns a spanning
     forest of its links, never all pairs of a dense group.
     """
