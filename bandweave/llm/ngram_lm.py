@@ -19,8 +19,9 @@ END = 0x5BD1E995A7C3F12D
 START_ID = (1 << 32) - 1
 UNKNOWN_ID = (1 << 32) - 2
 TOP = 0xFFFF << 48
-SEGMENT = 4_000_000
-PENDING = 2_000_000
+SEGMENT = 1_000_000
+PENDING = 1_000_000
+SLICE = 1 << 20
 SIGN = 1 << 63
 MANIFEST = "path string, shard long, entries long, contexts long, total double, coc array<double>"
 
@@ -285,7 +286,7 @@ def train(texts: DataFrame, order: int = 2) -> Model:
             h = rows[:, 0]
             return pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - bits)).astype(np.int64)), pa.array((h ^ np.uint64(SIGN)).view(np.int64)), pa.array(counts.view(np.int64))], schema=schema)
 
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             hashes, _ = tokens(batch.column(0), hasher)
             for rows, counts in pending.add(hashes[:, None], np.ones(len(hashes), np.uint64)):
                 yield out(rows, counts)
@@ -298,7 +299,7 @@ def train(texts: DataFrame, order: int = 2) -> Model:
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, pending, known = SpanHasher(lower=True), Pending(), Lookup(vocabulary, [np.uint64, np.float64])
         schema = pa.schema([("shard", pa.int64()), *[(f"w{k}", pa.int64()) for k in range(order)], ("c", pa.int64())])
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             hashes, owner = tokens(batch.column(0), hasher)
             grams = grams_of(word_ids(hashes, known)[0], owner, order)
             for rows, counts in pending.add(grams, np.ones(len(grams), np.uint64)):
@@ -357,7 +358,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, scorer = SpanHasher(lower=True), Scorer(model)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             hashes, owner = tokens(batch.column(1), hasher)
             ids, c = word_ids(hashes, scorer.known)
             p = scorer.probabilities(grams_of(ids, owner, model.order))
