@@ -116,7 +116,7 @@ def audit_flags(spectrum, min_run: int = 5, min_tail: int = 3) -> dict[str, Colu
         "all_zero": F.coalesce(F.forall(s, lambda x: x == 0), F.lit(False)),
         "nodata": F.coalesce(F.exists(s, lambda x: x == NODATA), F.lit(False)),
         "nonfinite": F.exists(s, lambda x: x.isNull() | ~_finite(x.cast("double"))),
-        "over_phys": F.size(F.filter(F.slice(s, 2, 100000), lambda x: ~F.isnan(x) & (x > PHYS_MAX))) > 0,
+        "over_phys": F.size(F.filter(s, lambda x, i: (i > 0) & ~F.isnan(x) & (x > PHYS_MAX))) > 0,
         "flat": (F.size(known) > 0) & (F.array_max(known) == F.array_min(known)),
         "blue_edge": F.coalesce(~F.isnan(s[0]) & (s[0] > PHYS_MAX), F.lit(False)),
     }

@@ -153,22 +153,30 @@ def bridged(spectrum, wavelengths: list[float], bad: list[tuple[float, float]])
 
 
 def angles_to(spectrum, library: list[list[float]], degrees: bool = True, zero_norm: float | None = 90.0) -> Column:
-    """Angles from each spectrum to a fixed endmember list (one matrix product per batch)."""
+    """Angles from each spectrum to a fixed endmember list (a few matrix products per batch).
+
+    Bands missing on either side are skipped for that pair; NaN below two common bands. A pair with a
+    zero norm over its common bands gets ``zero_norm``.
+    """
     e = np.asarray(library, dtype=float)
-    e_norm = np.linalg.norm(e, axis=1)
+    e_has = np.isfinite(e)
+    e = np.where(e_has, e, 0.0)
 
     @F.arrow_udf(returnType=DOUBLES)
     def kernel(column: pa.Array) -> pa.Array:
         s, present = matrix(column)
         if not s.size:
             return lists(s, present)
-        norms = np.linalg.norm(s, axis=1)[:, None] * e_norm[None, :]
+        s_has = np.isfinite(s)
+        s = np.where(s_has, s, 0.0)
+        common = s_has.astype(float) @ e_has.T
+        norms = np.sqrt((s * s) @ e_has.T) * np.sqrt(s_has @ (e * e).T)
         cosine = np.divide(s @ e.T, norms, out=np.zeros((s.shape[0], e.shape[0])), where=norms > 0)
         angle = np.arccos(np.clip(cosine, -1.0, 1.0))
         if degrees:
             angle = np.degrees(angle)
         fill = np.nan if zero_norm is None else zero_norm
-        return lists(np.where(norms > 0, angle, fill), present)
+        return lists(np.where(common < 2, np.nan, np.where(norms > 0, angle, fill)), present)
 
     return kernel(_col(spectrum))
 

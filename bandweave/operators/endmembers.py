@@ -22,11 +22,13 @@ def library(df: DataFrame, name: str = "class", spectrum: str = "spectrum") -> t
 
 
 def nearest_map(df: DataFrame, names: list[str], spectra: list[list[float]], spectrum: str = "spectrum") -> DataFrame:
-    """Angles to every endmember, the nearest one and its angle in degrees."""
+    """Angles to every endmember, the nearest one and its angle in degrees; NULL where no angle is known."""
     out = df.withColumn("angles", S.angles_to(spectrum, spectra))
     at = S.nearest("angles")
-    return out.withColumns({"nearest": F.element_at(F.array(*[F.lit(n) for n in names]), at + 1),
-                            "angle_deg": F.array_min("angles")})
+    least = F.array_min("angles")
+    known = ~F.isnan(least)
+    return out.withColumns({"nearest": F.when(known, F.element_at(F.array(*[F.lit(n) for n in names]), at + 1)),
+                            "angle_deg": F.when(known, least)})
 
 
 def mean_angles(df: DataFrame, group: list[str], key: str, spectrum: str = "spectrum") -> DataFrame:
@@ -34,8 +36,10 @@ def mean_angles(df: DataFrame, group: list[str], key: str, spectrum: str = "spec
 
     All pairs must be measured, but none is emitted: rows are packed in blocks of
     about a thousand, block meets block, and each meeting returns one partial sum per
-    row. A hot group becomes many blocks, hence many tasks.
+    row. A hot group becomes many blocks, hence many tasks. Rows with a missing or
+    non-finite band are left out, as one of them would spoil every mean of its group.
     """
+    df = df.where(F.forall(spectrum, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     tagged = null_safe_join(df.select(*group, key, spectrum), sizes, group).withColumn("__nb", F.ceil(F.col("__n") / BLOCK).cast("int"))
     rows = tagged.withColumn("__b", F.pmod(F.xxhash64(key), F.col("__nb")).cast("int"))

@@ -91,7 +91,7 @@ def review_manifest(selected: DataFrame, lows: list[float]) -> DataFrame:
     rank = F.format_string("%02d", F.lit(len(lows)) - F.col("stratum"))
     token = canonical_layer(low)
     return order.withColumns({"position": F.col("position") - 1}).withColumns({
-        "review_uid": uid("tile_id", token, "position"), "layer": F.concat(F.lit("thresh_"), rank, F.substring(token, 7, 20))})
+        "review_uid": uid("tile_id", token, "position"), "layer": F.concat(F.lit("thresh_"), rank, F.substr(token, F.lit(7)))})
 
 
 def with_verdicts(regions: DataFrame, verdicts: DataFrame, key: str = "poly_id") -> DataFrame:

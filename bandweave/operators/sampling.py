@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.keys import hash_text, hash_unit
-from ..session import collect_bounded
+from ..session import collect_bounded, cut_lineage
 from .ranking import exact_percentiles, first_per_group, null_safe_join, numbered, ranked, with_scalars
 
 
@@ -209,23 +209,36 @@ def sample_cells(df: DataFrame, cell: list[str], chart: str, key: str, depth: st
 # ----------------------------------------------------------- spatial thinning
 
 def thin(df: DataFrame, tile: str, row: str, col: str, min_sep: int, per_tile: int, seed: int) -> DataFrame:
-    """Points at least ``min_sep`` apart, at most ``per_tile`` per tile.
+    """Points at least ``min_sep`` apart, at most ``per_tile`` per tile: the greedy set in hash order.
 
-    One hash winner per cell of side ``min_sep``; a winner leaves when a winner of a
-    neighbouring cell is closer than ``min_sep`` and has a lower hash.
+    In each round a point is kept if no undecided point closer than ``min_sep`` comes before it; it and the
+    points closer than that are then decided. This gives the set a walk in hash order would keep, in rounds
+    that grow with the logarithm of the points. Only points of the nine cells (of side ``min_sep``) around a
+    cell's first point are compared. Rows that repeat a point share its fate.
     """
-    hashed = df.withColumns({"__h": hash_text(seed, tile, row, col),
-                             "__i": F.floor(F.col(row) / min_sep), "__j": F.floor(F.col(col) / min_sep)})
-    winners = first_per_group(hashed, [tile, "__i", "__j"], [F.col("__h"), F.col(row), F.col(col)], 1)
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-    rivals = (winners.select(F.col(tile), F.col(row).alias("__r"), F.col(col).alias("__c"), F.col("__h").alias("__rh"),
-                             "__i", "__j", F.explode(steps).alias("s"))
-              .select(tile, "__r", "__c", "__rh", (F.col("__i") + F.col("s.a")).alias("__i"), (F.col("__j") + F.col("s.b")).alias("__j")))
-    near = (F.pow(F.col(row) - F.col("__r"), 2) + F.pow(F.col(col) - F.col("__c"), 2)) < float(min_sep * min_sep)
-    beaten = (winners.join(rivals, [tile, "__i", "__j"]).where(near & (F.col("__rh") < F.col("__h")))
-              .select(tile, row, col).distinct())
-    kept = winners.join(beaten, [tile, row, col], "left_anti").drop("__i", "__j")
-    return first_per_group(kept, [tile], [F.col("__h"), F.col(row), F.col(col)], per_tile).drop("__h")
+    order = [F.col("__h"), F.col(row), F.col(col)]
+    undecided = cut_lineage(df.select(tile, row, col).distinct().withColumns({
+        "__h": hash_text(seed, tile, row, col), "__i": F.floor(F.col(row) / min_sep), "__j": F.floor(F.col(col) / min_sep)}))
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+
+    def around(points: DataFrame) -> DataFrame:
+        """(point as __r, __c, __rh; undecided point closer than min_sep, itself included)."""
+        spread = points.select(tile, F.col(row).alias("__r"), F.col(col).alias("__c"), F.col("__h").alias("__rh"), "__i", "__j", F.explode(steps).alias("s"))
+        spread = spread.select(tile, "__r", "__c", "__rh", (F.col("__i") + F.col("s.a")).alias("__i"), (F.col("__j") + F.col("s.b")).alias("__j"))
+        near = (F.pow(F.col(row) - F.col("__r"), 2) + F.pow(F.col(col) - F.col("__c"), 2)) < float(min_sep * min_sep)
+        return undecided.join(spread, [tile, "__i", "__j"]).where(near)
+
+    kept = None
+    while not undecided.isEmpty():
+        heads = first_per_group(undecided, [tile, "__i", "__j"], order, 1)
+        before = F.struct("__h", row, col) < F.struct("__rh", "__r", "__c")
+        beaten = around(heads).where(before).select(tile, F.col("__r").alias(row), F.col("__c").alias(col)).distinct()
+        winners = cut_lineage(heads.join(beaten, [tile, row, col], "left_anti").select(*undecided.columns))
+        kept = winners if kept is None else kept.unionByName(winners)
+        undecided = cut_lineage(undecided.join(around(winners).select(tile, row, col), [tile, row, col], "left_anti").select(*undecided.columns))
+    if kept is None:
+        return df.limit(0)
+    return df.join(first_per_group(kept, [tile], order, per_tile).select(tile, row, col), [tile, row, col], "left_semi").select(*df.columns)
 
 
 # ------------------------------------------------------------------- triplets

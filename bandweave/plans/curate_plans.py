@@ -261,7 +261,7 @@ NOMIN = "NOT (olivine_t1 > 0 OR olivine_t2 > 0 OR lcp > 0 OR hcp > 0 OR plagiocl
 
 
 def far_tiles(spark, sf_dir):
-    return pixels(spark, sf_dir).withColumn("tile_id", F.concat(F.lit("t"), (F.substring("tile_id", 2, 10).cast("bigint") + 980).cast("string")))
+    return pixels(spark, sf_dir).withColumn("tile_id", F.concat(F.lit("t"), (F.substr("tile_id", F.lit(2)).cast("bigint") + 980).cast("string")))
 
 
 @query("region_tile_filter", MC + f"SELECT {ROWS} FROM p WHERE CAST(substr(tile_id, 2) AS BIGINT) BETWEEN 1028 AND 1396")

@@ -12,7 +12,7 @@ from .grid_plans import grid, spectrum_grid
 from .registry import query
 from .sampling_plans import GRD, h
 from .spectral_plans import PARAMS, RULES, vectors
-from .tables import PIXELS, SPECTRA, cte, derive, load
+from .tables import PIXELS, SPECTRA, cte, derive, load, greedy_sql
 
 LABELLED = ["CASE WHEN l_quantity > 30 THEN 1 ELSE 0 END AS y_olivine", "CASE WHEN l_discount > 5e-2 THEN 1 ELSE 0 END AS y_lcp", "CASE WHEN l_extendedprice > 6e4 THEN 1 ELSE 0 END AS y_plagioclase",
             "CASE WHEN l_tax > 5e-2 THEN 1 ELSE 0 END AS y_alteration"]
@@ -165,8 +165,7 @@ def dust_negatives(spark, sf_dir):
     return K.dust_negatives(dust_grid(spark, sf_dir), "valid", F.col("best")).select("tile_id", "pixel_row", "pixel_col")
 
 
-@query("mined_dust_pixels", DUST_SQL + f""", c AS (SELECT *, {h(13, 'tile_id', 'pixel_row', 'pixel_col')} AS k, floor(pixel_row / 3e0) AS i, floor(pixel_col / 3e0) AS j FROM hit WHERE tile_id <> 'g1'), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, i, j ORDER BY k, pixel_row, pixel_col) AS rn FROM c) q WHERE rn = 1)
-SELECT tile_id, pixel_row, pixel_col FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.tile_id = a.tile_id AND b.k < a.k AND (a.pixel_row - b.pixel_row) * (a.pixel_row - b.pixel_row) + (a.pixel_col - b.pixel_col) * (a.pixel_col - b.pixel_col) < 9)""")
+@query("mined_dust_pixels", DUST_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f", c AS (SELECT tile_id, pixel_row, pixel_col, {h(13, 'tile_id', 'pixel_row', 'pixel_col')} AS k FROM hit WHERE tile_id <> 'g1')" + greedy_sql("c", 9, 500))
 def mined_dust_pixels(spark, sf_dir):
     return K.mine(dust_grid(spark, sf_dir), "valid", F.col("best"), 3, 500, 13, ["g1"]).select("tile_id", "pixel_row", "pixel_col")
 

@@ -8,7 +8,7 @@ from ..functions import labels as L
 from ..functions.keys import hash_text
 from ..operators import sampling as S
 from .registry import query
-from .tables import DECISIONS, GRID, PIXELS, SPECTRA, cte, derive, load
+from .tables import DECISIONS, GRID, PIXELS, SPECTRA, cte, derive, load, greedy_sql
 
 PIX, DEC, GRD, SPEC = cte(p=PIXELS), cte(p=DECISIONS), cte(p=GRID), cte(p=SPECTRA)
 ROW = ["tile_id", "polygon_id", "pixel_row", "pixel_col"]
@@ -155,12 +155,7 @@ def hold_out_polygons(spark, sf_dir):
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("pixel_row").alias("row_sum"))
 
 
-@query("spatial_thinning", GRD + f"""
-, c AS (SELECT tile_id, pixel_row, pixel_col, {h(13, 'tile_id', 'pixel_row', 'pixel_col')} AS k, floor(pixel_row / 5e0) AS i, floor(pixel_col / 5e0) AS j FROM p WHERE value > 3e-1),
-w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, i, j ORDER BY k, pixel_row, pixel_col) AS rn FROM c) q WHERE rn = 1),
-s AS (SELECT a.* FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.tile_id = a.tile_id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND b.k < a.k
-   AND (a.pixel_row - b.pixel_row) * (a.pixel_row - b.pixel_row) + (a.pixel_col - b.pixel_col) * (a.pixel_col - b.pixel_col) < 25))
-SELECT tile_id, pixel_row, pixel_col FROM (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY k, pixel_row, pixel_col) AS r2 FROM s) q WHERE r2 <= 30""")
+@query("spatial_thinning", GRD.replace("WITH ", "WITH RECURSIVE ", 1) + f", c AS (SELECT tile_id, pixel_row, pixel_col, {h(13, 'tile_id', 'pixel_row', 'pixel_col')} AS k FROM p WHERE value > 3e-1)" + greedy_sql("c", 25, 30))
 def spatial_thinning(spark, sf_dir):
     g = derive(spark, sf_dir, GRID).where(F.col("value") > 0.3).select("tile_id", "pixel_row", "pixel_col")
     return S.thin(g, "tile_id", "pixel_row", "pixel_col", 5, 30, 13).select("tile_id", "pixel_row", "pixel_col")
@@ -201,25 +196,25 @@ def viz_subsample(spark, sf_dir):
 
 
 @query("suspect_ranking", """
-SELECT p_partkey, CAST(row_number() OVER (ORDER BY d DESC NULLS LAST, p_partkey) AS BIGINT) AS place FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size / 5e1 END AS d FROM part) q ORDER BY 2 LIMIT 300""")
+SELECT p_partkey, CAST(row_number() OVER (ORDER BY d DESC NULLS LAST, p_partkey) AS BIGINT) AS place FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size / 5e1 END AS d FROM part) q """)
 def suspect_ranking(spark, sf_dir):
     from ..operators.ranking import numbered
     d = F.when(F.col("p_size") % 5 != 0, F.col("p_size") / 50.0)
     p = load(spark, sf_dir, "part").select("p_partkey", d.alias("depth"))
-    top = S.by_suspicion(p, "depth", "p_partkey").limit(300)
+    top = S.by_suspicion(p, "depth", "p_partkey")
     order = top.withColumn("__k", -F.coalesce("depth", F.lit(-1.0)))
     return numbered(order, ["__k", "p_partkey"], "place", 1).select("p_partkey", "place")
 
 
 @query("review_queue", f"""
 WITH r AS (SELECT o_orderkey AS original_idx, 'u' || CAST(o_custkey AS STRING) AS polygon_uid, CASE o_orderpriority WHEN '1-URGENT' THEN 99e-2 WHEN '2-HIGH' THEN 85e-2 ELSE 5e-1 END AS threshold, o_totalprice AS area_m2 FROM orders)
-SELECT polygon_uid, original_idx, threshold, area_m2 FROM r WHERE polygon_uid NOT IN (SELECT 'u' || CAST(user_id AS STRING) FROM events) ORDER BY threshold DESC, area_m2 DESC, original_idx LIMIT 200""")
+SELECT polygon_uid, original_idx, threshold, area_m2 FROM r WHERE polygon_uid NOT IN (SELECT 'u' || CAST(user_id AS STRING) FROM events)""")
 def review_queue(spark, sf_dir):
     t = L.lookup(F.col("o_orderpriority"), {"1-URGENT": 0.99, "2-HIGH": 0.85}, 0.5)
     r = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("original_idx"),
                                              F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("polygon_uid"),
                                              t.alias("threshold"), F.col("o_totalprice").alias("area_m2"))
-    return S.queue(r, derive(spark, sf_dir, DECISIONS)).limit(200).select("polygon_uid", "original_idx", "threshold", "area_m2")
+    return S.queue(r, derive(spark, sf_dir, DECISIONS)).select("polygon_uid", "original_idx", "threshold", "area_m2")
 
 
 @query("hash_order_text", f"SELECT o_orderkey, {h(1, 'o_orderkey', 'o_orderstatus')} AS k FROM orders")

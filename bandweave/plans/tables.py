@@ -103,3 +103,15 @@ def cte(**tables) -> str:
         body = table if isinstance(table, str) else f"SELECT {', '.join(table[1])} FROM {table[0]}"
         parts.append(f"{name} AS ({body})")
     return "WITH " + ", ".join(parts) + " "
+
+
+def greedy_sql(points: str, limit: int, cap: int) -> str:
+    """Common table expressions (needs WITH RECURSIVE) and query that walk ``points`` (tile_id, pixel_row,
+    pixel_col, k) in the order of k and keep those no kept point is closer to than the root of ``limit``."""
+    far = "(x.r - o.pixel_row) * (x.r - o.pixel_row) + (x.c - o.pixel_col) * (x.c - o.pixel_col)"
+    return f""", o AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY k, pixel_row, pixel_col) AS n FROM {points}),
+g AS (SELECT DISTINCT tile_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(r BIGINT, c BIGINT)[]) AS kept FROM o
+  UNION ALL SELECT g.tile_id, o.n, CASE WHEN len([x for x in g.kept if {far} < {limit}]) = 0 THEN list_append(g.kept, {{'r': o.pixel_row, 'c': o.pixel_col}}) ELSE g.kept END
+  FROM g JOIN o ON o.tile_id = g.tile_id AND o.n = g.n + 1),
+z AS (SELECT tile_id, unnest(list_slice(arg_max(kept, n), 1, {cap})) AS x FROM g GROUP BY tile_id)
+SELECT tile_id, x.r AS pixel_row, x.c AS pixel_col FROM z"""

@@ -33,9 +33,8 @@ def review_scan(spark: SparkSession, paths: list[str], columns: list[str]) -> Da
     return with_defaults(df.select(*present, "review_session"), [c for c in LABELS_RAW if c in columns])
 
 
-def tag_scan(spark: SparkSession, path: str, tag: str | None, limit: int | None = None) -> DataFrame:
-    rows = tagged(spark.read.option("mergeSchema", True).parquet(path), tag)
-    return rows.limit(limit) if limit else rows
+def tag_scan(spark: SparkSession, path: str, tag: str | None) -> DataFrame:
+    return tagged(spark.read.option("mergeSchema", True).parquet(path), tag)
 
 
 def reject_scan(spark: SparkSession, path: str, minerals: bool) -> DataFrame:

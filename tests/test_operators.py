@@ -384,3 +384,30 @@ def test_latest_merge_is_idempotent(spark, tmp_path):
 
 def test_nearest_bands_take_the_first_on_a_tie():
     assert J.nearest_bands([1.0, 2.5], [0.5, 1.5, 3.0]) == [(0, 0, 0.5), (1, 2, 0.5)]
+
+
+def test_thinning_keeps_the_greedy_set(spark):
+    from bandweave.functions.keys import hash_text
+    grid = spark.range(1600).select(F.lit("t").alias("tile_id"), F.floor(F.col("id") / 40).alias("pixel_row"), (F.col("id") % 40).alias("pixel_col"))
+    walk = grid.orderBy(hash_text(3, "tile_id", "pixel_row", "pixel_col"), "pixel_row", "pixel_col").collect()
+    kept = []
+    for p in walk:
+        if all((p[1] - r) ** 2 + (p[2] - c) ** 2 >= 25 for r, c in kept):
+            kept.append((p[1], p[2]))
+    got = sampling.thin(grid, "tile_id", "pixel_row", "pixel_col", 5, 1000, 3).collect()
+    assert sorted((r["pixel_row"], r["pixel_col"]) for r in got) == sorted(kept)
+    assert sampling.thin(grid.limit(0), "tile_id", "pixel_row", "pixel_col", 5, 10, 3).count() == 0
+
+
+def test_rings_beyond_a_hundred_thousand_vertices(spark):
+    ring = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(120_000 - 1)), lambda k: F.struct(
+        F.cos(k * (2 * math.pi / 120_000)).alias("x"), F.sin(k * (2 * math.pi / 120_000)).alias("y"))).alias("ring"))
+    assert abs(ring.select(geo.ring_area("ring")).first()[0] - math.pi) < 1e-6
+
+
+def test_angles_skip_missing_bands_pairwise(spark):
+    nan = float("nan")
+    rows = [([1.0, nan, 3.0],), ([nan, nan, 3.0],), ([0.0, 0.0, 0.0],), ([2.0, 4.0, 6.0],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "s array<double>").select(S.angles_to("s", [[1.0, 2.0, 3.0], [1.0, nan, 0.0]])).collect()]
+    assert abs(got[0][0]) < 1e-5 and abs(got[0][1] - math.degrees(math.acos(1 / math.sqrt(10)))) < 1e-6
+    assert got[1] == [None, None] and got[2][0] == 90.0 and abs(got[3][0]) < 1e-5
