@@ -187,21 +187,45 @@ def test_equal_fill_matches_one_by_one(seed):
         assert sum(got.values()) == min(budget, sum(capacity.values())) and (not budget or got == naive_fill(capacity, budget, tiers))
 
 
-def test_unit_balance_and_holdout():
+def shares_of(units, chosen, name, c):
+    total = sum(u[c] for u in units)
+    return {s: sum(u[c] for u in units if chosen[u[name]] == s) / total for s in split.SPLITS}
+
+
+def test_unit_balance_and_holdout(spark):
     rng = random.Random(2)
-    units = [{"unit": f"u{i:03d}", "total": n, "tie": f"{rng.random()}", "a": n, "b": n if i % 4 == 0 else 0} for i, n in enumerate(rng.choices(range(5, 60), k=200))]
-    chosen = split.balance_units(units, ["a", "b"])
+    units = [{"unit": f"u{i:03d}", "a": n, "b": n if i % 4 == 0 else 0} for i, n in enumerate(rng.choices(range(5, 60), k=200))]
+    out = split.dealt(spark.createDataFrame(units), "unit", ["a", "b"], 2, split.SHARES, True).collect()
+    chosen = {r["unit"]: r["split"] for r in out}
+    assert len(out) == len(chosen) == 200
     for c in ("a", "b"):
-        total = sum(u[c] for u in units)
-        part = {s: sum(u[c] for u in units if chosen[u["unit"]] == s) / total for s in split.SPLITS}
+        part = shares_of(units, chosen, "unit", c)
         assert abs(part["train"] - 0.7) < 0.05 and part["val"] >= 0.05 and part["test"] >= 0.05 and part["val"] <= 0.171
 
 
-def test_tile_packing_uses_all_splits():
-    tiles = [{"tile_id": f"t{i}", "tie": f"{i % 7}", "hcp": i % 5, "plagioclase": i % 3, "lcp": 1 + i % 2} for i in range(60)]
-    chosen = split.pack_tiles(tiles)
-    assert set(chosen.values()) == set(split.SPLITS)
-    assert abs(sum(t["lcp"] for t in tiles if chosen[t["tile_id"]] == "train") / sum(t["lcp"] for t in tiles) - 0.7) < 0.08
+def test_giant_units_and_two_unit_classes(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(10_000, 30_000), 0, 0) for _ in range(20)] + [(0, 9455, 0), (0, 7800, 7800), (0, 2976, 0), (0, 1403, 0)]
+    rows += [(0, 300, 0)] * 15 + [(0, 0, n) for n in (4846, 3282, 1659, 1261, 816, 713, 613, 596, 585, 571, 562, 487, 404, 334)]
+    units = [{"unit": f"u{i:02d}", "m": m, "alt": a, "plag": p} for i, (m, a, p) in enumerate(rows)]
+    chosen = {r["unit"]: r["split"] for r in split.dealt(spark.createDataFrame(units), "unit", ["m", "alt", "plag"], 42, split.SHARES, True).collect()}
+    for c in ("m", "alt", "plag"):
+        part = shares_of(units, chosen, "unit", c)
+        assert all(abs(part[s] - split.SHARES[s]) <= 0.05 for s in split.SPLITS), (c, part)
+    pair = [{"unit": "x0", "x": 100_000, "y": 0}, {"unit": "x1", "x": 90_000, "y": 0}] + [{"unit": f"y{i}", "x": 0, "y": 3000} for i in range(16)]
+    chosen = {r["unit"]: r["split"] for r in split.dealt(spark.createDataFrame(pair), "unit", ["x", "y"], 42, split.SHARES, True).collect()}
+    part = shares_of(pair, chosen, "unit", "x")
+    assert part["val"] >= split.MIN_HOLDOUT and part["test"] >= split.MIN_HOLDOUT
+
+
+def test_tile_split_uses_all_splits(spark):
+    tiles = [{"tile_id": f"t{i}", "hcp": i % 5, "plagioclase": i % 3, "lcp": 1 + i % 2} for i in range(60)]
+    chosen = {r["tile_id"]: r["split"] for r in split.tile_balanced_split(spark.createDataFrame(tiles), 42).collect()}
+    assert set(chosen.values()) == set(split.SPLITS) and len(chosen) == 60
+    for c in split.RARE_CLASSES:
+        assert abs(shares_of(tiles, chosen, "tile_id", c)["train"] - 0.7) < 0.08
+    empty = spark.createDataFrame([], "tile_id string, hcp long, plagioclase long, lcp long")
+    assert split.tile_balanced_split(empty, 42).count() == 0
 
 
 # ----------------------------------------------------------------------- graphs
