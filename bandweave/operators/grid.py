@@ -104,8 +104,8 @@ def edge_mask(df: DataFrame, valid: str, distance: int, name: str = "edge") -> D
     return rows.withColumn(name, F.col(valid) & (steps <= distance)).drop("__d")
 
 
-def patches(centres: DataFrame, grid: DataFrame, spectrum: str, bands: int, size: int = 7) -> DataFrame:
-    """size x size spectra around each centre in row-major order, zeros outside the tile.
+def patches(centres: DataFrame, grid: DataFrame, spectrum: str, bands: int, size: int = 7, outside: float = 0.0) -> DataFrame:
+    """size x size spectra around each centre in row-major order, ``outside`` beyond the tile.
 
     Only keys are multiplied; the grid is joined on (tile, row, column).
     """
@@ -115,8 +115,8 @@ def patches(centres: DataFrame, grid: DataFrame, spectrum: str, bands: int, size
     wanted = key.select(F.col(T), F.col(R).alias("__r"), F.col(C).alias("__c"), F.explode(offsets).alias("o"))
     wanted = wanted.select(T, "__r", "__c", F.col("o.k").alias("k"), (F.col("__r") + F.col("o.dr")).alias(R), (F.col("__c") + F.col("o.dc")).alias(C))
     found = wanted.join(grid.select(T, R, C, F.col(spectrum).cast("array<double>").alias("__s")), [T, R, C], "left")
-    zero = F.array_repeat(F.lit(0.0), bands)
-    cell = F.struct("k", F.coalesce("__s", zero).alias("s"))
+    beyond = F.array_repeat(F.lit(outside), bands)
+    cell = F.struct("k", F.coalesce("__s", beyond).alias("s"))
     out = found.groupBy(T, F.col("__r").alias(R), F.col("__c").alias(C)).agg(F.array_sort(F.collect_list(cell)).alias("__p"))
     return out.select(T, R, C, F.transform("__p", lambda x: x["s"]).alias("patch"))
 
