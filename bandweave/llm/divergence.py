@@ -115,8 +115,8 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> Re
     schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, lower = SpanHasher(), SpanHasher(lower=True)
-        for batch in sliced(batches, "text", 16 << 20):
+        lower = SpanHasher(lower=True)
+        for batch in sliced(batches, "text"):
             names = batch.column(0).dictionary_encode()
             lang, n = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(names.dictionary)
             data, off = flat(batch.column(1))
@@ -133,7 +133,6 @@ def language_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> Re
             yield pa.RecordBatch.from_arrays([
                 names.dictionary.take(pa.array(which)).cast(pa.string()), pa.array(np.repeat([0, 1], [len(new), n * len(CLASSES)]).astype(np.int32)),
                 pa.array(np.concatenate([keys[new].view(np.int64), np.tile(np.arange(len(CLASSES)), n)])), pa.array(np.concatenate([count, classes.ravel()]))], schema=schema)
-        del exact
 
     known = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     counted = cut_lineage(known.mapInArrow(run, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
