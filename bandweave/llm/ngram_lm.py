@@ -22,6 +22,7 @@ TOP = 0xFFFF << 48
 SEGMENT = 1_000_000
 PENDING = 1_000_000
 SLICE = 1 << 20
+OUT_ROWS = 65_536
 SIGN = 1 << 63
 MANIFEST = "path string, shard long, entries long, contexts long, total double, coc array<double>"
 
@@ -192,9 +193,9 @@ def build_level(grams: DataFrame, width: int, folder: str, bits: int, vocabulary
             yield pa.RecordBatch.from_pylist([stats | {f"w{k}": None for k in range(below)} | {"c": None}], schema)
             if below and len(suffix):
                 for rows, counts in pending.add(suffix, np.ones(len(suffix), np.uint64)):
-                    yield shaped(rows, counts, schema, bits)
+                    yield from shaped(rows, counts, schema, bits)
         for rows, counts in pending.rest():
-            yield shaped(rows, counts, schema, bits)
+            yield from shaped(rows, counts, schema, bits)
 
     dealt = grams.repartition(1 << bits, "shard").sortWithinPartitions("shard", *names)
     written = cut_lineage(dealt.select("shard", *names, "c").mapInArrow(write, ", ".join([MANIFEST, *lower, "c long"])))
@@ -207,10 +208,13 @@ def build_level(grams: DataFrame, width: int, folder: str, bits: int, vocabulary
     return level, rest
 
 
-def shaped(rows: np.ndarray, counts: np.ndarray, schema: pa.Schema, bits: int) -> pa.RecordBatch:
-    shard = (spread(rows) >> np.uint64(64 - bits)).astype(np.int64)
-    known = {"shard": pa.array(shard), "c": pa.array(counts.astype(np.int64))} | {f"w{k}": pa.array(rows[:, k].astype(np.int64)) for k in range(rows.shape[1])}
-    return pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(len(rows), f.type)) for f in schema], schema=schema)
+def shaped(rows: np.ndarray, counts: np.ndarray, schema: pa.Schema, bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of OUT_ROWS, so that neither side of the worker's pipe holds all of them as Arrow data."""
+    for at in range(0, len(rows), OUT_ROWS):
+        part = rows[at:at + OUT_ROWS]
+        shard = (spread(part) >> np.uint64(64 - bits)).astype(np.int64)
+        known = {"shard": pa.array(shard), "c": pa.array(counts[at:at + OUT_ROWS].astype(np.int64))} | {f"w{k}": pa.array(part[:, k].astype(np.int64)) for k in range(part.shape[1])}
+        yield pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(len(part), f.type)) for f in schema], schema=schema)
 
 
 class Lookup:
@@ -282,16 +286,17 @@ def train(texts: DataFrame, order: int = 2) -> Model:
         hasher, pending = SpanHasher(lower=True), Pending()
         schema = pa.schema([("shard", pa.int64()), ("w0", pa.int64()), ("c", pa.int64())])
 
-        def out(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            h = rows[:, 0]
-            return pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - bits)).astype(np.int64)), pa.array((h ^ np.uint64(SIGN)).view(np.int64)), pa.array(counts.view(np.int64))], schema=schema)
+        def out(rows: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(rows), OUT_ROWS):
+                h, c = rows[at:at + OUT_ROWS, 0], counts[at:at + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - bits)).astype(np.int64)), pa.array((h ^ np.uint64(SIGN)).view(np.int64)), pa.array(c.view(np.int64))], schema=schema)
 
         for batch in sliced(batches, "text", SLICE):
             hashes, _ = tokens(batch.column(0), hasher)
             for rows, counts in pending.add(hashes[:, None], np.ones(len(hashes), np.uint64)):
-                yield out(rows, counts)
+                yield from out(rows, counts)
         for rows, counts in pending.rest():
-            yield out(rows, counts)
+            yield from out(rows, counts)
 
     counted = texts.select("text").mapInArrow(count_words, "shard long, w0 long, c long")
     vocabulary, _ = build_level(counted, 1, folder, bits, vocabulary=True)
@@ -303,9 +308,9 @@ def train(texts: DataFrame, order: int = 2) -> Model:
             hashes, owner = tokens(batch.column(0), hasher)
             grams = grams_of(word_ids(hashes, known)[0], owner, order)
             for rows, counts in pending.add(grams, np.ones(len(grams), np.uint64)):
-                yield shaped(rows, counts, schema, bits)
+                yield from shaped(rows, counts, schema, bits)
         for rows, counts in pending.rest():
-            yield shaped(rows, counts, schema, bits)
+            yield from shaped(rows, counts, schema, bits)
 
     grams = texts.select("text").mapInArrow(count_grams, ", ".join(["shard long", *[f"w{k} long" for k in range(order)], "c long"]))
     levels: list[Level] = []
