@@ -115,6 +115,13 @@ def audit_summary(df: DataFrame, spectrum: str, by: list[str]) -> DataFrame:
                                    *[F.count_if(F.col(n)).alias(n) for n in flags])
 
 
+def worst_tile_gate(rates: DataFrame, threshold: float) -> DataFrame:
+    """One row: the tile with the largest share of bad rows, that share, and whether it is within the threshold."""
+    share = rates.withColumn("share", F.col("n_bad") / F.col("n_rows"))
+    worst = share.agg(F.max_by(F.struct("tile_id", "share"), F.struct("share", "tile_id")).alias("w"))
+    return worst.select("w.tile_id", "w.share", (F.col("w.share") <= threshold).alias("passed"))
+
+
 def contamination(df: DataFrame, spectrum: str) -> DataFrame:
     """Per tile: pixels valid before the physical-range rule, of those dropped by it, share and maximum."""
     s = F.col(spectrum)
@@ -198,10 +205,12 @@ def block_scales(df: DataFrame, blocks: dict[str, str], keep: list[int]) -> Data
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def representation(df: DataFrame, spectrum: str, width: int) -> DataFrame:
-    """'dual' by width, else 'raw' or 'hull' by the median level."""
-    if width == 118:
+def representation(df: DataFrame, spectrum: str, width: int, single: int = 59) -> DataFrame:
+    """'dual' for twice the ``single`` width, 'raw' or 'hull' by the median level for it; other widths are refused."""
+    if width == 2 * single:
         return df.sparkSession.range(1).select(F.lit("dual").alias("representation"))
+    if width != single:
+        raise ValueError(f"expected {single} or {2 * single} values, got {width}")
     values = df.select(F.explode(spectrum).alias("v"))
     med = exact_percentiles(values, [], "v", {"p50": 0.5})
     return med.select(F.when(F.col("p50") <= S.RAW_LEVEL_MAX, "raw").otherwise("hull").alias("representation"))

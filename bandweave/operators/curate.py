@@ -225,6 +225,46 @@ def seven_class_base(pixels: DataFrame, n_bland: int, row_key: list[str], seed:
     return hand.unionByName(bland)
 
 
+def seven_class_table(pixels: DataFrame, confirmed: DataFrame, rejects: DataFrame, session: DataFrame | None, n_bland: int,
+                      row_key: list[str], seed: int, grades: list[str], admitted: list[str], confirm_cap: int,
+                      policy: str = "all", bland_sources: str = "all") -> DataFrame:
+    """The whole 7-class table from hand, confirmed and rejected pixels, before its joint split.
+
+    Review sources pass the grade bar and the legacy admission of their class while they still carry
+    ``review_session``, are aligned to the hand columns, and give way to the pixels of the session.
+    ``build_source`` names where a row came from.
+    """
+    base = seven_class_base(pixels, n_bland, row_key, seed, policy, bland_sources).withColumn("build_source", F.lit("base"))
+    loaded = {"confirmed": ("lcp", L.confidence_defaults(stamp_classes(confirmed, zero_plag=False))),
+              "reassigned": ("lcp", reassigned(rejects, row_key, seed)),
+              "mc13_bland": ("bland", bland_review(rejects, True, n_bland, seed + 10, row_key)),
+              "mc11_bland": ("bland", bland_review(rejects, False, n_bland, seed + 20, row_key)),
+              "junk": ("junk", ambiguous(rejects, row_key, seed)),
+              "alteration": ("alteration", altered(rejects))}
+    parts = []
+    for name, (target, rows) in loaded.items():
+        kept = legacy_policy(review_grades(rows, grades), target, admitted, confirm_cap, seed, row_key, is_confirm=name == "confirmed")
+        parts.append(stamp_legacy_tier(kept).withColumn("build_source", F.lit(name)))
+    combined = union_aligned(base, *parts)
+    if session is None:
+        return combined
+    return apply_session(combined, session.withColumn("build_source", F.lit("session")))
+
+
+def review_augmented(existing: DataFrame, review: DataFrame, ambiguous_rows: DataFrame, alteration: DataFrame, weight: float,
+                     tier: str, holdout: float, seed: int) -> DataFrame:
+    """Existing, review, ambiguous and alteration rows in the existing columns; a reviewed pixel replaces the existing one.
+
+    Missing numbers become 0. Alteration rows are positives with the review's weight and tier, and whole
+    polygons of them are held out.
+    """
+    from .sampling import hold_out_polygons
+    positive = alteration.withColumns({"alteration": F.lit(1.0), "confidence_weight": F.lit(weight), "confidence_tier": F.lit(tier)})
+    positive = hold_out_polygons(positive, ["polygon_id"], holdout, seed) if holdout > 0 else positive.withColumn("split", F.lit("train"))
+    kept = suppress(existing, review)
+    return union_aligned(kept, review, ambiguous_rows, positive)
+
+
 def negatives_like(mined: DataFrame, target: DataFrame, tier: str, weight: float, first_id: int) -> DataFrame:
     """Mined pixels in the target's schema: bands renamed by index, labels 0, bland 1,
     one synthetic polygon per tile in tile order."""

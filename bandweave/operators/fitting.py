@@ -329,8 +329,22 @@ def embedding_clusters(df: DataFrame, features: str, n_components: int, drop: li
     return model.transform(kept).drop("features", "centred", "pcs", "__z")
 
 
+def median_endmembers(df: DataFrame, spectrum: str) -> DataFrame:
+    """Class and median spectrum; missing bands are left out band by band."""
+    tall = df.select("class", F.posexplode(F.col(spectrum).cast("array<double>")).alias("i", "v"))
+    med = exact_percentiles(tall, ["class", "i"], "v", {"m": 0.5})
+    bands = F.array_sort(F.collect_list(F.struct("i", "m")))
+    return med.groupBy("class").agg(bands.alias("b")).select("class", F.transform("b", lambda x: x["m"]).alias(spectrum))
+
+
 def class_endmembers(df: DataFrame, cls: str, spectrum: str, key: str, k: int, seed: int) -> DataFrame:
-    """``k`` endmembers of one class: cluster on the unit sphere, then the nearest real spectrum of each."""
+    """``k`` endmembers of one class: cluster on the unit sphere, then the nearest real spectrum of each.
+
+    One endmember, or a class of no more than ``k`` rows: the median of each band (no key).
+    """
+    mine = df.where(F.col("class") == cls)
+    if k <= 1 or mine.limit(k + 1).count() <= k:
+        return median_endmembers(mine, spectrum).select("class", F.lit(0).alias("cluster"), F.lit(None).cast(df.schema[key].dataType).alias(key), spectrum)
     rows = vectors(df.where(F.col("class") == cls).withColumn("__u", S.unit(spectrum)), "__u")
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])

@@ -43,6 +43,17 @@ def mean_pool(df: DataFrame, value: str, name: str, size: int = 7, nodata: float
     return s.withColumn(name, F.when(F.col("__cnt") > 0, F.col("__sum") / F.col("__cnt"))).drop("__sum", "__cnt")
 
 
+def pooled_at(rows: DataFrame, grid: DataFrame, value: str, name: str, low: float, high: float, size: int = 7) -> DataFrame:
+    """Window mean at each row's pixel, NULL for synthetic rows, unknown pixels and means out of [low, high].
+
+    Values out of range are missing before the mean is taken, so they do not touch their neighbours.
+    """
+    v = F.col(value).cast("double")
+    pooled = mean_pool(grid.select(T, R, C, F.when(v.between(low, high), v).alias("__v")), "__v", name, size)
+    known = pooled.select(T, R, C, F.when(F.col(name).between(low, high), F.col(name)).alias(name))
+    return rows.join(known.where(~F.col(T).startswith("SYNTH_")), [T, R, C], "left")
+
+
 def smooth_mean(df: DataFrame, value: str, name: str, size: int = 7) -> DataFrame:
     """Window mean over known pixels with the border pixel repeated outwards."""
     h = size // 2

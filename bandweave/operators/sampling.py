@@ -104,6 +104,26 @@ def split_rows(df: DataFrame, row_key: list[str], seed: int, train: float = 0.7,
     return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
 
 
+def quota_on_tiles(df: DataFrame, tiles: DataFrame, row_key: list[str], per_tile: int, seed: int) -> DataFrame:
+    """At most ``per_tile`` rows, in hash order, of each listed tile; rows of other tiles stay."""
+    listed = tiles.select("tile_id").distinct()
+    capped = cap_per_group(df.join(listed, "tile_id", "left_semi"), ["tile_id"], row_key, per_tile, seed)
+    return df.join(listed, "tile_id", "left_anti").unionByName(capped)
+
+
+def split_on_tiles(df: DataFrame, tiles: DataFrame, row_key: list[str], seed: int) -> DataFrame:
+    """Rows of the listed tiles are split one by one; other rows keep their split."""
+    listed = tiles.select("tile_id").distinct()
+    drawn = split_rows(df.join(listed, "tile_id", "left_semi"), row_key, seed)
+    return df.join(listed, "tile_id", "left_anti").unionByName(drawn.select(df.columns))
+
+
+def gate_on_tiles(df: DataFrame, tiles: DataFrame, gated: Column) -> DataFrame:
+    """Rows that match ``gated`` stay on the listed tiles alone; all other rows stay."""
+    held = df.where(gated).join(tiles.select("tile_id").distinct(), "tile_id", "left_semi")
+    return df.where(~F.coalesce(gated, F.lit(False))).unionByName(held.select(df.columns))
+
+
 def hold_out_polygons(df: DataFrame, keys: list[str], share: float, seed: int) -> DataFrame:
     """Whole polygons to val and test: the first and second ``share`` of them in hash order."""
     polygons = df.select(*keys).distinct().withColumn("__h", hash_text(seed, *keys))

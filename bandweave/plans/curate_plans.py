@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import curate as C, joins as J
 from ..schema import CORPUS_CLASSES
-from .registry import query
+from .registry import ORACLES, query
 from .sampling_plans import PIX, ROW, ROWS, h
 from .tables import DECISIONS, GRID, PIXELS, POLYGONS, SPECTRA, cte, derive, load
 
@@ -348,7 +348,8 @@ def assemble_corpus(spark, sf_dir):
     return C.assemble(*corpus_parts(spark, sf_dir)).drop("spectrum")
 
 
-@query("corpus_class_by_source")
+@query("corpus_class_by_source", ORACLES["assemble_corpus"].rsplit("SELECT class, source,", 1)[0] + "SELECT class, " + ", ".join(
+    f"CAST(count(CASE WHEN source = '{s}' THEN 1 END) AS BIGINT) AS {s}" for s in ("hand", "confirmed", "reassigned", "tag", "ndviz")) + " FROM d WHERE rn = 1 GROUP BY class")
 def corpus_class_by_source(spark, sf_dir):
     corpus = C.assemble(*corpus_parts(spark, sf_dir))
     return corpus.groupBy("class").pivot("source", ["hand", "confirmed", "reassigned", "tag", "ndviz"]).count().na.fill(0)

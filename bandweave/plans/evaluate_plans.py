@@ -192,12 +192,12 @@ def confusion_shares(spark, sf_dir):
     return c.select("truth", *[F.round(v, 8).alias(v) for v in ("O", "F", "P")])
 
 
-@query("polygon_report", cte(g=POLYGONS) + """, k AS (SELECT polygon_id, lower(Category) AS c FROM g), m AS (SELECT l_partkey AS polygon_id, avg(l_discount * 1e1) AS p0, avg(l_tax * 12e0) AS p1, avg(l_quantity / 5e1) AS p2, count(*) AS n FROM lineitem WHERE l_linenumber < 7 GROUP BY l_partkey),
+@query("polygon_report", cte(g=POLYGONS) + """, k AS (SELECT polygon_id, lower(Category) AS c FROM g), m AS (SELECT l_partkey AS polygon_id, avg(l_discount * 1e1) AS p0, avg(l_tax * 12e0) AS p1, avg(l_quantity / 5e1) AS p2, count(*) AS n FROM lineitem GROUP BY l_partkey),
 x AS (SELECT k.*, m.n, CASE WHEN p0 IS NULL THEN 'NONE' WHEN p0 = greatest(p0, p1, p2) THEN 'olivine' WHEN p1 = greatest(p0, p1, p2) THEN 'lcp' ELSE 'hcp' END AS predicted_class FROM k LEFT JOIN m USING (polygon_id))
 SELECT polygon_id, CAST(coalesce(n, 0) AS BIGINT) AS n_pixels, predicted_class, CASE WHEN predicted_class <> 'NONE' THEN contains(c, predicted_class) END AS correct FROM x""")
 def polygon_report(spark, sf_dir):
     polygons = derive(spark, sf_dir, POLYGONS).select("polygon_id", L.keyword_minerals("Category").alias("minerals"))
-    s = load(spark, sf_dir, "lineitem").where("l_linenumber < 7").select(F.col("l_partkey").alias("polygon_id"), F.array(F.col("l_discount") * 10.0, F.col("l_tax") * 12.0, F.col("l_quantity") / 50.0).alias("probs"))
+    s = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("polygon_id"), F.array(F.col("l_discount") * 10.0, F.col("l_tax") * 12.0, F.col("l_quantity") / 50.0).alias("probs"))
     out = V.polygon_report(polygons, s, "polygon_id", ["olivine", "lcp", "hcp"], "probs", "minerals")
     return out.select("polygon_id", "n_pixels", "predicted_class", "correct")
 

@@ -75,9 +75,9 @@ def scan_file_or_folder(spark, sf_dir):
     return load(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("file_rows")).withColumn("folder_rows", folder.scalar())
 
 
-@query("lookup_polygon", cte(p=SPECTRA) + "SELECT vec_id FROM p WHERE class = 'c4' AND source = 'hand' AND tile_id = 't3' ")
+@query("lookup_polygon", cte(p=SPECTRA) + "SELECT vec_id FROM p WHERE class = 'c4' AND source = 'hand' AND tile_id = 't3' AND polygon_id % 4 = 1")
 def lookup_polygon(spark, sf_dir):
-    s = derive(spark, sf_dir, SPECTRA).withColumn("polygon_id", F.lit(1))
+    s = derive(spark, sf_dir, SPECTRA).withColumn("polygon_id", F.col("polygon_id") % 4)
     return S.polygon_rows(s, "c4", "hand", "t3", 1).select("vec_id")
 
 
@@ -87,8 +87,8 @@ def tile_centre_lookup(spark, sf_dir):
     return A.with_center(tiles, centers(spark, sf_dir)).select("tile_id", "center_lat", "center_lon")
 
 
-FILES = """SELECT '/data/mc' || CAST(p_size % 4 AS STRING) || '/t' || CAST(p_partkey % 60 AS STRING) || CASE p_type WHEN 'PROMO' THEN '_mrral_' WHEN 'LARGE' THEN '_mrrsu_' ELSE '_other_' END || CAST(p_size AS STRING) || '.img' AS path FROM part WHERE p_type IN ('PROMO', 'LARGE', 'SMALL')
-UNION ALL SELECT '/poly/' || CASE WHEN p_partkey % 9 = 0 THEN 'North_hellas_' ELSE 'T' END || CAST(p_partkey AS STRING) || '.gpkg' FROM part WHERE p_partkey < 80"""
+FILES = """SELECT '/data/mc' || CAST(p_size % 4 AS STRING) || '/t' || CAST(p_partkey % 60 AS STRING) || CASE p_type WHEN 'PROMO' THEN '_mrral_' WHEN 'LARGE' THEN '_mrrsu_' ELSE '_other_' END || CAST(p_size AS STRING) || '.img' AS path FROM part
+UNION ALL SELECT '/poly/' || CASE WHEN p_partkey % 9 = 0 THEN 'North_hellas_' ELSE 'T' END || CAST(p_partkey AS STRING) || '.gpkg' FROM part"""
 
 
 def files(spark, sf_dir):

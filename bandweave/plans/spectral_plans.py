@@ -79,10 +79,11 @@ def spectral_angle_pairs(spark, sf_dir):
 
 
 @query("angle_variants", """
-SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 9e1 ELSE 0e0 END AS angle_deg, vec_id % 5 = 0 AS too_few FROM embeddings""")
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 9e1 ELSE round(degrees(acos(list_inner_product(v, list_reverse(v)) / list_inner_product(v, v))), 4) END AS angle_deg, vec_id % 5 = 0 AS too_few FROM e""")
 def angle_variants(spark, sf_dir):
-    z = F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: x * 0.0)).otherwise(F.col("embedding"))
-    few = F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 2)).otherwise(F.slice("embedding", 1, 3))
+    z = F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: x * 0.0)).otherwise(F.reverse("embedding"))
+    few = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") % 5 != 0) | (i < 2), x))
     e = load(spark, sf_dir, "embeddings").withColumns({"z": z, "few": few})
     return e.select("vec_id", F.round(S.angle("z", "embedding", zero_norm=90.0, degrees=True), 4).alias("angle_deg"),
                     S.angle("few", "few", min_bands=3).isNull().alias("too_few"))
@@ -297,9 +298,12 @@ def block_scales(spark, sf_dir):
     return A.block_scales(d, {"raw": "raw", "abs": "abs"}, KEEP).select("block", F.round("std", 8).alias("std"), F.round("mean", 8).alias("mean"))
 
 
-@query("detect_representation", "SELECT 'raw' AS representation")
+@query("detect_representation", f"""WITH {VALS}, {ABS}, m AS (SELECT median(y) AS raw, median(1e0 - y / 1e1) AS hull FROM a)
+SELECT 'abs' AS view, CASE WHEN raw <= 5e-1 THEN 'raw' ELSE 'hull' END AS representation FROM m UNION ALL SELECT 'near_one', CASE WHEN hull <= 5e-1 THEN 'raw' ELSE 'hull' END FROM m UNION ALL SELECT 'both', 'dual'""")
 def detect_representation(spark, sf_dir):
-    return A.representation(vectors(spark, sf_dir).select("abs"), "abs", N)
+    v = vectors(spark, sf_dir).withColumn("near_one", F.transform("abs", lambda x: 1.0 - x / 10.0)).withColumn("both", F.concat("near_one", "abs"))
+    parts = [A.representation(v, name, width, N).withColumn("view", F.lit(name)) for name, width in (("abs", N), ("near_one", N), ("both", 2 * N))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("shape_ratios", MEANS + ", r AS (SELECT i, avg(m) AS r FROM m GROUP BY i), l AS (SELECT label, avg(m) AS l FROM m GROUP BY label) SELECT 'c' || CAST(label AS STRING) AS class, round(sum(m / r), 3) AS ratio_sum, round(max(m / l), 4) AS shape_top FROM m JOIN r USING (i) JOIN l USING (label) GROUP BY label")
