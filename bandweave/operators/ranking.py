@@ -32,8 +32,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row summary as scalar subqueries."""
-    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
+    """Attach the columns of a one-row summary, as one scalar subquery."""
+    held = df.withColumn("__one", one_row.select(F.struct(*one_row.columns).alias("one")).scalar())
+    return held.withColumns({c: F.col("__one")[c] for c in one_row.columns}).drop("__one")
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:

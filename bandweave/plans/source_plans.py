@@ -75,10 +75,10 @@ def scan_file_or_folder(spark, sf_dir):
     return load(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("file_rows")).withColumn("folder_rows", folder.scalar())
 
 
-@query("lookup_polygon", cte(p=SPECTRA) + "SELECT vec_id FROM p WHERE class = 'c4' AND source = 'hand' AND tile_id = 't3' AND polygon_id % 4 = 1")
+@query("lookup_polygon", cte(p=SPECTRA) + "SELECT vec_id FROM p WHERE class = 'c2' AND source = 'hand' AND tile_id = 't3' AND polygon_id % 2 = 0")
 def lookup_polygon(spark, sf_dir):
-    s = derive(spark, sf_dir, SPECTRA).withColumn("polygon_id", F.col("polygon_id") % 4)
-    return S.polygon_rows(s, "c4", "hand", "t3", 1).select("vec_id")
+    s = derive(spark, sf_dir, SPECTRA).withColumn("polygon_id", F.col("polygon_id") % 2)
+    return S.polygon_rows(s, "c2", "hand", "t3", 0).select("vec_id")
 
 
 @query("tile_centre_lookup", PIX + ", c AS (SELECT 't' || CAST(s_suppkey AS STRING) AS tile_id, (s_suppkey % 20) * 5e0 - 475e-1 AS lat, CAST(floor(s_suppkey / 2e1) AS BIGINT) * 5e0 + 25e-1 AS lon FROM supplier) SELECT tile_id, lat AS center_lat, lon AS center_lon FROM c WHERE tile_id IN (SELECT tile_id FROM p)")

@@ -184,13 +184,13 @@ def air_mass(spark, sf_dir):
     return p.select("p_partkey", F.round(S.air_mass(F.col("p_size") * 2.0, F.col("p_partkey") % 60), 6).alias("air_mass"))
 
 
-W = [((i * 7) % 11 - 5) / 10.0 for i in range(8)]
+W = [i * 7 % 5 - 2 for i in range(N)]
 
 
-@query("region_logistic_score", "SELECT vec_id, round(1e0 / (1e0 + exp(-(" + " + ".join(f"((embedding[{i + 1}] - 1e-2) / 2e-1 * {w}e0)" for i, w in enumerate(W)) + " + 25e-2))), 6) AS score FROM embeddings")
+@query("region_logistic_score", "SELECT vec_id, round(1e0 / (1e0 + exp(-(" + " + ".join(f"((embedding[{i + 1}] - 1e-2) / 2e-1 * ({w}e0))" for i, w in enumerate(W)) + " + 25e-2))), 6) AS score FROM embeddings")
 def region_logistic_score(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.round(S.logistic_score("embedding", [0.01] * 8, [0.2] * 8, W, 0.25), 6).alias("score"))
+    return e.select("vec_id", F.round(S.logistic_score("embedding", [0.01] * N, [0.2] * N, W, 0.25), 6).alias("score"))
 
 
 SIG = "(1e0 / (1e0 + exp(-({})))) "

@@ -30,6 +30,7 @@ def outcomes(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(outcomes, name):
     assert not outcomes[name].startswith("FAIL"), outcomes[name]
+    assert "EMPTY" not in outcomes[name] and outcomes[name] != "rows-only 0", outcomes[name]
 
 
 def test_every_oracle_has_a_query():
