@@ -256,12 +256,12 @@ def confidence_defaults(spark, sf_dir):
     return L.confidence_defaults(p).select(*ROW, "confidence_weight", "confidence_tier")
 
 
-MC = PIX.replace("'t' || CAST(l_suppkey AS STRING) AS tile_id", "'t' || CAST(l_suppkey + 980 AS STRING) AS tile_id")
+MC = PIX.replace("'t' || CAST(l_suppkey AS STRING) AS tile_id", "'t' || CAST(l_suppkey + 1025 AS STRING) AS tile_id")
 NOMIN = "NOT (olivine_t1 > 0 OR olivine_t2 > 0 OR lcp > 0 OR hcp > 0 OR plagioclase > 0)"
 
 
 def far_tiles(spark, sf_dir):
-    return pixels(spark, sf_dir).withColumn("tile_id", F.concat(F.lit("t"), (F.substr("tile_id", F.lit(2)).cast("bigint") + 980).cast("string")))
+    return pixels(spark, sf_dir).withColumn("tile_id", F.concat(F.lit("t"), (F.substr("tile_id", F.lit(2)).cast("bigint") + 1025).cast("string")))
 
 
 @query("region_tile_filter", MC + f"SELECT {ROWS} FROM p WHERE CAST(substr(tile_id, 2) AS BIGINT) BETWEEN 1028 AND 1396")
