@@ -411,6 +411,37 @@ def test_similarity_is_exact_on_whole_sets():
     assert {tuple(x) for x in near_dups.similar_links(sets, 512, 0.5).tolist()} == want and want
 
 
+def test_near_duplicates_decide_long_texts_exactly(spark):
+    """Texts of over 2,000 shingles at similarities from 0.79 to 0.81, against the Jaccard similarity by brute force."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for k in range(40):
+        base = [f"p{k}w{i}" for i in rng.integers(0, 4000, 2500 + 40 * k)]
+        copy, jaccard, order = list(base), 1.0, rng.permutation(len(base))
+        runs = lambda t: {" ".join(t[i:i + 5]) for i in range(len(t) - 4)}
+        goal, one, at = 0.79 + 0.02 * k / 39, runs(base), 0
+        while jaccard > goal:
+            copy[order[at]] = f"changed{at}"
+            at += 1
+            two = runs(copy)
+            jaccard = len(one & two) / len(one | two)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (jaccard < 0.8)}
+    got = {r["doc_id"]: r["group"] for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 10 < sum(d == g for d, g in want.items() if d % 2) < 30 and got == want
+
+
+def test_whole_sets_are_compared_over_ranges(monkeypatch):
+    rng = np.random.default_rng(6)
+    pool = np.unique(rng.integers(0, 1 << 64, 900, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool, rng.integers(500, 900), replace=False)) for _ in range(30)] + [pool[:0], pool[:0]]
+    want = near_dups.similar_links(sets, None, 0.7).tolist()
+    monkeypatch.setattr(near_dups, "RANGE", 1000)
+    monkeypatch.setattr(near_dups, "COLUMNS", 16)
+    exact = [[i, j] for i in range(32) for j in range(i + 1, 32) if len(np.intersect1d(sets[i], sets[j])) >= 0.7 * len(np.union1d(sets[i], sets[j]))]
+    assert near_dups.similar_links(sets, None, 0.7).tolist() == want == exact and len(want) > 5
+
+
 # ---- op8 ----
 
 def brute_kneser_ney(train, order):
