@@ -13,14 +13,15 @@ from bandweave.session import collect_bounded, cut_lineage
 
 from .text import sliced
 
-SYMBOLS = 64
+SYMBOLS = 0x110000
 ORDERS = 3
-SPACE = sum(SYMBOLS ** k for k in range(1, ORDERS + 1))
 SAMPLE_PER_LANGUAGE = 2_000
 LANDMARKS = 256
 MAX_LANGUAGES = 200
 RIDGE = 1e-3
 ROWS = 64
+COLUMNS = 16_384
+DENSE = 1 << 25
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,35 +37,73 @@ def letter_table() -> np.ndarray:
 
 @dataclass
 class Alphabet:
-    """Symbol of a code point: 0 for any that is no letter, 1 for letters beyond the alphabet, then the letters."""
-    letters: list[int]
+    """Symbol of a code point: 0 for any that is no letter; a letter is its own symbol.
+
+    Of a list of ``letters``, these get the symbols from 2 and every other letter 1.
+    """
+    letters: list[int] | None = None
 
     def table(self, letters: np.ndarray) -> np.ndarray:
-        table = letters.astype(np.uint8)
-        table[self.letters] = np.arange(2, 2 + len(self.letters), dtype=np.uint8)
+        if self.letters is None:
+            return np.where(letters, np.arange(len(letters), dtype=np.int32), 0)
+        table = letters.astype(np.int32)
+        table[self.letters] = np.arange(2, 2 + len(self.letters), dtype=np.int32)
         return table
 
 
-def presence(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """One row a text: which of all runs of 1 to ORDERS symbols it has. Runs of blanks alone do not count."""
+def text_grams(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and number of each distinct run of 1 to ORDERS symbols in each text, in order. Runs of blanks alone do not count.
+
+    The number of a run is exact: its symbols as digits to the base SYMBOLS, after the numbers of all shorter runs.
+    """
     n = len(off) - 1
-    out = np.zeros((n, SPACE), bool)
-    owner = np.repeat(np.arange(n), np.diff(off))
-    value, first = np.zeros(len(symbols), np.int64), 0
+    used = np.zeros(SYMBOLS, bool)
+    used[symbols] = used[0] = True
+    used = np.flatnonzero(used)
+    place, base = np.zeros(SYMBOLS, np.int64), len(used)
+    place[used] = np.arange(base)
+    local, owner = place[symbols], np.repeat(np.arange(n), np.diff(off))
+    owners, numbers, value, first = [], [], np.zeros(len(symbols), np.int64), 0
     for size in range(1, ORDERS + 1):
         if len(symbols) < size:
             break
-        value = value[:len(symbols) - size + 1] * SYMBOLS + symbols[size - 1:]
-        inside = owner[:len(value)] == owner[size - 1:]
-        out[owner[:len(value)][inside], first + value[inside]] = True
-        out[:, first] = False
+        value = value[:len(symbols) - size + 1] * base + local[size - 1:]
+        inside = (owner[:len(value)] == owner[size - 1:]) & (value > 0)
+        space = base ** size
+        keys = owner[:len(value)][inside] * space + value[inside]
+        if n * space <= DENSE:
+            has = np.zeros(n * space, bool)
+            has[keys] = True
+            keys = np.flatnonzero(has)
+        else:
+            keys = np.unique(keys)
+        whose, rest = np.divmod(keys, space)
+        number, scale = np.full(len(rest), first, np.int64), 1
+        for _ in range(size):
+            rest, digit = np.divmod(rest, base)
+            number += used[digit] * scale
+            scale *= SYMBOLS
+        owners.append(whose)
+        numbers.append(number)
         first += SYMBOLS ** size
+    none = np.zeros(0, np.int64)
+    owner, number = np.concatenate([none, *owners]), np.concatenate([none, *numbers])
+    order = np.argsort(owner, kind="stable")
+    return owner[order], number[order]
+
+
+def presence(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """One row a text, one column a gram that any of them has: which grams it has."""
+    owner, gram = text_grams(symbols, off)
+    columns, at = np.unique(gram, return_inverse=True)
+    out = np.zeros((len(off) - 1, len(columns)), bool)
+    out[owner, at] = True
     return out
 
 
 @dataclass
 class Classifier:
-    """Landmark columns (grams that any landmark has), the projected landmarks and the ridge weights."""
+    """Landmark columns (grams that any landmark has), the landmarks as bits of each column, and the ridge weights."""
     languages: list[str]
     alphabet: Alphabet
     columns: np.ndarray
@@ -73,10 +112,20 @@ class Classifier:
     weights: np.ndarray
 
 
-def kernel(rows: np.ndarray, columns: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Shared grams over the geometric mean of the gram numbers, of each row with each landmark."""
-    shared = rows[:, columns].astype(np.float32) @ landmarks.astype(np.float32, copy=False)
-    own = np.maximum(np.count_nonzero(rows, axis=1), 1)
+def kernel(symbols: np.ndarray, off: np.ndarray, columns: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Shared grams over the geometric mean of the gram numbers, of each text with each landmark; COLUMNS grams at a time."""
+    owner, gram = text_grams(symbols, off)
+    own = np.maximum(np.bincount(owner, minlength=len(off) - 1), 1)
+    at = np.searchsorted(columns, gram)
+    hit = columns[np.minimum(at, len(columns) - 1)] == gram if len(columns) else np.zeros(len(gram), bool)
+    owner, at = owner[hit], at[hit]
+    shared = np.zeros((len(off) - 1, len(sizes)), np.float32)
+    for start in range(0, len(columns), COLUMNS):
+        inside = (at >= start) & (at < start + COLUMNS)
+        bits = np.unpackbits(landmarks[start:start + COLUMNS], axis=1, count=len(sizes)).astype(np.float32)
+        rows = np.zeros((len(off) - 1, len(bits)), np.float32)
+        rows[owner[inside], at[inside] - start] = 1
+        shared += rows @ bits
     return (shared / np.sqrt(own[:, None] * np.maximum(sizes, 1)[None, :])).astype(np.float64)
 
 
@@ -100,25 +149,17 @@ def drawn(docs: DataFrame, trusted: Column, sample: int) -> tuple[list[str], Dat
 def train(docs: DataFrame, trusted: Column, sample: int = SAMPLE_PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Classifier:
     """A classifier from ``text`` and ``lang`` of the rows where ``trusted`` holds.
 
-    It is fitted on at most ``sample`` hash-drawn texts of each language. The alphabet is their 62 most common
-    letters. The first texts of each language, ``landmarks`` in all, are the landmarks; the kernel matrix among them gives
+    It is fitted on at most ``sample`` hash-drawn texts of each language. Every letter of Unicode is a symbol of its own,
+    so grams of any script count. The first texts of each language, ``landmarks`` in all, are the landmarks; the kernel matrix among them gives
     the Nyström projection. Tasks add up the normal equations of the ridge regression, one sum of
     landmarks x landmarks values a task.
     """
     languages, picked = drawn(docs, trusted, sample)
     if not languages:
         none = np.zeros((0, 0))
-        return Classifier([], Alphabet([]), np.zeros(0, np.int64), none, np.zeros(0), none)
-
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = letter_table()
-        for batch in sliced(batches, "text"):
-            points, _ = code_points(texts_of(batch.column(0)))
-            value, n = np.unique(points[known[points]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int32)), pa.array(n.astype(np.int64))], names=["letter", "n"])
+        return Classifier([], Alphabet(), np.zeros(0, np.int64), np.zeros((0, 0), np.uint8), np.zeros(0), none)
 
-    top = picked.select("text").mapInArrow(letters, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(SYMBOLS - 2)
-    alphabet = Alphabet([r["letter"] for r in top.collect()])
+    alphabet = Alphabet()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = alphabet.table(letter_table())
@@ -126,32 +167,36 @@ def train(docs: DataFrame, trusted: Column, sample: int = SAMPLE_PER_LANGUAGE, l
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 points, off = code_points(texts_of(part.column(0)))
-                sets = [np.flatnonzero(r).astype(np.int32) for r in presence(table[points], off)]
-                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32()))], names=["grams"])
+                owner, gram = text_grams(table[points], off)
+                sets = np.split(gram, np.searchsorted(owner, np.arange(1, part.num_rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], names=["grams"])
 
     each = max(1, landmarks // len(languages))
-    chosen = picked.where(F.col("place") <= each).select("text").mapInArrow(grams, "grams array<int>").collect()
+    chosen = picked.where(F.col("place") <= each).select("text").mapInArrow(grams, "grams array<long>").collect()
     sets = [np.array(r["grams"], np.int64) for r in chosen]
     columns = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]))
-    marks = np.zeros((len(columns), len(sets)), np.uint8)
+    marks = np.zeros((len(columns), -(-len(sets) // 8)), np.uint8)
     for k, own in enumerate(sets):
-        marks[np.searchsorted(columns, own), k] = 1
+        marks[np.searchsorted(columns, own), k // 8] |= 128 >> k % 8
     sizes = np.array([len(s) for s in sets], float)
-    counts = marks.astype(np.float32)
-    among = (counts.T @ counts / np.sqrt(np.maximum(sizes, 1)[:, None] * np.maximum(sizes, 1)[None, :])).astype(np.float64)
+    among = np.zeros((len(sets), len(sets)))
+    for start in range(0, len(columns), COLUMNS):
+        bits = np.unpackbits(marks[start:start + COLUMNS], axis=1, count=len(sets)).astype(np.float32)
+        among += bits.T @ bits
+    among /= np.sqrt(np.maximum(sizes, 1)[:, None] * np.maximum(sizes, 1)[None, :])
     values, vectors = np.linalg.eigh(among)
     keep = values > 1e-6 * values.max(initial=1e-6)
     project = vectors[:, keep] / np.sqrt(values[keep])
     width = int(keep.sum()) + 1
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, floats = alphabet.table(letter_table()), marks.astype(np.float32)
+        table = alphabet.table(letter_table())
         left, right = np.zeros((width, width)), np.zeros((width, len(languages)))
         for batch in sliced(batches, "text"):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 points, off = code_points(texts_of(part.column(1)))
-                x = np.column_stack([kernel(presence(table[points], off), columns, floats, sizes) @ project, np.ones(part.num_rows)])
+                x = np.column_stack([kernel(table[points], off, columns, marks, sizes) @ project, np.ones(part.num_rows)])
                 y = np.array([[lang == name for name in languages] for lang in part.column(0).to_pylist()], float)
                 left += x.T @ x
                 right += x.T @ y
@@ -173,7 +218,7 @@ def predict(docs: DataFrame, model: Classifier) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = letter_table()
-        table, floats = model.alphabet.table(known), model.landmarks.astype(np.float32)
+        table = model.alphabet.table(known)
         for batch in sliced(batches, "text"):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -182,7 +227,7 @@ def predict(docs: DataFrame, model: Classifier) -> DataFrame:
                 if model.languages:
                     letters = np.concatenate([[0], np.cumsum(known[points])])
                     some = letters[off[1:]] > letters[off[:-1]]
-                    out = kernel(presence(table[points], off), model.columns, floats, model.sizes) @ model.weights[:-1] + model.weights[-1]
+                    out = kernel(table[points], off, model.columns, model.landmarks, model.sizes) @ model.weights[:-1] + model.weights[-1]
                     best, positive = np.argmax(out, axis=1), np.clip(out, 0, None)
                     whole = positive.sum(axis=1)
                     share = np.where(whole > 0, positive.max(axis=1) / np.where(whole > 0, whole, 1), 1 / len(model.languages))

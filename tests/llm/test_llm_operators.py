@@ -260,6 +260,21 @@ def test_presence_kernel_counts_shared_grams():
             assert (found[i] & found[j]).sum() == len(grams(a) & grams(b))
 
 
+def test_string_kernel_tells_languages_of_one_script(spark):
+    """Two languages in each of three scripts beside a large Latin one that fills any short list of common letters."""
+    rng = np.random.default_rng(9)
+    letters = {"lat": [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0x101, 0x180, 2)], "ru": range(0x430, 0x440), "uk": range(0x440, 0x450),
+               "fa": range(0x627, 0x635), "ur": range(0x635, 0x643), "zh": range(0x4E00, 0x4E40), "yue": range(0x4E40, 0x4E80)}
+    rows = []
+    for lang, own in letters.items():
+        for _ in range(400 if lang == "lat" else 24):
+            rows.append((len(rows), lang, " ".join("".join(map(chr, rng.choice(list(own), rng.integers(2, 7)))) for _ in range(40))))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = string_kernel.train(docs, F.col("doc_id") % 2 == 0)
+    got = string_kernel.predict(docs.where("doc_id % 2 = 1"), model).select("lang", "lang_pred").collect()
+    assert len(got) == 272 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
 # ---- op5 ----
 
 def test_line_dedup_matches_brute_force(spark, docs, edge, empty):
