@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 MIX_LEVELS = ["domain", "lang", "source"]
 MIX_WEIGHTS = {("d4",): 1.0, ("d5",): 2.0, ("d4", "en"): 3.0, ("d5", "en"): 2.0, ("d4", "en", "src0"): 2.0}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 42
+LM_ORDER = 3
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -71,7 +72,7 @@ def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = string_kernel.held_out(7)
-    model = ngram_lm.train(docs.where(~held))
+    model = ngram_lm.train(docs.where(~held), LM_ORDER)
     return ngram_lm.score(docs, model).withColumn("held_out", held)
 
 

@@ -533,6 +533,15 @@ def test_kneser_ney_beats_the_base_on_held_out(spark, sf_dir):
     assert r["a"] > r["b"]
 
 
+def test_kneser_ney_query_uses_two_words_of_context(spark, sf_dir, docs):
+    got = {r["doc_id"]: r["score"] for r in queries.op8_kneser_ney(spark, sf_dir).collect()}
+    rows = docs.collect()
+    score, _ = brute_kneser_ney([words(r["text"]) + ["</s>"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2], 3)
+    for r in rows[:30]:
+        want = sum(math.log10(x) for x in score(words(r["text"]) + ["</s>"]))
+        assert abs(got[r["doc_id"]] - want) < 1e-4 * abs(want)
+
+
 def test_writer_cuts_segments_and_merges(spark, docs, monkeypatch):
     whole = ngram_lm.train(docs, 2)
     monkeypatch.setattr(ngram_lm, "SEGMENT", 3000)
