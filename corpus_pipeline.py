@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bandweave.llm import length_buckets, line_dedup, near_dups, string_kernel, token_mix
-from bandweave.session import shared_dir
+from bandweave.llm.text import word_count
+from bandweave.session import cut_lineage, shared_dir
 
 MIN_LANGUAGE_SCORE = 0.3
 MIX_LEVELS = ["__domain", "lang", "source"]
@@ -15,6 +16,11 @@ MIX_WEIGHTS = {("d4",): 1.0, ("d5",): 2.0}
 MIX_SHARE = 0.9
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """The doc_ids of more than one row, null among them, as ``often_id``."""
+    return cut_lineage(docs.groupBy(F.col("doc_id").alias("often_id")).count().where("count > 1").select("often_id"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language stays unclear; fitted on a bounded sample of labelled rows."""
     model = string_kernel.train(docs, F.lit(True))
@@ -35,10 +41,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes MIX_SHARE of the tokens by weight; a document is read once at most, and whole."""
+    """Takes MIX_SHARE of the tokens by weight; a document is read once at most, and whole.
+
+    Rows with a null doc_id and rows that repeat a doc_id are documents of their own: as many of them stay as were
+    selected with their doc_id, levels and number of tokens, those of the least texts.
+    """
     tree = docs.withColumn("__domain", F.concat(F.lit("d"), F.length("source").cast("string")))
-    taken = token_mix.mixed(tree, MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, max_epochs=1).select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(docs.columns)
+    taken = token_mix.mixed(tree, MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, max_epochs=1)
+    leaf = [F.col(c).cast("string").alias(f"__t{k}") for k, c in enumerate(MIX_LEVELS)]
+    taken = cut_lineage(taken.groupBy(F.col("doc_id").alias("__id"), *leaf, F.col("n_tokens").alias("__n")).agg(F.count(F.lit(1)).alias("__m")))
+    often = repeated_ids(docs)
+    single = taken.join(often, F.col("__id").eqNullSafe(F.col("often_id")), "left_anti").select("__id")
+    several = cut_lineage(taken.join(often, F.col("__id").eqNullSafe(F.col("often_id")), "left_semi"))
+    once = docs.join(single, docs["doc_id"].eqNullSafe(single["__id"]), "left_semi")
+    again = tree.join(several.select("__id").distinct(), tree["doc_id"].eqNullSafe(F.col("__id")), "left_semi").withColumn("__words", word_count(F.col("text")))
+    same = [F.col("doc_id").eqNullSafe(F.col("__id")), F.col("__words") == F.col("__n"), *[F.col(c).cast("string").eqNullSafe(F.col(f"__t{k}")) for k, c in enumerate(MIX_LEVELS)]]
+    place = F.row_number().over(Window.partitionBy("__id", *[f"__t{k}" for k in range(len(MIX_LEVELS))], "__n").orderBy("text"))
+    again = again.join(several, same).withColumn("__place", place).where("__place <= __m")
+    return once.select(docs.columns).unionByName(again.select(docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

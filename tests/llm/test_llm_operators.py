@@ -650,3 +650,20 @@ def test_pipeline_stages(spark, sf_dir, edge):
     for name, stage in pipeline.STAGES:
         assert stage(spark, edge.withColumn("lang", F.lit("en")), sf_dir).count() >= 0
         assert stage(spark, edge.limit(0), sf_dir).count() == 0
+
+
+def test_target_mix_keeps_null_and_repeated_ids(spark, sf_dir, edge, monkeypatch):
+    import corpus_pipeline as pipeline
+    mixed = edge.withColumn("lang", F.lit("en")).withColumn("source", F.lit("src0"))
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    monkeypatch.setattr(pipeline, "MIX_SHARE", 1.0)
+    whole = [(r["doc_id"], r["text"]) for r in edge.collect() if words(r["text"])]
+    assert rows(pipeline.target_mix(spark, mixed, sf_dir)) == sorted(whole, key=str) and (None, "no key here at all") in whole
+    monkeypatch.setattr(pipeline, "MIX_SHARE", 0.5)
+    some = [(1, "a b c d"), (1, "a b c e"), (1, "f g"), (None, "h i j"), (None, "k l m"), (None, "n"), (2, "o p q r"), (2, "o p q r")] * 3
+    docs = spark.createDataFrame([(d, t, "en", "src0") for d, t in some], "doc_id long, text string, lang string, source string")
+    want = Counter()
+    for r in token_mix.mixed(docs.withColumn("__domain", F.lit("d4")), pipeline.MIX_LEVELS, pipeline.MIX_WEIGHTS, 0.5, 1).collect():
+        want[r["doc_id"], r["n_tokens"]] += 1
+    got = rows(pipeline.target_mix(spark, docs, sf_dir))
+    assert Counter((d, len(words(t))) for d, t in got) == want and 0 < len(got) < len(some) and not Counter(got) - Counter(some)
