@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import adaptive_scan, divergence, length_buckets, line_dedup, lpt_shards, ngram_lm, separator_scan, simhash_trie, string_kernel, token_mix
+from . import adaptive_scan, divergence, length_buckets, line_dedup, lpt_shards, ngram_lm, phrase_mining, separator_scan, simhash_trie, string_kernel, token_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +86,11 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.token_counts(documents(spark, sf_dir))
 
 
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(documents(spark, sf_dir))
+
+
 ORACLES["op5_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -98,3 +103,30 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key GROUP BY k.doc_id"""
 
 ORACLES["op10_separator_scan"] = r"""
 SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents"""
+
+ORACLES["op11_phrase_mining"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), places AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM worded
+), grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS a
+  FROM places, (VALUES (1), (2), (3), (4), (5)) AS s(size) WHERE i + size - 1 <= len(w) GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(a) AS HUGEINT) AS n FROM grams WHERE size = 1 GROUP BY lang
+), cand AS (SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE size >= 2 AND a >= 100
+), inside AS (
+  SELECT c.lang, array_to_string(c.w[i:i + size_in - 1], ' ') AS phrase, max(c.a) AS longer
+  FROM cand c, (VALUES (2), (3), (4)) AS s(size_in), (VALUES (1), (2), (3), (4)) AS p(i)
+  WHERE size_in < c.size AND i + size_in - 1 <= c.size GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, array_to_string(c.w[1:k], ' ') AS head, array_to_string(c.w[k + 1:], ' ') AS rest
+  FROM cand c LEFT JOIN inside USING (lang, phrase), (VALUES (1), (2), (3), (4)) AS s(k)
+  WHERE k < c.size AND (longer IS NULL OR 100 * longer < 100 * c.a)
+), scored AS (
+  SELECT u.lang, u.phrase, u.a, u.k, h.a AS l, t.a AS r, x.n, (1000 * CAST(u.a AS HUGEINT) * x.n) // (CAST(h.a AS HUGEINT) * t.a) AS score
+  FROM cuts u JOIN grams h ON h.lang = u.lang AND h.phrase = u.head JOIN grams t ON t.lang = u.lang AND t.phrase = u.rest JOIN totals x ON x.lang = u.lang
+), lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS low FROM scored
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM lowest WHERE low = 1)
+SELECT lang, CAST(place AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE place <= 2000"""
