@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import adaptive_scan, divergence, length_buckets, line_dedup, lpt_shards, ngram_lm, phrase_mining, separator_scan, simhash_trie, string_kernel, token_mix
+from . import adaptive_scan, divergence, length_buckets, line_dedup, lpt_shards, ngram_lm, phrase_mining, separator_scan, simhash_trie, string_kernel, token_mix, zone_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,11 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(documents(spark, sf_dir))
 
 
+@query
+def op13_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 ORACLES["op5_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -130,3 +135,32 @@ WITH pieces AS (
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM lowest WHERE low = 1)
 SELECT lang, CAST(place AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
        CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE place <= 2000"""
+
+
+def cluster_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """Every distance of every round; numbered common tables a0, c1, a1, ... stand for the rounds."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= {clusters})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT rid, code % {clusters} AS c, code // {clusters} AS d FROM (
+    SELECT k.rid, min(list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) * {clusters} + c.c) AS code
+    FROM kept k CROSS JOIN c{k} c GROUP BY k.rid))""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{k} JOIN kept USING (rid), range(1, 65) AS r(i) GROUP BY c, i),
+m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(CAST(m.v AS BIGINT[]), o.v) AS v FROM c{k} o LEFT JOIN m{k} m ON m.c = o.c)""")
+    return ",".join(steps) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN c{rounds} f USING (c)"""
+
+
+ORACLES["op13_zone_clusters"] = cluster_sql()
