@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import adaptive_scan, divergence, length_buckets, line_dedup, lpt_shards, ngram_lm, phrase_mining, separator_scan, simhash_trie, string_kernel, token_mix, zone_clusters
+from . import adaptive_scan, divergence, length_buckets, line_dedup, lpt_shards, ngram_lm, phrase_mining, rans_files, separator_scan, simhash_trie, string_kernel, token_mix, zone_clusters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,13 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(documents(spark, sf_dir))
 
 
+@query
+def op12_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    back = rans_files.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op13_zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -12,8 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from bandweave.llm import (adaptive_scan, components, divergence, length_buckets, line_dedup, lpt_shards, near_dups, ngram_lm, queries,
-                           separator_scan, simhash_trie, string_kernel, text as text_tools, token_mix)
+from bandweave.llm import (adaptive_scan, components, divergence, length_buckets, line_dedup, lpt_shards, near_dups, ngram_lm, phrase_mining, queries,
+                           rans_files, separator_scan, simhash_trie, string_kernel, text as text_tools, token_mix, zone_clusters)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -625,6 +625,237 @@ def test_token_counts_edges(edge, empty, docs, texts):
     assert found == {d: len(words(t)) for d, t in texts.items()}
 
 
+# ---- op11 ----
+
+def brute_collocations(rows, min_count, max_words, top):
+    """Plain counts and scores in Python integers."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = [x for x in re.split(r"[\x20\x09]+", piece) if x]
+            totals[lang] += len(w)
+            for size in range(1, max_words + 1):
+                counts[lang].update(tuple(w[i:i + size]) for i in range(len(w) - size + 1))
+    out = []
+    for lang, found in counts.items():
+        cand = {p: a for p, a in found.items() if len(p) > 1 and a >= min_count}
+        gone = {p[i:j] for p, a in cand.items() for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and 100 * a >= 100 * cand[p[i:j]]}
+        scored = []
+        for p, a in cand.items():
+            if p not in gone:
+                score, _, l, r = min((1000 * a * totals[lang] // (found[p[:k]] * found[p[k:]]), k, found[p[:k]], found[p[k:]]) for k in range(1, len(p)))
+                scored.append((-score, -a, " ".join(p).encode(), l, r))
+        out += [(lang, k + 1, p.decode(), -a, l, r, totals[lang], -s) for k, (s, a, p, l, r) in enumerate(sorted(scored)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("min_count,max_words,top", [(3, 5, 2000), (10, 3, 7), (2, 2, 2000)])
+def test_collocations_match_brute_force(spark, docs, monkeypatch, min_count, max_words, top):
+    monkeypatch.setattr(phrase_mining, "PART_BYTES", 50_000)
+    more = spark.createDataFrame([("xx", "a b a b a b a b. A\tB  a,b!c d c d\x0bc d"), (None, "a b a b"), ("und", "a b"), ("xx", "é ü é ü é ü"), ("xx", None), (None, "")], "lang string, text string")
+    table = docs.select("lang", "text").unionByName(more)
+    found = phrase_mining.collocations(table, min_count, max_words, top, bits=1 << 20)
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(tuple(r) for r in found.collect()) == brute_collocations([tuple(r) for r in table.collect()], min_count, max_words, top)
+
+
+def test_collocations_edges(spark, edge, empty):
+    found = phrase_mining.collocations(edge, 2, bits=1 << 16).collect()
+    assert sorted(tuple(r) for r in found) == brute_collocations([(r["lang"], r["text"]) for r in edge.collect()], 2, 5, 2000)
+    assert phrase_mining.collocations(empty).count() == 0
+    wide = 9_000_000_000
+    big = spark.createDataFrame([("l", 2, "a b", wide), ("l", 1, "a", wide), ("l", 1, "b", wide), ("l", 0, "", 3 * wide)], "lang string, size int, phrase string, a long")
+    assert 1000 * wide * 3 * wide > 1 << 64
+    original, phrase_mining.phrase_counts = phrase_mining.phrase_counts, lambda *a: big
+    try:
+        assert [tuple(r) for r in phrase_mining.collocations(edge).collect()] == [("l", 1, "a b", wide, wide, wide, 3 * wide, 3000)]
+    finally:
+        phrase_mining.phrase_counts = original
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_summaries_lose_no_frequent_key(seed, monkeypatch):
+    monkeypatch.setattr(phrase_mining, "MERGE_ENTRIES", 50)
+    rng = np.random.default_rng(seed)
+    stream = np.concatenate([rng.integers(0, 1 << 32, 6_000, dtype=np.uint32), np.repeat(rng.integers(0, 1 << 32, 20, dtype=np.uint32), rng.integers(60, 140, 20))])
+    rng.shuffle(stream)
+    threshold = 100
+    summary = phrase_mining.Summary(len(stream) // threshold + 1)
+    for some in np.array_split(stream, 40):
+        summary.add(*phrase_mining.unpack(phrase_mining.pack(*np.unique(some, return_counts=True))))
+    summary.merge()
+    left = dict(zip(summary.keys.tolist(), summary.counts.tolist()))
+    assert len(left) <= summary.capacity and summary.error < threshold
+    for key, n in Counter(stream.tolist()).items():
+        assert left.get(key, 0) <= n <= left.get(key, 0) + summary.error
+        assert n < threshold or key in left
+
+
+def test_packed_counts_and_equal_hashes_are_exact():
+    keys, counts = np.array([0, 5, 1 << 31, (1 << 32) - 1], np.uint32), np.array([1, 254, 255, 1 << 40])
+    back = phrase_mining.unpack(phrase_mining.pack(keys, counts))
+    assert back[0].tolist() == keys.tolist() and back[1].tolist() == counts.tolist()
+    ids, lang = np.array([7, 8, 7, 8, 9, 8]), np.zeros(6, np.int64)  # one hash for "7 8", "7 8" and "9 8"
+    first, n = phrase_mining.grouped(np.array([0, 2, 4]), np.zeros(3, np.uint64), ids, lang, 2)
+    assert sorted(zip(first.tolist(), n.tolist())) == [(0, 2), (4, 1)]
+
+
+# ---- op12 ----
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def brute_ids(vocabulary, texts):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(vocabulary)
+    return [plain.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+def check_round_trip(back, rows, vocabulary):
+    """Every row once, in doc_id order (null first), with the ids of its whole text and no gap between documents."""
+    got = sorted(back.collect(), key=lambda r: r["start"])
+    wanted = defaultdict(list)
+    for (doc, _), ids in zip(rows, brute_ids(vocabulary, [t for _, t in rows])):
+        wanted[doc].append(np.array(ids, "<u4").tobytes())
+    assert [r["doc_id"] for r in got] == sorted([d for d, _ in rows], key=lambda d: (d is not None, d or 0))
+    start, found = 0, defaultdict(list)
+    for r in got:
+        assert r["start"] == start and len(r["ids"]) == 4 * r["n_tokens"]
+        start += r["n_tokens"]
+        found[r["doc_id"]].append(bytes(r["ids"]))
+    assert {d: sorted(x) for d, x in found.items()} == {d: sorted(x) for d, x in wanted.items()}
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 700])
+def test_token_files_round_trip(docs, vocabulary, segment):
+    check_round_trip(rans_files.round_trip(docs, vocabulary, segment_tokens=segment), [(r["doc_id"], r["text"]) for r in docs.collect()], vocabulary)
+
+
+def test_token_files_edges(spark, edge, empty, vocabulary):
+    rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
+    check_round_trip(rans_files.round_trip(edge, vocabulary, segment_tokens=50), rows, vocabulary)
+    assert rans_files.round_trip(empty, vocabulary).collect() == []
+    same = [(3, "one text")] * 300 + [(3, f"other {k}") for k in range(300)] + [(-1, "minus"), (None, "x")]
+    check_round_trip(rans_files.round_trip(spark.createDataFrame(same, "doc_id long, text string"), vocabulary, segment_tokens=100), same, vocabulary)
+
+
+def test_units_give_the_ids_of_whole_texts(vocabulary, monkeypatch):
+    import random
+    import pyarrow as pa
+    rng = random.Random(7)
+    pieces = [*"aAbcéßİΣσ'.,;:!?0189 \t\n\x0b\x0c\r\x1c\x85\xa0 -|<>#_̸́漢ÅK\U0001F600", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'re", "don't", "hello"]
+    some = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(4_000)] + [None, "", "word " * 50_000]
+    monkeypatch.setattr(rans_files, "CACHED_UNITS", 3_000)
+    encode = rans_files.UnitEncoder(vocabulary)
+    wanted = brute_ids(vocabulary, some)
+    for at in range(0, len(some), 500):
+        ids, sizes = encode(pa.array(some[at:at + 500], pa.string()), 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted[at:at + 500]
+
+
+@pytest.mark.parametrize("count", [1, 31, 32, 33, 16_384, 16_385, 50_001])
+def test_coder_returns_the_ids(count):
+    rng = np.random.default_rng(count)
+    ids = np.minimum(rng.zipf(1.3, count), 49_000)
+    table = rans_files.table_of(np.bincount(ids))
+    state, found, sizes = rans_files.encode_blocks(ids, table)
+    assert table.frequency.sum() == 1 << rans_files.SCALE_BITS
+    assert (rans_files.decode_blocks(count, state, found, sizes, table) == ids).all()
+    shares = np.bincount(ids)[np.bincount(ids) > 0] / count
+    if count > 50_000:
+        assert len(found) * 32 < 1.06 * count * -(shares * np.log2(shares)).sum()
+    one = rans_files.table_of(np.bincount([5]))
+    state, found, sizes = rans_files.encode_blocks(np.full(count, 5), one)
+    assert len(found) == 0 and (rans_files.decode_blocks(count, state, found, sizes, one) == 5).all()
+
+
+def test_table_keeps_rare_ids():
+    table = rans_files.table_of(np.array([10**12, 0, *[1] * 40_000]))
+    assert table.frequency.sum() == 1 << rans_files.SCALE_BITS and table.frequency[1] == 0 and (table.frequency[2:] == 1).all()
+
+
+def test_damage_is_found(vocabulary):
+    import pyarrow as pa
+    ids = np.arange(40_000) % 300
+    table = rans_files.table_of(np.bincount(ids))
+    raw = rans_files.segment_bytes(ids, np.array([30_000, 10_000]), pa.array([4, None], pa.int64()), table)
+    back, sizes, doc_ids = rans_files.read_segment(raw, table)
+    assert (back == ids).all() and sizes.tolist() == [30_000, 10_000] and doc_ids.to_pylist() == [4, None]
+    for at in (40, len(raw) // 2, len(raw) - 9):
+        with pytest.raises(ValueError):
+            rans_files.read_segment(raw[:at] + bytes([raw[at] ^ 255]) + raw[at + 1:], table)
+
+
+# ---- op13 ----
+
+def brute_clusters(rows, clusters, rounds, dimensions):
+    kept = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and len(v) == dimensions and all(x is not None and math.isfinite(x) for x in v)]
+    first = sorted((hashlib.sha256(f"1:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)[:clusters]
+    cents = [v for _, v in first]
+    assign = lambda: [min((sum((a - b) ** 2 for a, b in zip(v, c)), k) for k, c in enumerate(cents)) for _, v in kept]
+    for _ in range(rounds):
+        now = assign()
+        for k in range(len(cents)):
+            own = [v for (_, v), (_, c) in zip(kept, now) if c == k]
+            if own:
+                cents[k] = [sum(x) // len(own) for x in zip(*own)]
+    now = assign()
+    per = Counter()
+    for d, c in now:
+        per[c] += d
+    return [(i, c, d, per[c], sum(per.values()), hashlib.sha256(",".join(map(str, cents[c])).encode()).hexdigest()) for (i, _), (d, c) in zip(kept, now)]
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+
+
+def test_zone_clusters_match_brute_force(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = [tuple(r) for r in zone_clusters.cluster(vectors, block=16).collect()]
+    assert ordered(found) == ordered(brute_clusters([(r["vec_id"], r["embedding"]) for r in vectors.collect()], 16, 3, 64))
+
+
+def test_zone_clusters_edges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), [float(x) for x in rng.normal(0, 3, 4)]) for k in range(200)]
+    rows += [(500, [1.0, 2.0, 3.0, 4.0])] * 150 + [(7, [0.0] * 4), (7, [9.0] * 4), (None, [1.0] * 4), (600, None), (601, []), (602, [1.0] * 3), (603, [1.0, None, 1.0, 1.0]),
+             (604, [1.0, float("nan"), 1.0, 1.0]), (605, [1.0, float("inf"), 1.0, 1.0]), (606, [1000.0] * 4)]
+    names = "vec_id long, embedding array<double>, cluster string, vector string, distance string, place string, packed string, low string, high string"
+    table = spark.createDataFrame([(*r, *[None] * 7) for r in rows], names)
+    for clusters in (1, 5, 300):
+        found = [tuple(r) for r in zone_clusters.cluster(table, clusters, dimensions=4, block=8).collect()]
+        assert ordered(found) == ordered(brute_clusters(rows, clusters, 3, 4))
+    assert zone_clusters.cluster(table.limit(0)).count() == 0 and zone_clusters.cluster(table.where("vec_id is null")).count() == 0
+    few = zone_clusters.cluster(table.where("vec_id < 3"), dimensions=4).collect()
+    assert sorted(r["distance"] for r in few) == [0, 0, 0] and len({r["cluster"] for r in few}) == 3
+    with pytest.raises(Exception, match="64 bits"):
+        zone_clusters.cluster(spark.createDataFrame([(1, [1e30] * 4)], "vec_id long, embedding array<double>"), dimensions=4).count()
+
+
+@pytest.mark.parametrize("dimensions,bits", [(1, 4), (2, 4), (3, 3), (4, 2)])
+def test_hilbert_keys_walk_the_cube_in_single_steps(dimensions, bits):
+    points = np.array(np.meshgrid(*[np.arange(1 << bits)] * dimensions)).reshape(dimensions, -1).T
+    keys = zone_clusters.hilbert_keys(points, bits)
+    assert sorted(keys.tolist()) == list(range(len(points)))
+    assert (np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def test_boxes_never_lose_the_nearest_centroid():
+    rng = np.random.default_rng(11)
+    ruled_out = 0
+    for _ in range(50):
+        values, cents = rng.integers(-40, 40, (30, 6)) + rng.integers(-200, 200, 6), rng.integers(-200, 200, (20, 6))
+        among = zone_clusters.candidates(values.min(0), values.max(0), cents)
+        ruled_out += 20 - len(among)
+        assert [x.tolist() for x in zone_clusters.nearest(values, cents, among)] == [x.tolist() for x in zone_clusters.nearest(values, cents, np.arange(20))]
+    assert ruled_out > 300
+
+
 # ---- pipeline ----
 
 def test_pipeline_stages(spark, sf_dir, edge):
