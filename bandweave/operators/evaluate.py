@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .ranking import exact_percentiles, null_safe_join, running_totals, with_scalars
 
 POSITIVE = 0.4  # fixed value: metric positives are above this
@@ -89,9 +90,10 @@ def class_percentiles(df: DataFrame, probs: dict[str, float], exact: bool = True
 def otsu_split(df: DataFrame, keys: list[str], value: str, n_bins: int = 256) -> DataFrame:
     """Histogram threshold with the largest between-class variance per key.
 
-    Only bin counts (``n_bins`` per key) reach the window.
+    Only bin counts (``n_bins`` per key) reach the window. The bounds of the keys are written first, so their true size
+    decides how rows meet them. ``any_above`` tells whether a value passes the threshold.
     """
-    span = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    span = cut_lineage(df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")))
     width = (F.col("__hi") - F.col("__lo")) / float(n_bins)
     at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(n_bins - 1))).otherwise(F.lit(0))
     hist = null_safe_join(df.select(*keys, value), span, keys).withColumn("__b", at).groupBy(*keys, "__b", "__lo", "__hi").agg(F.count(F.lit(1)).alias("c"))
@@ -103,16 +105,15 @@ def otsu_split(df: DataFrame, keys: list[str], value: str, n_bins: int = 256) ->
     mean_gap = s1 / w1 - (s - s1) / (w - w1)
     var = F.when(w > w1, w1 * (w - w1) * mean_gap * mean_gap).otherwise(-1.0)
     scored = h.select(*keys, "m", var.alias("v"), "__b")
-    return scored.groupBy(*keys).agg(F.max_by("m", F.struct(F.col("v"), -F.col("__b"))).alias("otsu"))
+    best = scored.groupBy(*keys).agg(F.max_by("m", F.struct(F.col("v"), -F.col("__b"))).alias("otsu"))
+    return null_safe_join(best, span, keys).select(*keys, "otsu", (F.col("__hi") > F.col("otsu")).alias("any_above"))
 
 
 def otsu_tiers(df: DataFrame, probs: dict[str, float]) -> DataFrame:
     """Percentiles of the values above the Otsu threshold (of all values when none is above)."""
-    cut = otsu_split(df, ["class"], "score")
-    both = df.select("class", "score").join(cut, "class")
-    any_above = both.groupBy("class").agg(F.max(F.col("score") > F.col("otsu")).alias("__any"))
-    signal = both.join(any_above, "class").where((F.col("score") > F.col("otsu")) | ~F.col("__any"))
-    return exact_percentiles(signal, ["class"], "score", probs).withColumnRenamed("n", "n_signal").join(cut, "class")
+    cut = cut_lineage(otsu_split(df, ["class"], "score"))
+    signal = df.select("class", "score").join(cut, "class").where((F.col("score") > F.col("otsu")) | ~F.col("any_above")).select("class", "score")
+    return exact_percentiles(signal, ["class"], "score", probs).withColumnRenamed("n", "n_signal").join(cut.drop("any_above"), "class")
 
 
 def decile_rates(df: DataFrame, covariate: str, detected: Column, n: int = 10) -> DataFrame:

@@ -7,6 +7,10 @@ is split by (tile, row) and (tile, column) and a huge tile still spreads over ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
@@ -14,6 +18,7 @@ from .graph import connected_components
 from .ranking import exact_percentiles
 
 T, R, C = "tile_id", "pixel_row", "pixel_col"
+BLOCK, PATCHES_A_BATCH = 64, 256
 
 
 def _along_row(lo=None, hi=None):
@@ -118,18 +123,46 @@ def edge_mask(df: DataFrame, valid: str, distance: int, name: str = "edge") -> D
 def patches(centres: DataFrame, grid: DataFrame, spectrum: str, bands: int, size: int = 7, outside: float = 0.0) -> DataFrame:
     """size x size spectra around each centre in row-major order, ``outside`` beyond the tile.
 
-    Only keys are multiplied; the grid is joined on (tile, row, column).
+    The grid is dealt in blocks of BLOCK x BLOCK cells with a rim of size // 2, so a spectrum travels once, or a few
+    times near a border, and not once for every patch that shows it. Only blocks with centres are dealt. Each block
+    becomes one array from which its patches are sliced. A null spectrum counts as ``outside``.
     """
     h = size // 2
-    key = centres.select(T, R, C)
-    offsets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(k // size - h).alias("dr"), F.lit(k % size - h).alias("dc")) for k in range(size * size)])
-    wanted = key.select(F.col(T), F.col(R).alias("__r"), F.col(C).alias("__c"), F.explode(offsets).alias("o"))
-    wanted = wanted.select(T, "__r", "__c", F.col("o.k").alias("k"), (F.col("__r") + F.col("o.dr")).alias(R), (F.col("__c") + F.col("o.dc")).alias(C))
-    found = wanted.join(grid.select(T, R, C, F.col(spectrum).cast("array<double>").alias("__s")), [T, R, C], "left")
-    beyond = F.array_repeat(F.lit(outside), bands)
-    cell = F.struct("k", F.coalesce("__s", beyond).alias("s"))
-    out = found.groupBy(T, F.col("__r").alias(R), F.col("__c").alias(C)).agg(F.array_sort(F.collect_list(cell)).alias("__p"))
-    return out.select(T, R, C, F.transform("__p", lambda x: x["s"]).alias("patch"))
+    side = BLOCK + 2 * h
+    block = [T, "__br", "__bc"]
+    types = dict(grid.dtypes)
+
+    def reach(at: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(at) - h) / BLOCK), F.floor((F.col(at) + h) / BLOCK)))
+
+    key = centres.select(T, R, C, F.floor(F.col(R) / BLOCK).alias("__br"), F.floor(F.col(C) / BLOCK).alias("__bc"))
+    cells = grid.select(T, R, C, F.col(spectrum).cast("array<double>").alias("__s")).select("*", reach(R).alias("__br")).select("*", reach(C).alias("__bc"))
+    cells = cells.join(key.select(*block).distinct(), block, "left_semi")
+    both = cells.withColumn("__centre", F.lit(False)).unionByName(key.withColumns({"__s": F.lit(None).cast("array<double>"), "__centre": F.lit(True)}))
+
+    def cut(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, missing = np.full((side, side, bands), outside), np.zeros((side, side, bands), bool)
+        top, left = (k.as_py() * BLOCK - h for k in keys[1:])
+        wanted = []
+        for batch in batches:
+            is_centre = batch.column("__centre").to_numpy(zero_copy_only=False)
+            place = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (R, C)]) - [[top], [left]]
+            wanted.append(place[:, is_centre])
+            known = batch.column("__s").is_valid().to_numpy(zero_copy_only=False)
+            flat = batch.column("__s").flatten()
+            values[tuple(place[:, known])] = flat.to_numpy(zero_copy_only=False).reshape(-1, bands)
+            missing[tuple(place[:, known])] = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, bands)
+        row, col = np.concatenate(wanted, axis=1)
+        shown, holes = (np.lib.stride_tricks.sliding_window_view(a, (size, size), axis=(0, 1)) for a in (values, missing))
+        for start in range(0, len(row), PATCHES_A_BATCH):
+            r, c = row[start:start + PATCHES_A_BATCH], col[start:start + PATCHES_A_BATCH]
+            some, hole = (np.ascontiguousarray(a[r - h, c - h].transpose(0, 2, 3, 1)) for a in (shown, holes))
+            spectra = pa.ListArray.from_arrays(pa.array(np.arange(0, some.size + 1, bands), pa.int32()), pa.array(some.ravel(), pa.float64(), mask=hole.ravel()))
+            patch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(spectra) + 1, size * size), pa.int32()), spectra)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()] * len(r), keys[0].type), pa.array(r + top), pa.array(c + left), patch], names=[T, R, C, "patch"])
+
+    out = both.groupBy(*block).applyInArrow(cut, f"{T} {types[T]}, {R} bigint, {C} bigint, patch array<array<double>>")
+    return out.select(T, F.col(R).cast(types[R]).alias(R), F.col(C).cast(types[C]).alias(C), "patch")
 
 
 def block_average(df: DataFrame, values: list[str], valid: str, factor: int) -> DataFrame:

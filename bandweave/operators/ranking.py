@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 
 GROUP_LIMIT = 1000  # Spark drops rows past this rank before the shuffle
+LEVEL_BITS, MAX_LEVELS = 16, 3  # 48 of the 52 bits of a fraction
+SORTED_ROWS = 1 << 20
 
 
 def _name(i: int) -> str:
@@ -87,19 +89,65 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank",
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
+def _bucket(value: Column, depth: int) -> Column:
+    """Number of the value's bucket at a depth, rising with the value within its bucket of the depth before.
+
+    Depth 0 cuts every octave in 2^LEVEL_BITS even buckets, later ones cut a bucket again. Dividing by a power of two
+    is exact, and a logarithm rounded to the wrong side of an octave gives the same number.
+    """
+    x = value.cast("double")
+    size, steps = F.abs(x), float(1 << LEVEL_BITS)
+    octave = F.floor(F.log2(size))
+    scaled = size / F.pow(F.lit(2.0), octave) * steps
+    at = (octave + 1100) * int(steps) + F.floor(scaled)
+    for _ in range(depth):
+        scaled = (scaled - F.floor(scaled)) * steps
+        at = F.floor(scaled)
+    largest = F.lit((1 << 62) if depth == 0 else 0)
+    return F.when(size == 0, F.lit(0)).when(size == float("inf"), F.signum(x).cast("bigint") * largest).otherwise(F.signum(x).cast("bigint") * at).cast("bigint")
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
     """Values at 0-based sorted positions; each pick is an expression over the count ``n``.
 
-    NULL and NaN values are left out. Equal values are counted before the shuffle.
+    Selection by refinement: rows are counted in buckets on the map side, only the buckets that hold a wanted position
+    are kept, and one that holds several values is counted again in finer buckets. Once the kept buckets are small,
+    their different values are numbered. No value is sorted or written before that. NULL and NaN values are left out.
+    ``df`` is read once for each step; data of few different values need one step.
     """
-    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    run = running_totals(counted, keys, [value], {"__cum": F.col("__n")})
-    size = counted.groupBy(*keys).agg(F.sum("__n").alias("n"))
-    both = null_safe_join(run, size, keys)
-    picked = [F.max(F.when((pos >= F.col("__cum") - F.col("__n")) & (pos < F.col("__cum")), F.col(value))).alias(name)
-              for name, pos in picks.items()]
-    return both.groupBy(*keys).agg(F.max("n").alias("n"), *picked)
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).alias("__v"))
+    wanted, levels, found = None, [], []
+    while True:
+        rows = known.withColumns({level: _bucket(F.col("__v"), depth) for depth, level in enumerate(levels)})
+        if wanted is not None:
+            rows = null_safe_join(rows, wanted.where("__lo < __hi").select(*keys, *levels, "__before", "__size"), [*keys, *levels])
+        last = wanted is not None and (size <= SORTED_ROWS or len(levels) == MAX_LEVELS)
+        step = "__v" if last else f"__b{len(levels)}"
+        held = F.max("__before") if wanted is not None else F.lit(0)
+        rows = rows if last else rows.withColumn(step, _bucket(F.col("__v"), len(levels)))
+        bounds = [F.col("__v").alias("__lo"), F.col("__v").alias("__hi")] if last else ["__lo", "__hi"]
+        spread = [] if last else [F.min("__v").alias("__lo"), F.max("__v").alias("__hi")]
+        counts = rows.groupBy(*keys, *levels, step).agg(
+            F.count(F.lit(1)).alias("__c"), *spread, held.alias("__held"), *([F.max("__size").alias("__size")] if wanted is not None else []))
+        whole = Window.partitionBy(*keys, *levels)
+        cum = F.sum("__c").over(whole.orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        total = F.col("__size") if wanted is not None else F.sum("__c").over(whole)
+        counts = counts.withColumns({"__before": F.col("__held") + cum - F.col("__c"), "n": total})
+        hits = [(pos >= F.col("__before")) & (pos < F.col("__before") + F.col("__c")) for pos in picks.values()]
+        kept = counts.where(reduce(lambda a, b: a | b, hits)) if hits else counts
+        kept = kept.select(*keys, *levels, *([] if last else [step]), *bounds, "__c", "__before", F.col("n").alias("__size"))
+        if last:
+            found.append(kept)
+            break
+        levels.append(step)
+        wanted = cut_lineage(kept)
+        found.append(wanted.where("__lo = __hi"))
+        size = wanted.where("__lo < __hi").agg(F.max("__c")).first()[0]
+        if size is None:
+            break
+    known_picks = reduce(DataFrame.unionByName, [f.select(*keys, "__lo", "__c", "__before", F.col("__size").alias("n")) for f in found])
+    picked = [F.max(F.when((pos >= F.col("__before")) & (pos < F.col("__before") + F.col("__c")), F.col("__lo"))).alias(name) for name, pos in picks.items()]
+    return known_picks.groupBy(*keys).agg(F.max("n").alias("n"), *picked)
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
