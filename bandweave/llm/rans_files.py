@@ -10,10 +10,12 @@ of a segment move together in array operations, and any segment is read without
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from bandweave.session import collect_bounded, cut_lineage, shared_dir
 
 from .flatfiles import columns, read_range, store
-from .text import flat, sliced, space_table, spans
+from .text import flat, sliced, space_table
 
 MAGIC = b"LANEANS1"
 SCALE_BITS = 20
@@ -33,18 +35,31 @@ LOWEST = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MAX_VOCABULARY = 1 << 19
 MAX_FILES = 1 << 20
-CACHED_UNITS, CACHED_IDS = 1 << 20, 1 << 23
+CACHED_UNITS, CACHED_IDS = 3 << 18, 1 << 23
 CHECKPOINT = ["offset", "bytes", "first_doc", "first_token", "docs", "tokens", "checksum"]
 
+#: ASCII punctuation that never joins letters or digits in a token: all but what contractions and special tokens are made of.
+PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Letters that stand for bytes in byte-level vocabularies: visible Latin-1 characters for themselves, the others from 256 up.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTER = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(SHOWN)))}
+
 
 # ---- tokens ----
 
+def byte_letters(word: str) -> str:
+    """The word in lower case, a letter for each of its bytes."""
+    return word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(BYTE_LETTER)
+
+
 class UnitEncoder:
     """Ids of whole texts from a cache of encoded units.
 
-    Units end at ASCII white space and between an ASCII letter or digit and one of ``.,;:!?``. For a tokenizer that
-    drops white space and splits there anyway, the ids of a text are those of its units in a row. The cache is
-    emptied when it is full.
+    Units end at ASCII white space and between an ASCII letter or digit and one of PUNCTUATION. For a tokenizer that
+    drops white space and splits there anyway, the ids of a text are those of its units in a row. A unit of LETTERS
+    alone goes to the tokenizer's model in lower case, if the tokenizer treats such words so; all others go through
+    the whole tokenizer. The cache is emptied when it is full.
     """
 
     def __init__(self, path: str):
@@ -52,55 +67,72 @@ class UnitEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        probe = "The quick Brown fox jumpEd uncharacteristically over thththnd zzzqx LAZY dogs Équeêeux schÜßler ÑÀÿ".split()
+        self.direct = all([t.id for t in self.tokenizer.model.tokenize(byte_letters(w))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.bounds = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
+    def encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units in a row and the number of each."""
+        if self.direct:
+            tokenize = self.tokenizer.model.tokenize
+            found = [[t.id for t in tokenize(byte_letters(u))] if LETTERS.fullmatch(u) else None for u in units]
+        else:
+            found = [None] * len(units)
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch([units[k] for k in rest], add_special_tokens=False)):
+            found[k] = e.ids
+        return np.fromiter(chain.from_iterable(found), self.kind), np.fromiter(map(len, found), np.int64, len(found))
+
     def numbers(self, units: list[str]) -> np.ndarray:
         if len(self.known) + len(units) > CACHED_UNITS or len(self.ids) > CACHED_IDS:
             self.clear()
-        new = [u for u in units if u not in self.known]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            for u in new:
-                self.known[u] = len(self.known)
-            self.ids = np.concatenate([self.ids, *[np.array(f, self.kind) for f in found]])
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(f) for f in found], dtype=np.int64)])
-        return np.array([self.known[u] for u in units], np.int64)
+        found = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            names = [units[k] for k in new]
+            ids, sizes = self.encoded(names)
+            found[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(names, found[new].tolist()))
+            self.ids = np.concatenate([self.ids, ids])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        return found
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by ``end_id``, and the number of ids of each."""
         data, off = flat(texts)
-        start, end, doc = spans(~space_table()[data], off)
-        cut = np.flatnonzero(unit_ends(data))
-        cut = cut[np.isin(cut + 1, start, invert=True)] if len(cut) else cut
-        inner = cut[np.searchsorted(start, cut, side="right") > 0] + 1
-        owner = np.searchsorted(start, inner, side="right") - 1
-        inner = inner[inner < end[owner]] if len(inner) else inner
-        start, end = np.sort(np.concatenate([start, inner])), np.sort(np.concatenate([end, inner]))
-        doc = np.searchsorted(off, start, side="right") - 1
-        bounds = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-        joined = data[~space_table()[data]]
+        docs = len(off) - 1
+        inside = ~space_table()[data]
+        first = inside.copy()
+        if len(data):
+            first[1:] &= ~inside[:-1] | unit_ends(data)
+            heads = off[:-1][off[:-1] < off[1:]]
+            first[heads] = inside[heads]
+        start, joined = np.flatnonzero(first), data[inside]
+        if not len(start):
+            return np.full(docs, end_id, self.kind), np.ones(docs, np.int64)
+        bounds = np.append(np.flatnonzero(first[inside]), len(joined)).astype(np.int64)
         units = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(joined)]).dictionary_encode()
-        number = self.numbers(units.dictionary.to_pylist())[units.indices.to_numpy(zero_copy_only=False)] if len(start) else np.zeros(0, np.int64)
-        sizes = np.diff(self.bounds)[number] if len(start) else number
+        number = self.numbers(units.dictionary.to_numpy(zero_copy_only=False).tolist())[units.indices.to_numpy(zero_copy_only=False)]
+        sizes = np.diff(self.bounds)[number]
         ends = np.cumsum(sizes)
-        per_doc = np.bincount(doc, sizes, len(off) - 1).astype(np.int64) + 1
-        out = np.full(int(per_doc.sum()), end_id, self.kind)
-        place = np.arange(int(sizes.sum()))
-        out[place + np.repeat(doc, sizes)] = self.ids[np.repeat(self.bounds[number] - (ends - sizes), sizes) + place]
-        return out, per_doc
+        total = np.append(0, ends)[np.searchsorted(start, off)]
+        per_doc = np.diff(total) + 1
+        place = np.arange(ends[-1] if len(ends) else 0)
+        place += np.repeat(self.bounds[number] - (ends - sizes), sizes)
+        return np.insert(self.ids[place], total[1:], end_id), per_doc
 
 
 def unit_ends(data: np.ndarray) -> np.ndarray:
-    """True where a byte and the next are an ASCII letter or digit and one of ``.,;:!?``, in either order."""
-    plain, mark = np.zeros(256, bool), np.zeros(256, bool)
-    plain[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-    mark[list(b".,;:!?")] = True
-    plain, mark = plain[data], mark[data]
-    return (plain[:-1] & mark[1:]) | (mark[:-1] & plain[1:])
+    """True where a byte and the next are an ASCII letter or digit and one of PUNCTUATION, in either order."""
+    kind = np.zeros(256, np.int8)
+    kind[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+    kind[list(PUNCTUATION)] = 2
+    kind = kind[data]
+    return kind[:-1] + kind[1:] + 4 * (kind[:-1] == kind[1:]) == 3
 
 
 ENCODERS: dict[str, UnitEncoder] = {}
@@ -370,7 +402,8 @@ def read_files(files: DataFrame, table: Table) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ends - sizes + r["ahead"] + r["first_token"], pa.int64()), pa.array(sizes, pa.int64()), packed.cast(pa.binary())],
                                                  names=["doc_id", "start", "n_tokens", "ids"])
 
-    spread = listed.mapInArrow(footers, points).repartition(F.col("path"), F.col("offset"))
+    tasks = max(1, min(-(-ahead // SEGMENT_TOKENS), 1 << 15))
+    spread = listed.mapInArrow(footers, points).repartition(tasks, F.col("path"), F.col("offset"))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 

@@ -747,7 +747,7 @@ def test_units_give_the_ids_of_whole_texts(vocabulary, monkeypatch):
     import random
     import pyarrow as pa
     rng = random.Random(7)
-    pieces = [*"aAbcéßİΣσ'.,;:!?0189 \t\n\x0b\x0c\r\x1c\x85\xa0 -|<>#_̸́漢ÅK\U0001F600", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'re", "don't", "hello"]
+    pieces = [*"aAbcéßİΣσ'.,;:!?0189 \t\n\x0b\x0c\r\x1c\x85\xa0 -|<>#_̸́漢ÅK\U0001F600", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'re", "don't", "hello", *"\"$%&()*+/=@[\\]^`{}~ÀÖ×Øöø÷ÿñÑªº"]
     some = ["".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(4_000)] + [None, "", "word " * 50_000]
     monkeypatch.setattr(rans_files, "CACHED_UNITS", 3_000)
     encode = rans_files.UnitEncoder(vocabulary)
