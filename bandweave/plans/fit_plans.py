@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import augment as G, rules as R, spectral as S
-from ..operators import evaluate as V, fitting as M, mining as K
+from ..operators import aggregates as A, evaluate as V, fitting as M, mining as K, split as P
 from ..operators.grid import patches
 from ..operators.ranking import exact_percentiles
-from .grid_plans import grid, spectrum_grid
+from ..session import cut_lineage
+from .grid_plans import CENTERS, CLOSE, centers, grid, spectrum_grid, unit_pixels
 from .registry import query
 from .sampling_plans import GRD, h
 from .spectral_plans import PARAMS, RULES, vectors
@@ -189,6 +190,36 @@ def merge_hard_negatives(spark, sf_dir):
     return out.groupBy(F.when(F.col("split").isNull(), "mined").otherwise("base").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("polygon_id").alias("polygons"), F.sum("other").alias("other"))
 
 
+RESPLIT = cte(p=PIXELS).replace(" AS (", " AS MATERIALIZED (", 1) + f""", c AS ({CENTERS}),
+b AS (SELECT tile_id, CAST(floor(polygon_id / 1e2) AS BIGINT) AS polygon_id, pixel_row % 1500 AS r, polygon_id * 37 % 1500 + pixel_col AS k,
+      CASE CAST(substr(tile_id, 2) AS BIGINT) % 10 WHEN 3 THEN 'val' WHEN 7 THEN 'test' ELSE 'train' END AS split FROM p),
+m AS (SELECT 't' || CAST(o_custkey % 10 AS STRING) AS tile_id, o_orderkey % CASE WHEN o_custkey % 10 < 6 THEN 1500 ELSE 100 END AS r, o_custkey * 53 % 1500 AS k FROM orders WHERE o_orderstatus = 'F'),
+f AS (SELECT * FROM m WHERE (tile_id, r, k) NOT IN (SELECT tile_id, r, k FROM b)),
+u AS (SELECT tile_id, polygon_id, r, k, split FROM b UNION ALL SELECT tile_id, -1, r, k, NULL FROM f),
+g AS (SELECT tile_id || '|' || CAST(polygon_id AS STRING) AS id, tile_id, polygon_id, avg(r) AS r, avg(k) AS k, max(split) AS split, count(*) AS n FROM u GROUP BY ALL),
+q AS MATERIALIZED (SELECT id, polygon_id, split, n, lat - 5e0 * (r / 15e2 - 5e-1) AS lat, lon + 5e0 * (k / 15e2 - 5e-1) AS lon FROM g JOIN c USING (tile_id)),
+w AS (SELECT tile_id, r, k, min(tile_id || '|' || CAST(polygon_id AS STRING)) AS low FROM u GROUP BY ALL),
+s AS (SELECT DISTINCT u.tile_id || '|' || CAST(u.polygon_id AS STRING) AS x, w.low AS y FROM u JOIN w ON w.tile_id = u.tile_id AND w.r = u.r AND w.k = u.k),
+e AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM q a JOIN q b ON a.id <> b.id AND {CLOSE} UNION SELECT x, y FROM s WHERE x <> y UNION SELECT y, x FROM s WHERE x <> y),
+z AS (SELECT id, id AS root FROM q UNION SELECT e.y, z.root FROM z JOIN e ON e.x = z.id WHERE z.root < e.y),
+o AS (SELECT id, min(root) AS root FROM z GROUP BY id),
+h AS (SELECT root, min(split) AS low, max(split) AS high FROM o JOIN q USING (id) GROUP BY root)
+SELECT CASE WHEN polygon_id >= 0 THEN 'base' ELSE 'mined' END AS kind, CASE WHEN polygon_id >= 0 THEN split WHEN low IS NULL THEN 'dealt' WHEN low = high THEN low ELSE 'unused' END AS split,
+       CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS polygons FROM q JOIN o USING (id) JOIN h USING (root) GROUP BY 1, 2"""
+
+
+@query("merge_and_resplit", "WITH RECURSIVE" + RESPLIT.removeprefix("WITH"))
+def merge_and_resplit(spark, sf_dir):
+    number = F.substring("tile_id", 2, 10).cast("long") % 10
+    base = unit_pixels(spark, sf_dir).withColumn("split", F.when(number == 3, "val").when(number == 7, "test").otherwise("train"))
+    mined = load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr("'t' || CAST(o_custkey % 10 AS STRING) AS tile_id", "o_orderkey % CASE WHEN o_custkey % 10 < 6 THEN 1500 ELSE 100 END AS pixel_row", "o_custkey * 53 % 1500 AS pixel_col", *[f"o_totalprice / 5e5 AS band_{i:02d}" for i in range(4)])
+    merged = cut_lineage(K.merge_negatives(base, mined, "other").withColumn("kind", F.when(F.col("split").isNull(), "mined").otherwise("base")))
+    out = P.anchored_split(merged, A.centroids(merged, centers(spark, sf_dir), ["tile_id", "polygon_id"]), ["lcp", "hcp", "plagioclase", "other"], 42)
+    alone = out.groupBy("unit").agg(F.max(F.col("kind") == "base").alias("anchored"))
+    shown = F.when((F.col("kind") == "mined") & ~F.col("anchored") & F.col("split").isin(*P.SPLITS), "dealt").otherwise(F.col("split"))
+    return out.join(alone, "unit").groupBy("kind", shown.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tile_id", "polygon_id").alias("polygons"))
+
+
 # ---------------------------------------------------------------- augmentation
 
 @query("augment_spectra")

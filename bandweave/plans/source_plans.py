@@ -10,7 +10,7 @@ from ..functions import labels as L
 from ..operators import aggregates as A, joins as J, review as R
 from ..operators.sampling import latest
 from ..schema import LABELS_RAW
-from ..sources import scans as S, sinks as W
+from ..sources import log, scans as S, sinks as W
 from ..streaming import ledger as D
 from .grid_plans import centers, grid
 from .labels_plans import AUDIT_SQL, defects
@@ -230,9 +230,9 @@ def upsert_polygons(spark, sf_dir):
 def upsert_table(spark, sf_dir):
     path = W.scratch(spark, "upsert")
     p = derive(spark, sf_dir, PIXELS).select("polygon_id", "pixel_row", F.lit("old").alias("version"), (F.col("polygon_id") % 8).cast("int").alias("bucket"))
-    W.upsert_partitions(p, path, "polygon_id", "bucket")
-    W.upsert_partitions(p.where("polygon_id % 16 = 1").withColumn("version", F.lit("new")), path, "polygon_id", "bucket")
-    return spark.read.parquet(path).groupBy("bucket", "version").agg(F.count(F.lit(1)).alias("n"))
+    log.append(p, path, 0)
+    log.append(p.where("polygon_id % 16 = 1").withColumn("version", F.lit("new")), path, 1)
+    return log.read(spark, path, ["polygon_id"]).groupBy("bucket", "version").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("publish_versions", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS version FROM orders WHERE o_orderstatus = 'O'")
@@ -287,9 +287,8 @@ def finished(query):
 @query("stream_progress", DEC + "SELECT predicted_class, CAST(count(*) AS BIGINT) AS n_decisions, CAST(count(CASE WHEN decision = 'confirm' THEN 1 END) AS BIGINT) AS n_confirm, CAST(sum(CASE WHEN decision = 'confirm' THEN n_pixels ELSE 0 END) AS BIGINT) AS pixels_confirmed FROM p GROUP BY predicted_class")
 def stream_progress(spark, sf_dir):
     place = W.scratch(spark, "progress")
-    name = "progress_" + place[-12:]
-    finished(D.run_table(D.progress(event_stream(spark, sf_dir)), name, place))
-    return spark.table(name)
+    finished(D.run_totals(D.progress(event_stream(spark, sf_dir)), f"{place}/table", f"{place}/checkpoint"))
+    return log.read(spark, f"{place}/table", ["predicted_class"])
 
 
 @query("stream_latest_decision", DEC + "SELECT polygon_uid, event_id, decision, n_pixels FROM (SELECT *, row_number() OVER (PARTITION BY polygon_uid ORDER BY ts DESC, event_id DESC) AS rn FROM p) q WHERE rn = 1")
@@ -297,7 +296,7 @@ def stream_latest_decision(spark, sf_dir):
     place = W.scratch(spark, "latest")
     write = D.merge_latest(f"{place}/table", ["ts", "event_id"])
     finished(D.run_batches(event_stream(spark, sf_dir), write, f"{place}/checkpoint"))
-    return spark.read.parquet(f"{place}/table").select("polygon_uid", "event_id", "decision", "n_pixels")
+    return log.read(spark, f"{place}/table", ["polygon_uid"], ["ts", "event_id"]).select("polygon_uid", "event_id", "decision", "n_pixels")
 
 
 @query("stream_csv_ledger", DEC + "SELECT predicted_class, CAST(count(*) AS BIGINT) AS n_decisions, CAST(sum(CASE WHEN decision = 'confirm' THEN n_pixels ELSE 0 END) AS BIGINT) AS pixels_confirmed FROM p GROUP BY predicted_class")
@@ -305,9 +304,8 @@ def stream_csv_ledger(spark, sf_dir):
     place = W.scratch(spark, "csv")
     d = derive(spark, sf_dir, DECISIONS).withColumn("ts", F.col("ts").cast("timestamp"))
     R.migrate_ledger(d).withColumn("area_m2", F.lit(0.0)).repartition(6).write.option("header", True).csv(f"{place}/ledger")
-    name = "csv_" + place[-12:]
-    finished(D.run_table(D.progress(D.read_ledger(spark, f"{place}/ledger", files_per_batch=2)), name, f"{place}/checkpoint"))
-    return spark.table(name).drop("n_confirm")
+    finished(D.run_totals(D.progress(D.read_ledger(spark, f"{place}/ledger", files_per_batch=2)), f"{place}/table", f"{place}/checkpoint"))
+    return log.read(spark, f"{place}/table", ["predicted_class"]).drop("n_confirm")
 
 
 @query("stream_skip_decided", DEC + "SELECT polygon_uid, event_id FROM p WHERE polygon_uid NOT IN (SELECT 'u' || CAST(c_custkey AS STRING) FROM customer WHERE c_custkey % 2 = 0)")
@@ -336,14 +334,13 @@ def stream_audit(spark, sf_dir):
     place = W.scratch(spark, "audit")
     defects(spark, sf_dir).select("tile_id", "spectrum").repartition(4).write.parquet(f"{place}/in")
     schema = spark.read.parquet(f"{place}/in").schema
-    name = "audit_" + place[-12:]
-    finished(D.run_table(D.audit_counts(D.read_table(spark, f"{place}/in", schema)), name, f"{place}/checkpoint"))
-    return spark.table(name)
+    finished(D.run_totals(D.audit_counts(D.read_table(spark, f"{place}/in", schema)), f"{place}/table", f"{place}/checkpoint"))
+    return log.read(spark, f"{place}/table", ["tile_id"])
 
 
-@query("stream_confirmed_upsert", UIDPIX + "SELECT x.polygon_uid, CAST(count(*) AS BIGINT) AS n, sum(CASE WHEN predicted_class = 'lcp' THEN 1e0 ELSE 0e0 END) AS lcp FROM x JOIN (SELECT DISTINCT polygon_uid, predicted_class FROM d WHERE event_type IN ('purchase', 'click')) c ON c.polygon_uid = x.polygon_uid GROUP BY x.polygon_uid")
+@query("stream_confirmed_upsert", UIDPIX + "SELECT x.polygon_uid, CAST(count(*) AS BIGINT) AS n, sum(CASE WHEN predicted_class = 'lcp' THEN 1e0 ELSE 0e0 END) AS lcp FROM x JOIN l ON l.polygon_uid = x.polygon_uid WHERE event_type IN ('purchase', 'click') GROUP BY x.polygon_uid")
 def stream_confirmed_upsert(spark, sf_dir):
-    place = W.scratch(spark, "confirmed")
+    place, order = W.scratch(spark, "confirmed"), ["ts", "event_id"]
     stream = event_stream(spark, sf_dir).withColumn("label_class", F.col("predicted_class")).withColumn("extra_classes", F.lit(None).cast("array<string>"))
-    finished(D.run_batches(stream, D.upsert_confirmed(uid_pixels(spark, sf_dir), f"{place}/table"), f"{place}/checkpoint"))
-    return spark.read.parquet(f"{place}/table").groupBy("polygon_uid").agg(F.count(F.lit(1)).alias("n"), F.sum("lcp").alias("lcp"))
+    finished(D.run_batches(stream, D.upsert_confirmed(uid_pixels(spark, sf_dir), f"{place}/table", order), f"{place}/checkpoint"))
+    return log.read(spark, f"{place}/table", ["polygon_uid"], order).groupBy("polygon_uid").agg(F.count(F.lit(1)).alias("n"), F.sum("lcp").alias("lcp"))

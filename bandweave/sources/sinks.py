@@ -1,4 +1,4 @@
-"""Tables written by the engine: versioned replace, keyed upserts, score and class layers."""
+"""Tables written by the engine: versioned replace, score and class layers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import collect_bounded, cut_lineage, shared_dir
+from ..session import shared_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -47,28 +47,6 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{version:08d}")
 
 
-MAX_TOUCHED = 10_000  # partitions one upsert may rewrite
-
-
-def touched_rows(table: DataFrame, rows: DataFrame, partition: str) -> DataFrame:
-    """Rows of the partitions that ``rows`` falls in; the values prune the scan."""
-    values = [r[0] for r in collect_bounded(rows.select(partition).distinct(), MAX_TOUCHED, "touched partitions")]
-    return table.where(F.col(partition).isin(values))
-
-
-def upsert_partitions(rows: DataFrame, path: str, key: str, partition: str) -> None:
-    """Rows replace earlier rows of the same key in a table partitioned by ``partition``.
-
-    Only the touched partitions are read and rewritten. A key must not change partition.
-    """
-    spark = rows.sparkSession
-    merged = rows = cut_lineage(rows)
-    if exists(spark, path):
-        old = touched_rows(spark.read.parquet(path), rows, partition).join(rows.select(key).distinct(), key, "left_anti")
-        merged = cut_lineage(old.unionByName(rows, allowMissingColumns=True))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-
-
 def write_scores(df: DataFrame, path: str, channels: list[str], probs: str = "probs") -> None:
     """Score table with its channel order kept in the schema; a wrong width fails the job."""
     ok = F.assert_true(F.size(probs) == len(channels), F.lit(f"expected {len(channels)} channels"))

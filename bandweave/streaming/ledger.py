@@ -11,10 +11,7 @@ from ..functions import masks as M
 from ..operators.review import confirmed_rows
 from ..operators.sampling import latest
 from ..schema import DECISION_SCHEMA
-from ..session import cut_lineage
-from ..sources.sinks import exists, touched_rows, upsert_partitions
-
-BUCKETS = 64  # partitions of the keyed tables
+from ..sources import log
 
 
 def read_ledger(spark: SparkSession, folder: str, schema: T.StructType = DECISION_SCHEMA, files_per_batch: int = 1000) -> DataFrame:
@@ -48,18 +45,12 @@ def audit_counts(rows: DataFrame, spectrum: str = "spectrum") -> DataFrame:
 
 
 def merge_latest(path: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Keep the latest decision per uid: each batch is compared with the stored rows, no state is held.
+    """Appends the latest decision per uid of each batch to the log at ``path``; ``log.read`` takes the latest of all.
 
-    Replaying a batch leaves the table as it is.
+    A batch writes its own rows alone, in whatever order batches come, and replaying one leaves the log as it is.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("polygon_uid"), F.lit(BUCKETS)).cast("int"))
-        newest = cut_lineage(latest(keyed, "polygon_uid", order))
-        if exists(spark, path):
-            stored = touched_rows(spark.read.parquet(path), newest, "bucket").join(newest.select("polygon_uid"), "polygon_uid", "left_semi")
-            newest = latest(newest.unionByName(stored, allowMissingColumns=True), "polygon_uid", order)
-        upsert_partitions(newest, path, "polygon_uid", "bucket")
+    def write(batch: DataFrame, number: int) -> None:
+        log.append(latest(batch, "polygon_uid", order), path, number)
     return write
 
 
@@ -70,20 +61,30 @@ def skip_decided(decided: DataFrame, sink: Callable[[DataFrame], None]) -> Calla
     return write
 
 
-def upsert_confirmed(pixels: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """Confirmed polygons of each batch rewrite their pixel rows."""
-    def write(batch: DataFrame, _: int) -> None:
-        rows = confirmed_rows(pixels, latest(batch.where("decision = 'confirm'"), "polygon_uid", ["ts"]))
-        upsert_partitions(rows.withColumn("bucket", F.pmod("polygon_id", F.lit(BUCKETS)).cast("int")), path, "polygon_id", "bucket")
+def upsert_confirmed(pixels: DataFrame, path: str, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """Pixel rows of confirmed polygons as a log keyed on ``polygon_uid``.
+
+    A confirm appends the polygon's rows, any other decision a tombstone. The decision that is last by ``order`` counts,
+    also when it arrives in an earlier batch than an older one.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        last = latest(batch, "polygon_uid", order)
+        rows = confirmed_rows(pixels, last.where("decision = 'confirm'")).join(last.select("polygon_uid", *order), "polygon_uid")
+        gone = last.where("decision <> 'confirm'").select("polygon_uid", *order, F.lit(True).alias(log.REMOVED))
+        log.append(rows.withColumn(log.REMOVED, F.lit(False)).unionByName(gone, allowMissingColumns=True), path, number)
     return write
 
 
-def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def keep_totals(path: str) -> Callable[[DataFrame, int], None]:
+    """Changed rows of a running result (update mode) appended to the log at ``path``; the last batch of a key holds its total."""
+    return lambda changed, number: log.append(changed, path, number)
+
+
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything available, then stop."""
-    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return (stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def run_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Small running results (one row per class or tile) as an in-memory table."""
-    return (stream.writeStream.format("memory").queryName(name).outputMode(mode)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def run_totals(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Running totals kept as a log in the shared folder; a restart from the checkpoint goes on where it stopped."""
+    return run_batches(stream, keep_totals(path), checkpoint, "update")

@@ -11,7 +11,7 @@ from bandweave import schema
 from bandweave.functions import augment, geo, keys, labels as L, masks as M, rules as R, spectral as S
 from bandweave.operators import aggregates as A, curate as C, fitting, graph, grid as H, joins as J, ranking, review, sampling, split
 from bandweave.session import collect_bounded
-from bandweave.sources import scans, sinks
+from bandweave.sources import log, scans, sinks
 
 
 # ------------------------------------------------------------------- contracts
@@ -326,15 +326,120 @@ def test_publish_keeps_the_old_version_until_done(spark, tmp_path):
     assert sinks.current(spark, path).count() == 3
 
 
-def test_upsert_twice_changes_nothing(spark, tmp_path):
+def log_rows(spark, *rows):
+    return spark.createDataFrame(rows, "uid string, ts int, v string")
+
+
+def files_under(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_log_keeps_the_newest_rows_whatever_the_order_of_batches(spark, tmp_path):
     path = f"{tmp_path}/u"
-    base = spark.range(40).select(F.col("id").alias("polygon_id"), (F.col("id") % 4).cast("int").alias("bucket"), F.lit("old").alias("v"))
-    new = base.where("polygon_id < 8").withColumn("v", F.lit("new"))
-    sinks.upsert_partitions(base, path, "polygon_id", "bucket")
-    for _ in range(2):
-        sinks.upsert_partitions(new, path, "polygon_id", "bucket")
-        got = {r["v"]: r["count"] for r in spark.read.parquet(path).groupBy("v").count().collect()}
-        assert got == {"old": 32, "new": 8}
+    read = lambda: sorted((r["uid"] or "", r["ts"], r["v"]) for r in log.read(spark, path, ["uid"], ["ts"]).collect())
+    log.append(log_rows(spark, ("a", 5, "new"), ("a", 5, "new2"), ("b", 1, "b"), ("c", 2, "c"), (None, 1, "none")), path, 0)
+    before = files_under(tmp_path / "u")
+    for _ in range(2):  # a replayed batch changes nothing
+        log.append(log_rows(spark, ("a", 3, "late"), ("b", 4, "b4")), path, 1)
+        assert read() == [("", 1, "none"), ("a", 5, "new"), ("a", 5, "new2"), ("b", 4, "b4"), ("c", 2, "c")]
+    log.append(log_rows(spark, ("c", 9, None)).withColumn("removed", F.lit(True)), path, 2)
+    assert before.items() <= files_under(tmp_path / "u").items()  # earlier batches are not touched
+    want = [("", 1, "none"), ("a", 5, "new"), ("a", 5, "new2"), ("b", 4, "b4")]
+    assert read() == want
+    log.compact(spark, path, ["uid"], ["ts"])
+    assert read() == want
+    log.append(log_rows(spark, ("c", 8, "older than its removal"), ("b", 4, "same order, later batch")), path, 3)
+    assert read() == [*want[:3], ("b", 4, "same order, later batch")]
+    (tmp_path / "u" / "batch-000000000003" / "_SUCCESS").unlink()  # a batch that was not finished is not read
+    assert read() == want
+
+
+def test_confirmed_pixels_follow_the_last_decision(spark, tmp_path):
+    from bandweave.streaming.ledger import upsert_confirmed
+    pixels = spark.createDataFrame([("a", "t", 1, 1), ("a", "t", 1, 2), ("b", "t", 5, 5), ("c", "t", 6, 6)], "polygon_uid string, tile_id string, pixel_row long, pixel_col long")
+    path = f"{tmp_path}/c"
+    write = upsert_confirmed(pixels, path, ["ts"])
+    decided = lambda *rows: spark.createDataFrame([(*r, "High") for r in rows], "polygon_uid string, ts int, decision string, label_class string, confidence string").withColumn("extra_classes", F.lit(None).cast("array<string>"))
+    read = lambda: sorted((r["polygon_uid"], r["pixel_col"], r["lcp"], r["hcp"]) for r in log.read(spark, path, ["polygon_uid"], ["ts"]).collect())
+    write(decided(("a", 5, "confirm", "lcp"), ("b", 5, "confirm", "lcp")), 0)
+    write(decided(("a", 2, "confirm", "hcp"), ("c", 1, "confirm", "hcp")), 1)  # an older confirm that arrives late
+    assert read() == [("a", 1, 1.0, 0.0), ("a", 2, 1.0, 0.0), ("b", 5, 1.0, 0.0), ("c", 6, 0.0, 1.0)]
+    write(decided(("b", 7, "reject", "lcp")), 2)  # a later reject takes the pixels away
+    write(decided(("b", 6, "confirm", "hcp")), 3)
+    assert read() == [("a", 1, 1.0, 0.0), ("a", 2, 1.0, 0.0), ("c", 6, 0.0, 1.0)]
+
+
+def test_totals_go_on_after_a_restart(spark, tmp_path):
+    from bandweave.streaming.ledger import run_totals
+    put = lambda name, *rows: spark.createDataFrame(rows, "k string, v int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put("one", ("a", 1), ("b", 2))
+    def run():
+        stream = spark.readStream.schema("k string, v int").parquet(f"{tmp_path}/in").groupBy("k").agg(F.sum("v").alias("v"))
+        run_totals(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+        return sorted((r["k"], r["v"]) for r in log.read(spark, f"{tmp_path}/out", ["k"]).collect())
+    assert run() == [("a", 1), ("b", 2)]
+    put("two", ("a", 10))
+    assert run() == run() == [("a", 11), ("b", 2)]
+
+
+def test_order_statistics_on_awkward_values(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, 1e308, -1e308, float("inf"), float("-inf"), *(2.0 ** k for k in range(-60, 60)), *(np.nextafter(2.0 ** k, 0) for k in range(-60, 60))]
+    groups = {"wide": base + [-x for x in base[9:]], "near": (1 + np.arange(400) * 2.0 ** -52).tolist(), "ties": [0.1] * 300 + [0.2, 0.3], "normal": rng.normal(size=500).tolist(), "one": [7.0]}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("wide", None), ("wide", float("nan")), ("none", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    groups[None] = [3.0]
+    for sorted_rows in (1 << 20, 5):
+        monkeypatch.setattr(ranking, "SORTED_ROWS", sorted_rows)
+        picks = {"lo": F.lit(0), "q": F.floor((F.col("n") - 1) * 0.25), "mid": F.floor(F.col("n") / 2), "hi": F.col("n") - 1}
+        got = {r["g"]: r for r in ranking.order_statistics(df, ["g"], "v", picks).collect()}
+        assert set(got) == set(groups)
+        for g, v in groups.items():
+            v = sorted(v)
+            n = len(v)
+            assert (got[g]["n"], got[g]["lo"], got[g]["q"], got[g]["mid"], got[g]["hi"]) == (n, v[0], v[(n - 1) // 4], v[n // 2], v[-1]), g
+    whole = ranking.order_statistics(df, [], "v", {"mid": F.floor(F.col("n") / 2)}).first()
+    known = sorted(x for v in groups.values() for x in v)
+    assert (whole["n"], whole["mid"]) == (len(known), known[len(known) // 2])
+    assert ranking.order_statistics(df.limit(0), ["g"], "v", {"mid": F.lit(0)}).count() == 0
+
+
+def test_order_statistics_write_no_values(spark):
+    df = spark.range(20_000).select(F.rand(3).alias("v"))
+    plan = ranking.exact_percentiles(df, [], "v", {"p": 0.5})._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_patches_cross_blocks(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK", 4)
+    cells = {(r, c): [float(r), float(c), None if r == 6 else 1.0] for r in range(11) for c in range(9) if (r, c) != (3, 3)}
+    cells[5, 5] = None
+    table = spark.createDataFrame([("t", r, c, s, 0) for (r, c), s in cells.items()], "tile_id string, pixel_row long, pixel_col int, spectrum array<double>, extra int")
+    centres = table.select("tile_id", "pixel_row", "pixel_col")
+    got = H.patches(centres, table, "spectrum", 3, 5, -1.0)
+    assert got.dtypes[:3] == [("tile_id", "string"), ("pixel_row", "bigint"), ("pixel_col", "int")]
+    rows = got.collect()
+    assert {(r["pixel_row"], r["pixel_col"]) for r in rows} == set(cells) and len(rows) == len(cells)
+    for r in rows:
+        want = [cells.get((r["pixel_row"] + dr, r["pixel_col"] + dc)) or [-1.0] * 3 for dr in range(-2, 3) for dc in range(-2, 3)]
+        assert r["patch"] == want
+    assert H.patches(centres.limit(0), table, "spectrum", 3).count() == 0
+
+
+def test_anchored_split_keeps_old_rows_and_leaks_nothing(spark):
+    at = lambda tile, pid, lat, lon, split, n=4: [(tile, pid, lat, lon, pid * 100 + k, 0, split) for k in range(n)]
+    rows = [*at("t", 1, 0.0, 0.0, "train"), *at("t", 2, 0.0, 0.1, None), *at("t", 3, 0.0, 0.3, None), *at("t", 4, 9.0, 0.0, "val"), *at("t", 5, 9.0, 0.2, None), *at("t", 6, 9.0, 0.4, "test")]
+    rows += [x for k in range(40) for x in at("u", 100 + k, 20.0 + k, 0.0, None)]
+    df = spark.createDataFrame(rows, "tile_id string, polygon_id long, lat double, lon double, pixel_row long, pixel_col long, split string").withColumn("lcp", F.lit(1.0))
+    cents = df.groupBy("tile_id", "polygon_id").agg(F.max("lat").alias("lat"), F.max("lon").alias("lon"))
+    out = split.anchored_split(df.drop("lat", "lon"), cents, ["lcp"], 3).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["polygon_id"], set()).add(r["split"])
+    assert len(out) == len(rows) and all(len(s) == 1 and None not in s for s in got.values())
+    assert [got[k] for k in range(1, 7)] == [{"train"}, {"train"}, {"train"}, {"val"}, {"unused"}, {"test"}]
+    share = {s: sum(r["split"] == s for r in out) / (len(out) - 4) for s in ("train", "val", "test")}
+    assert abs(share["train"] - 0.7) < 0.03 and abs(share["val"] - 0.15) < 0.03 and abs(share["test"] - 0.15) < 0.03
 
 
 def test_score_table_checks(spark, tmp_path):
@@ -402,7 +507,7 @@ def test_latest_merge_is_idempotent(spark, tmp_path):
     write(rows(("a", 1, "confirm"), ("b", 5, "reject")), 0)
     for batch in (1, 1):
         write(rows(("a", 3, "skip"), ("b", 2, "confirm")), batch)
-    got = {(r["polygon_uid"], r["ts"], r["decision"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()}
+    got = {(r["polygon_uid"], r["ts"], r["decision"]) for r in log.read(spark, f"{tmp_path}/t", ["polygon_uid"], ["ts"]).collect()}
     assert got == {("a", 3, "skip"), ("b", 5, "reject")}
 
 
