@@ -26,6 +26,7 @@ MAX_PARTS = 1 << 14
 MERGE_ENTRIES = 1 << 20
 BITMAP_BITS = 1 << 27
 MANY = 255
+HELD_ROWS = 1 << 20
 
 
 def byte_set(values: bytes) -> np.ndarray:
@@ -213,7 +214,7 @@ def exact_counts(docs: DataFrame, bitmap: np.ndarray, max_words: int) -> DataFra
     parts, region = bitmap.shape[0], bitmap.shape[1] * 8
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits = SpanHasher(), shared.value.ravel()
         for batch in sliced(batches, "text"):
             some, langs = Slice(batch.column(1)), batch.column(0).dictionary_encode()
@@ -230,6 +231,20 @@ def exact_counts(docs: DataFrame, bitmap: np.ndarray, max_words: int) -> DataFra
                 first, counts = grouped(at[kept], hashes[kept], ids, lang[some.doc], size)
                 yield rows(langs.dictionary, lang[some.doc[first]], some.strings(first, size), size, counts)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, entries = [], 0
+        for counts in counted_slices(batches):
+            held.append(counts)
+            entries += counts.num_rows
+            if entries >= HELD_ROWS:
+                held = [added(held)]
+                entries = held[0].num_rows
+                if entries >= HELD_ROWS // 2:
+                    yield from held
+                    held, entries = [], 0
+        if held:
+            yield added(held)
+
     counted = docs.mapInArrow(run, "lang string, phrase string, size int, a long")
     return counted.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
 
@@ -239,6 +254,12 @@ def rows(langs: pa.Array, lang: np.ndarray, phrases: pa.Array, size: int, counts
                                       names=["lang", "phrase", "size", "a"])
 
 
+def added(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The counts of equal (lang, phrase, size), added up."""
+    table = pa.Table.from_batches(batches).group_by(["lang", "phrase", "size"]).aggregate([("a", "sum")])
+    return pa.RecordBatch.from_arrays([table.column(c).combine_chunks() for c in ("lang", "phrase", "size", "a_sum")], names=["lang", "phrase", "size", "a"])
+
+
 def grouped(first: np.ndarray, hashes: np.ndarray, ids: np.ndarray, lang: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """One place and the count of each different phrase. Places of one hash are compared word for word with the
     first of them; those that differ stay on their own."""
