@@ -35,20 +35,9 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-@dataclass
-class Alphabet:
-    """Symbol of a code point: 0 for any that is no letter; a letter is its own symbol.
-
-    Of a list of ``letters``, these get the symbols from 2 and every other letter 1.
-    """
-    letters: list[int] | None = None
-
-    def table(self, letters: np.ndarray) -> np.ndarray:
-        if self.letters is None:
-            return np.where(letters, np.arange(len(letters), dtype=np.int32), 0)
-        table = letters.astype(np.int32)
-        table[self.letters] = np.arange(2, 2 + len(self.letters), dtype=np.int32)
-        return table
+def symbol_table(letters: np.ndarray) -> np.ndarray:
+    """Symbol of each code point: a letter is its own symbol, anything else 0."""
+    return np.where(letters, np.arange(len(letters), dtype=np.int32), 0)
 
 
 def text_grams(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,20 +81,10 @@ def text_grams(symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return owner[order], number[order]
 
 
-def presence(symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """One row a text, one column a gram that any of them has: which grams it has."""
-    owner, gram = text_grams(symbols, off)
-    columns, at = np.unique(gram, return_inverse=True)
-    out = np.zeros((len(off) - 1, len(columns)), bool)
-    out[owner, at] = True
-    return out
-
-
 @dataclass
 class Classifier:
     """Landmark columns (grams that any landmark has), the landmarks as bits of each column, and the ridge weights."""
     languages: list[str]
-    alphabet: Alphabet
     columns: np.ndarray
     landmarks: np.ndarray
     sizes: np.ndarray
@@ -134,22 +113,29 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def drawn(docs: DataFrame, trusted: Column, sample: int) -> tuple[list[str], DataFrame]:
-    """Languages of the trusted rows and at most ``sample`` texts of each, by a hash of the text."""
+    """Languages of the trusted rows and at most ``sample`` different texts of each, by a hash of the text.
+
+    The bar of a language comes from the number of its different texts, so copies neither fill its places nor
+    keep them empty.
+    """
     labelled = docs.where(trusted & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    sizes = {r["lang"]: r["n"] for r in collect_bounded(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), MAX_LANGUAGES, "languages")}
+    counted = labelled.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in collect_bounded(counted, MAX_LANGUAGES, "languages")}
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     bar = F.lit(0)
     for lang, n in sizes.items():
         bar = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.5 * sample / n) * (1 << 40)))).otherwise(bar)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
-    picked = labelled.withColumn("draw", draw).where(F.col("draw") < bar).withColumn("place", place).where(F.col("place") <= sample)
+    picked = labelled.withColumn("draw", draw).where(F.col("draw") < bar).distinct().withColumn("place", place).where(F.col("place") <= sample)
     return sorted(sizes), cut_lineage(picked.select("lang", "place", "text"))
 
 
 def train(docs: DataFrame, trusted: Column, sample: int = SAMPLE_PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Classifier:
     """A classifier from ``text`` and ``lang`` of the rows where ``trusted`` holds.
 
-    It is fitted on at most ``sample`` hash-drawn texts of each language. Every letter of Unicode is a symbol of its own,
+    It is fitted on at most ``sample`` hash-drawn different texts of each language. Rows with a null text or lang take no part;
+    repeated rows count once, ties of the draw go by text; an empty table gives a model that knows no language. Only text and lang
+    are read, besides what ``trusted`` reads. Every letter of Unicode is a symbol of its own,
     so grams of any script count. The first texts of each language, ``landmarks`` in all, are the landmarks; the kernel matrix among them gives
     the Nyström projection. Tasks add up the normal equations of the ridge regression, one sum of
     landmarks x landmarks values a task.
@@ -157,12 +143,10 @@ def train(docs: DataFrame, trusted: Column, sample: int = SAMPLE_PER_LANGUAGE, l
     languages, picked = drawn(docs, trusted, sample)
     if not languages:
         none = np.zeros((0, 0))
-        return Classifier([], Alphabet(), np.zeros(0, np.int64), np.zeros((0, 0), np.uint8), np.zeros(0), none)
-
-    alphabet = Alphabet()
+        return Classifier([], np.zeros(0, np.int64), np.zeros((0, 0), np.uint8), np.zeros(0), none)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = alphabet.table(letter_table())
+        table = symbol_table(letter_table())
         for batch in sliced(batches, "text"):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
@@ -190,7 +174,7 @@ def train(docs: DataFrame, trusted: Column, sample: int = SAMPLE_PER_LANGUAGE, l
     width = int(keep.sum()) + 1
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = alphabet.table(letter_table())
+        table = symbol_table(letter_table())
         left, right = np.zeros((width, width)), np.zeros((width, len(languages)))
         for batch in sliced(batches, "text"):
             for at in range(0, batch.num_rows, ROWS):
@@ -206,7 +190,7 @@ def train(docs: DataFrame, trusted: Column, sample: int = SAMPLE_PER_LANGUAGE, l
     left = sum(np.array(r["left"]).reshape(width, width) for r in sums)
     right = sum(np.array(r["right"]).reshape(width, len(languages)) for r in sums)
     beta = np.linalg.solve(left + ridge * np.trace(left) / width * np.eye(width), right)
-    return Classifier(languages, alphabet, columns, marks, sizes, np.vstack([project @ beta[:-1], beta[-1:]]))
+    return Classifier(languages, columns, marks, sizes, np.vstack([project @ beta[:-1], beta[-1:]]))
 
 
 def predict(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -218,7 +202,7 @@ def predict(docs: DataFrame, model: Classifier) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = letter_table()
-        table = model.alphabet.table(known)
+        table = symbol_table(known)
         for batch in sliced(batches, "text"):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

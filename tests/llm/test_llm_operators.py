@@ -160,6 +160,19 @@ def test_adaptive_scan_recall_and_scores(spark, sf_dir):
     assert hits / (5 * len(want)) >= 0.9
 
 
+def test_repeated_query_ids_lose_no_neighbours(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=32).tolist()) for k in range(2000)]
+    rows += [r for r in rows if r[0] % 50 == 0 for _ in range(11)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = exact_nearest(rows, {i for i, _ in rows if i % 50 == 0}, 5)
+    got = defaultdict(list)
+    for r in adaptive_scan.nearest(vectors, vectors.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = sum(abs(a[1] - b[1]) < 1e-9 for q in want for a, b in zip(want[q], got[q]))
+    assert hits / (5 * len(want)) >= 0.9
+
+
 def test_adaptive_scan_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (9, [1.0]), (2, [1.0, 0.0])]
@@ -245,19 +258,58 @@ def test_string_kernel_accuracy_and_edges(spark, sf_dir, edge, empty):
     assert {r["lang_pred"] for r in string_kernel.predict(edge, string_kernel.train(empty, F.lit(True))).collect()} == {"und"}
 
 
-def test_presence_kernel_counts_shared_grams():
-    alphabet = string_kernel.Alphabet([ord(c) for c in "abc"])
-    table = alphabet.table(string_kernel.letter_table())
-    texts = ["abcab", "cab b", "xyz"]
-    points, off = string_kernel.code_points(texts)
-    found = string_kernel.presence(table[points], off)
-
-    def grams(text):
-        s = "".join(c if c in "abc" else "?" if c.isalpha() else " " for c in text)
-        return {s[i:i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)} - {" ", "  ", "   "}
-    for i, a in enumerate(texts):
-        for j, b in enumerate(texts):
-            assert (found[i] & found[j]).sum() == len(grams(a) & grams(b))
+def plain_grams(text):
+    """Distinct runs of one to three code points, anything but letters as a blank, runs of blanks left out."""
+    s = [c if c.isalpha() else " " for c in text.lower()]
+    return {g for n in (1, 2, 3) for g in ("".join(s[i:i + n]) for i in range(len(s) - n + 1)) if g.strip(" ")}
+
+
+def plain_kernel(some, others):
+    a, b = [plain_grams(t) for t in some], [plain_grams(t) for t in others]
+    return np.array([[len(x & y) / math.sqrt(max(len(x), 1) * max(len(y), 1)) for y in b] for x in a])
+
+
+def test_string_kernel_equals_a_dense_solution(spark, docs):
+    table = docs.select("doc_id", "lang", F.substring("text", 1, 400).alias("text")).where("lang is not null")
+    extra = spark.createDataFrame([(9001, "en", "Ünï 漢字 a1b2 -- c"), (9002, "fr", ""), (9003, "de", "..."), (9004, "fr", "x" * 300)], table.schema)
+    table = table.unionByName(extra)
+    languages, picked = string_kernel.drawn(table, F.col("doc_id") % 3 != 0, 40)
+    picked = sorted((r["lang"], r["place"], r["text"]) for r in picked.collect())
+    each = max(1, 24 // len(languages))
+    marks = [t for _, place, t in picked if place <= each]
+    values, vectors = np.linalg.eigh(plain_kernel(marks, marks))
+    keep = values > 1e-6 * values.max()
+    project = vectors[:, keep] / np.sqrt(values[keep])
+    features = lambda some: np.column_stack([plain_kernel(some, marks) @ project, np.ones(len(some))])
+    x = features([t for _, _, t in picked])
+    y = np.array([[lang == name for name in languages] for lang, _, _ in picked], float)
+    left = x.T @ x
+    beta = np.linalg.solve(left + string_kernel.RIDGE * np.trace(left) / len(left) * np.eye(len(left)), x.T @ y)
+    rows = table.collect()
+    out = np.clip(features([r["text"] or "" for r in rows]) @ beta, 0, None)
+    model = string_kernel.train(table, F.col("doc_id") % 3 != 0, sample=40, landmarks=24)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in string_kernel.predict(table, model).collect()}
+    for r, o in zip(rows, out):
+        if any(c.isalpha() for c in r["text"] or ""):
+            assert abs(got[r["doc_id"]][1] - o.max() / o.sum()) < 1e-3
+            assert got[r["doc_id"]][0] == languages[int(np.argmax(o))] or np.sort(o)[-1] - np.sort(o)[-2] < 1e-3
+        else:
+            assert got[r["doc_id"]] == ("und", 0.0)
+
+
+@pytest.mark.parametrize("many", [1, 3])
+def test_copies_do_not_steer_the_draw(spark, many):
+    """A language of thousands of rows of few texts is learned; its copies take one place each."""
+    rng = np.random.default_rng(many)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    rows = [("aa", " ".join(word("abcdef") for _ in range(20))) for _ in range(200)]
+    rows += [("bb", " ".join(word("uvwxyz") for _ in range(20))) for _ in range(many)] * (6000 // many)
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, text string")
+    languages, picked = string_kernel.drawn(table, F.lit(True), 20)
+    found = Counter(r["lang"] for r in picked.collect())
+    assert languages == ["aa", "bb"] and found == {"aa": 20, "bb": many}
+    got = string_kernel.predict(table, string_kernel.train(table, F.lit(True), sample=20, landmarks=8)).select("lang", "lang_pred").distinct().collect()
+    assert {tuple(r) for r in got} == {("aa", "aa"), ("bb", "bb")}
 
 
 def test_string_kernel_tells_languages_of_one_script(spark):
@@ -878,9 +930,36 @@ def test_pipeline_stages(spark, sf_dir, edge):
     for r in packed:
         whole[r["doc_id"]].append((r["piece"], r["text"]))
     assert {d: "".join(t for _, t in sorted(p)) for d, p in whole.items()} == final
-    for name, stage in pipeline.STAGES:
-        assert stage(spark, edge.withColumn("lang", F.lit("en")), sf_dir).count() >= 0
-        assert stage(spark, edge.limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_stages_take_any_column_names(spark, sf_dir):
+    """Nulls, repeats, blanks and columns with the names the operators use inside; every kept row keeps its own values."""
+    import corpus_pipeline as pipeline
+    clashing = ["kept_text", "n_lines", "n_dropped", "__id", "__m", "__n", "__words", "__place", "__domain", "__t0", "score", "lang_pred", "group", "often_id", "held", "other0", "gone", "key", "same", "node"]
+    line = "a line of words that everyone has in common and shares"
+    texts = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "ALPHA beta gamma delta epsilon zeta eta theta"),
+             (None, "alpha beta gamma delta epsilon zeta eta theta"), (None, "one two three"), (3, None), (4, ""), (5, " \t "), (6, "12 34"), *((k, f"{line}\nown text number {k}") for k in range(10, 25))]
+    rows = [(d, t, "en", "src0", 7, *[f"{c}:{k}" for c in clashing]) for k, (d, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clashing))
+    own = {tuple(r[c] for c in clashing): r for r in docs.collect()}
+    out = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        out[name] = stage(spark, docs, sf_dir).collect()
+        assert stage(spark, docs, sf_dir).columns == docs.columns
+        for r in out[name]:
+            given = own[tuple(r[c] for c in clashing)]
+            assert (r["doc_id"], r["lang"], r["source"]) == (given["doc_id"], given["lang"], given["source"])
+            assert name == "line_dedup" or (r["text"], r["n_chars"]) == (given["text"], given["n_chars"])
+        assert len({tuple(r[c] for c in clashing) for r in out[name]}) == len(out[name])
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    with_letters = [(d, t) for d, t in texts if any(c.isalpha() for c in t or "")]
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in out["language_id"]), key=key) == sorted(with_letters, key=key)
+    assert sorted(((r["doc_id"], r["text"]) for r in out["line_dedup"]), key=key) == sorted(((d, (t or "").replace(line + "\n", "")) for d, t in texts), key=key)
+    kept = [(r["doc_id"], r["text"]) for r in out["simhash_near_dedup"]]
+    assert sorted(d for d, t in kept if d is not None and d < 10) == [1, 3, 6] and sum(d is None for d, _ in kept) == 2
+    assert len([d for d, _ in kept if d is not None and d >= 10]) == len({g["group"] for g in near_dups.near_duplicates(docs.where("doc_id >= 10")).collect()})
+    assert pipeline.packing(spark, docs, sf_dir).count() > 0 and pipeline.packing(spark, docs.limit(0), sf_dir).count() == 0
 
 
 def test_target_mix_keeps_null_and_repeated_ids(spark, sf_dir, edge, monkeypatch):
