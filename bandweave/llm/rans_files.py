@@ -35,6 +35,7 @@ LOWEST = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MAX_VOCABULARY = 1 << 19
 MAX_FILES = 1 << 20
+SEGMENTS_A_TASK = 8
 CACHED_UNITS, CACHED_IDS = 3 << 18, 1 << 23
 CHECKPOINT = ["offset", "bytes", "first_doc", "first_token", "docs", "tokens", "checksum"]
 
@@ -205,6 +206,9 @@ class Table:
         self.ceiling = self.frequency << np.uint64(63 - SCALE_BITS)
         self.checksum = zlib.crc32(self.frequency.astype("<u8").tobytes())
 
+    def __reduce__(self) -> tuple:
+        return Table, (self.frequency,)  # tasks get the frequencies alone
+
 
 def table_of(counts: np.ndarray) -> Table:
     """Shares of the counts in 2^SCALE_BITS; what rounding leaves over or takes too much is settled at the most frequent ids."""
@@ -402,7 +406,7 @@ def read_files(files: DataFrame, table: Table) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ends - sizes + r["ahead"] + r["first_token"], pa.int64()), pa.array(sizes, pa.int64()), packed.cast(pa.binary())],
                                                  names=["doc_id", "start", "n_tokens", "ids"])
 
-    tasks = max(1, min(-(-ahead // SEGMENT_TOKENS), 1 << 15))
+    tasks = max(1, min(-(-ahead // (SEGMENTS_A_TASK * SEGMENT_TOKENS)), 1 << 15))
     spread = listed.mapInArrow(footers, points).repartition(tasks, F.col("path"), F.col("offset"))
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
