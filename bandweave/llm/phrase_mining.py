@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bandweave.session import cut_lineage
@@ -209,8 +210,10 @@ def frequent_bitmap(docs: DataFrame, threshold: int, max_words: int, parts: int,
     return bitmap
 
 
-def exact_counts(docs: DataFrame, bitmap: np.ndarray, max_words: int) -> DataFrame:
-    """lang, phrase, size and a of the phrases whose bit is set, and the words of a language as size 0."""
+def exact_counts(docs: DataFrame, bitmap: np.ndarray, max_words: int, min_count: int) -> DataFrame:
+    """lang, phrase, size and a of the phrases whose bit is set and that occur ``min_count`` times, and the words of a
+    language as size 0. A task hands its counts over packed, a row for each hash partition, and the partition adds them up.
+    """
     parts, region = bitmap.shape[0], bitmap.shape[1] * 8
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -232,21 +235,48 @@ def exact_counts(docs: DataFrame, bitmap: np.ndarray, max_words: int) -> DataFra
                 yield rows(langs.dictionary, lang[some.doc[first]], some.strings(first, size), size, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, entries = [], 0
-        for counts in counted_slices(batches):
-            held.append(counts)
-            entries += counts.num_rows
-            if entries >= HELD_ROWS:
-                held = [added(held)]
-                entries = held[0].num_rows
-                if entries >= HELD_ROWS // 2:
-                    yield from held
-                    held, entries = [], 0
-        if held:
-            yield added(held)
-
-    counted = docs.mapInArrow(run, "lang string, phrase string, size int, a long")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a"))
+        for counts in summed(counted_slices(batches), flush=True):
+            data, off = flat(counts.column("phrase"))
+            part = (dealt(SpanHasher()(data, off[:-1], off[1:]), parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            bounds, ordered = np.searchsorted(part[order], np.arange(parts + 1)), counts.take(pa.array(order))
+            filled = np.flatnonzero(np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([as_bytes(ordered.slice(bounds[p], bounds[p + 1] - bounds[p])) for p in filled], pa.binary())], names=["part", "packed"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for counts in summed((from_bytes(x.as_py()) for batch in batches for x in batch.column("packed")), flush=False):
+            yield counts.filter(pc.or_(pc.equal(counts.column("size"), 0), pc.greater_equal(counts.column("a"), min_count)))
+
+    packed = docs.mapInArrow(run, "part int, packed binary")
+    return packed.groupBy("part").applyInArrow(whole, "lang string, phrase string, size int, a long")
+
+
+def summed(batches: Iterator[pa.RecordBatch], flush: bool) -> Iterator[pa.RecordBatch]:
+    """Counts added up, HELD_ROWS at a time; with ``flush`` they are let go once so many are different."""
+    held, entries, limit = [], 0, HELD_ROWS
+    for counts in batches:
+        held.append(counts)
+        entries += counts.num_rows
+        if entries >= limit:
+            held = [added(held)]
+            entries = held[0].num_rows
+            if flush and entries >= HELD_ROWS // 2:
+                yield held[0]
+                held, entries = [], 0
+            limit = max(HELD_ROWS, 2 * entries)
+    if held:
+        yield added(held)
+
+
+def as_bytes(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def from_bytes(packed: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed).read_next_batch()
 
 
 def rows(langs: pa.Array, lang: np.ndarray, phrases: pa.Array, size: int, counts: np.ndarray) -> pa.RecordBatch:
@@ -281,7 +311,7 @@ def phrase_counts(docs: DataFrame, min_count: int, max_words: int, bits: int = B
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = min(MAX_PARTS, math.ceil(size / PART_BYTES) or 1)
     bitmap = frequent_bitmap(docs, min_count, max_words, parts, bits)
-    return cut_lineage(exact_counts(docs, bitmap, max_words).where((F.col("size") == 0) | (F.col("a") >= min_count)))
+    return cut_lineage(exact_counts(docs, bitmap, max_words, min_count))
 
 
 def part_of(phrase: Column, start: Column | int, length: Column | int) -> Column:
