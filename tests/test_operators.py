@@ -540,3 +540,48 @@ def test_angles_skip_missing_bands_pairwise(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "s array<double>").select(S.angles_to("s", [[1.0, 2.0, 3.0], [1.0, nan, 0.0]])).collect()]
     assert abs(got[0][0]) < 1e-5 and abs(got[0][1] - math.degrees(math.acos(1 / math.sqrt(10)))) < 1e-6
     assert got[1] == [None, None] and got[2][0] == 90.0 and abs(got[3][0]) < 1e-5
+
+
+@pytest.mark.parametrize("edges_a_step", [1 << 21, 1])
+def test_components_of_awkward_graphs(spark, monkeypatch, edges_a_step):
+    monkeypatch.setattr(graph, "EDGES_A_STEP", edges_a_step)
+    n = 300
+    chain = [(f"c{k:04d}", f"c{k + 1:04d}") for k in range(n)]
+    star = [("s0000", f"s{k:04d}") for k in range(1, n)]
+    rng = random.Random(4)
+    pairs = [(f"r{rng.randrange(200):04d}", f"r{rng.randrange(200):04d}") for _ in range(150)]
+    edges = chain + star + pairs + [("x", "x"), ("a", "b"), ("b", "a"), ("a", "b")]
+    names = sorted({v for e in edges for v in e} | {"alone"})
+    root = {v: v for v in names}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    vertices = spark.createDataFrame([(v,) for v in names], "id string")
+    got = graph.connected_components(vertices, spark.createDataFrame(edges, "src string, dst string").repartition(7))
+    assert {r["id"]: r["component"] for r in got.collect()} == {v: find(v) for v in names}
+
+
+def test_dense_cells_are_not_compared_point_by_point(spark, monkeypatch):
+    seen = []
+    original = graph._spot_pairs
+    monkeypatch.setattr(graph, "_spot_pairs", lambda small, *rest: seen.append([(level, p.agg(F.sum(F.col("as") * F.col("bs"))).first()[0] or 0) for level, p in small]) or original(small, *rest))
+    side, _ = graph._grid(0.25)
+    spread = lambda seed: F.rand(seed) * side * 0.9
+    a = spark.range(50_000).select("id", (spread(1)).alias("lat"), (spread(2)).alias("lon"))
+    for gap, linked in ((0.2, True), (0.31, False)):
+        b = spark.range(50_000, 100_000).select("id", (spread(3)).alias("lat"), (F.lit(gap) + spread(4)).alias("lon"))
+        points = a.unionByName(b)
+        comp = graph.connected_components(points, graph.distance_links(points, "id", 0.25))
+        assert comp.select("component").distinct().count() == (1 if linked else 2)
+    assert sum(n for some in seen for _, n in some) < 50_000 ** 2 / 50
+    small_a, small_b = a.limit(3000).withColumn("g", F.lit("g")), b.limit(3000).withColumn("g", F.lit("g")).withColumn("lon", F.col("lon") - 0.08)
+    monkeypatch.setattr(graph, "FEW", 64)
+    x, y = small_a.select("lat", "lon").toPandas().to_numpy(), small_b.select("lat", "lon").toPandas().to_numpy()
+    d = (x[:, None, 0] - y[None, :, 0]) ** 2 + ((x[:, None, 1] - y[None, :, 1]) * np.cos(np.radians((x[:, None, 0] + y[None, :, 0]) / 2))) ** 2
+    want = int((d <= 0.0625).sum())
+    assert 0 < want < d.size and graph.close_pair_counts(small_a, small_b, "g", 0.25).first()["pairs"] == want
