@@ -31,6 +31,13 @@ def nearest_map(df: DataFrame, names: list[str], spectra: list[list[float]], spe
                             "angle_deg": F.when(known, least)})
 
 
+def centroid_angles(df: DataFrame, centroids: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """``df`` with ``angle_<class>``, the angle in radians to each class centroid (class, centroid); NULL for a vector of length 0."""
+    names, spectra = library(centroids, "class", "centroid")
+    out = df.withColumn("__a", S.angles_to(embedding, spectra, degrees=False, zero_norm=None))
+    return out.select(*df.columns, *[F.nanvl(F.col("__a")[k], F.lit(None)).alias(f"angle_{n}") for k, n in enumerate(names)])
+
+
 def mean_angles(df: DataFrame, group: list[str], key: str, spectrum: str = "spectrum") -> DataFrame:
     """Mean angle (radians) of each row to the other rows of its group; 0 for a lone row.
 

@@ -252,6 +252,23 @@ def predict_classes(df: DataFrame, models: dict[str, PipelineModel | None]) -> D
     return out
 
 
+def predict_grid(grid: DataFrame, models: dict[str, PipelineModel | None], bands: list[str], nodata: float = 65535.0) -> DataFrame:
+    """``p_<class>`` of every pixel of a tile from fitted models, and ``best_class``, the number of the largest.
+
+    A pixel with a band at or above ``nodata`` is not predicted: its scores are 0 and its best class is -1. Missing bands
+    (null or NaN) count as 0. Ties go to the first class.
+    """
+    value = {c: F.col(c).cast("double") for c in bands}
+    valid = ~reduce(lambda a, b: a | b, [F.coalesce(value[c] >= nodata, F.lit(False)) & ~F.isnan(value[c]) for c in bands])
+    filled = grid.withColumn("__valid", valid).withColumns({c: F.coalesce(F.nanvl(value[c], F.lit(0.0)), F.lit(0.0)) for c in bands})
+    out = predict_classes(filled, models)
+    scores = [f"p_{c}" for c in models]
+    out = out.withColumns({c: F.when(F.col("__valid"), F.col(c)).otherwise(0.0) for c in scores})
+    held = F.array(*scores)
+    best = F.when(F.col("__valid"), F.array_position(held, F.array_max(held)).cast("int") - 1).otherwise(-1)
+    return out.withColumn("best_class", best).select(*[c for c in grid.columns if c not in bands], *scores, "best_class")
+
+
 def linear_probe(df: DataFrame, features: str, labels: list[str], weight_decay: float = 1e-4, seed: int = 0) -> dict:
     """One logistic regression per class on frozen features."""
     rows = vectors(df, features)

@@ -8,6 +8,7 @@ is split by (tile, row) and (tile, column) and a huge tile still spreads over ta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .graph import connected_components
-from .ranking import exact_percentiles
+from .ranking import exact_percentiles, with_scalars
 
 T, R, C = "tile_id", "pixel_row", "pixel_col"
 BLOCK, PATCHES_A_BATCH = 64, 256
@@ -243,3 +244,62 @@ def mosaic(df: DataFrame, x: str, y: str, order: str, values: list[str], origin:
     cell = {"cell_col": F.floor((F.col(x) - origin[0]) / step), "cell_row": F.floor((F.lit(origin[1]) - F.col(y)) / step)}
     placed = df.withColumns(cell)
     return placed.groupBy("cell_row", "cell_col").agg(F.min_by(F.struct(*values), F.struct(order, R, C)).alias("v")).select("cell_row", "cell_col", "v.*")
+
+
+def stretched_mosaic(df: DataFrame, x: str, y: str, order: str, channels: list[str], origin: tuple[float, float], step: float,
+                     low: float = 0.02, high: float = 0.98, missing: float = 0.85) -> DataFrame:
+    """Channels of the mosaic stretched to [0, 1] between the pooled percentiles of all its cells; ``missing`` where any channel is.
+
+    Each channel takes the first tile (by order) whose value there is finite, so channels of a cell may come from
+    different tiles. ``covered`` tells whether all are known.
+    """
+    cell = {"cell_col": F.floor((F.col(x) - origin[0]) / step), "cell_row": F.floor((F.lit(origin[1]) - F.col(y)) / step)}
+    placed = df.withColumns(cell)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    first = lambda c: F.min(F.when(finite(c), F.struct(order, R, C, F.col(c).cast("double").alias("v"))))["v"]
+    cells = cut_lineage(placed.groupBy("cell_row", "cell_col").agg(*[first(c).alias(c) for c in channels]))
+    tall = cells.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in channels])).alias("t")).select("t.*")
+    limits = exact_percentiles(tall, ["channel"], "v", {"lo": low, "hi": high})
+    row = limits.agg(*[f(F.when(F.col("channel") == c, F.col(k))).alias(f"{k}_{c}") for c in channels for k, f in (("lo", F.max), ("hi", F.max))])
+    out = with_scalars(cells, row)
+    covered = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in channels])
+    scaled = lambda c: F.least(F.greatest((F.col(c) - F.col(f"lo_{c}")) / F.greatest(F.lit(1e-6), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)), F.lit(1.0))
+    return out.select("cell_row", "cell_col", *[F.when(covered, scaled(c)).otherwise(F.lit(missing)).alias(c) for c in channels], covered.alias("covered"))
+
+
+def class_colours(df: DataFrame, scores: dict[str, str], thresholds: dict[str, float], colours: dict[str, tuple[float, float, float]], valid: str) -> DataFrame:
+    """``rgb`` of each pixel: the colours of all classes that reach their threshold, added and held to 1; white where a valid pixel
+    reaches none, NULL where it is not valid. ``passed`` lists the classes."""
+    hit = {c: F.coalesce(F.col(s) >= thresholds[c], F.lit(False)) & F.col(valid) for c, s in scores.items()}
+    passed = F.array_compact(F.array(*[F.when(h, F.lit(c)) for c, h in hit.items()]))
+    parts = [F.least(reduce(lambda a, b: a + b, [F.when(h, F.lit(float(colours[c][k]))).otherwise(0.0) for c, h in hit.items()]), F.lit(1.0)) for k in range(3)]
+    held = df.withColumns({"passed": passed, "__rgb": F.array(*parts)})
+    rgb = F.when(F.col(valid), F.when(F.size("passed") > 0, F.col("__rgb")).otherwise(F.array(*[F.lit(1.0)] * 3)))
+    return held.withColumn("rgb", rgb).drop("__rgb")
+
+
+def class_mosaic(df: DataFrame, x: str, y: str, order: str, origin: tuple[float, float], step: float, missing: float = 0.85) -> DataFrame:
+    """``rgb`` (see ``class_colours``) of the first tile with a valid pixel in each cell; ``missing`` grey where none has."""
+    cell = {"cell_col": F.floor((F.col(x) - origin[0]) / step), "cell_row": F.floor((F.lit(origin[1]) - F.col(y)) / step)}
+    first = F.min(F.when(F.col("rgb").isNotNull(), F.struct(order, R, C, "rgb")))["rgb"]
+    out = df.withColumns(cell).groupBy("cell_row", "cell_col").agg(first.alias("rgb"))
+    return out.select("cell_row", "cell_col", F.coalesce("rgb", F.array(*[F.lit(missing)] * 3)).alias("rgb"), F.col("rgb").isNotNull().alias("covered"))
+
+
+def colour_statistics(df: DataFrame, classes: list[str], valid: str) -> DataFrame:
+    """Valid pixels, pixels of each class and pixels of none, per tile."""
+    return df.groupBy(T).agg(F.count_if(F.col(valid)).alias("n_valid"), *[F.count_if(F.array_contains("passed", c)).alias(c) for c in classes],
+                             F.count_if(F.col(valid) & (F.size("passed") == 0)).alias("unclassified"))
+
+
+def scene_regions(grid: DataFrame, score: str, valid: str, spectrum: str, bands: int, mineral: str, thresholds: list[float], min_px: int, smoothing: int = 1) -> DataFrame:
+    """4-connected regions of one mineral of a targeted scene at every threshold, on the median-smoothed score.
+
+    Each has its pixels, mean smoothed score and mean spectrum; the grid must hold every pixel of its scenes.
+    """
+    smooth = cut_lineage(median3(grid.select(T, R, C, valid, F.col(score).alias("score"), spectrum), "score", smoothing))
+    masks = at_thresholds(smooth.where(valid), {mineral: "score"}, thresholds)
+    table, pixels = regions(masks, ["mineral", "threshold"], min_px)
+    stats = zonal(pixels, smooth, ["score"]).select("region_id", F.col("score_mean").alias("mean_prob"))
+    means = region_spectra(pixels, smooth, spectrum, bands).drop("n_px")
+    return table.select("region_id", T, "mineral", "threshold", "count_px").join(stats, "region_id").join(means, "region_id")

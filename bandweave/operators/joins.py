@@ -152,6 +152,16 @@ def nearest_bands(target: list[float], source: list[float]) -> list[tuple[int, i
     return out
 
 
+def band_map(observed: DataFrame, key: list[str], band: str, wavelength: str, targets: list[float]) -> DataFrame:
+    """(key, target, band, residual): the band nearest to each target wavelength in every observation, the first one on a tie.
+
+    ``targets`` is an instrument's constant list of bands; all are found in one pass over the rows.
+    """
+    near = [F.min(F.struct(F.abs(F.col(wavelength) - t).alias("residual"), F.col(band).alias(band))) for t in targets]
+    wide = observed.where(F.col(wavelength).isNotNull()).groupBy(*key).agg(F.array(*near).alias("__near"))
+    return wide.select(*key, F.posexplode("__near").alias("target", "__n")).select(*key, "target", F.col("__n")[band].alias(band), "__n.residual")
+
+
 def disjoint_rows(df: DataFrame, train: DataFrame, key: str = "tile_id", shared: bool = False) -> DataFrame:
     """Rows whose scene does (shared) or does not occur in train."""
     return df.join(train.select(key).distinct(), key, "left_semi" if shared else "left_anti")

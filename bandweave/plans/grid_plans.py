@@ -124,12 +124,19 @@ def region_coherence(spark, sf_dir):
     return H.size_summary(table, "class", ["k0", "k1", "k2", "k9"]).withColumn("p90_size", F.round("p90_size", 6))
 
 
-@query("smoothed_region_means", None)
+SMOOTH = GRD.replace("p AS (", "p0 AS (", 1).replace("WITH ", "WITH RECURSIVE ", 1) + """, d AS (SELECT tile_id, max(pixel_row) AS mr, max(pixel_col) AS mc FROM p0 GROUP BY tile_id), o AS (SELECT unnest(range(-1, 2)) AS o),
+n AS (SELECT a.pixel, a.tile_id, least(greatest(a.pixel_row + r.o, 0), d.mr) AS pixel_row, least(greatest(a.pixel_col + c.o, 0), d.mc) AS pixel_col FROM p0 a JOIN d ON d.tile_id = a.tile_id, o r, o c),
+s AS (SELECT n.pixel, quantile_cont(p0.value, 5e-1) AS value FROM n JOIN p0 USING (tile_id, pixel_row, pixel_col) GROUP BY n.pixel),
+p AS (SELECT p0.* REPLACE (s.value AS value), p0.value AS raw FROM p0 JOIN s USING (pixel))"""
+
+
+@query("smoothed_region_means", SMOOTH + FLOOD.format(k="0", w="valid AND value > 5e-1") + """, z AS (SELECT g.tile_id, g.root, p.value FROM g JOIN p ON p.tile_id = g.tile_id AND p.pixel_row * 100000 + p.pixel_col = g.cell)
+SELECT tile_id || '|' || lpad(CAST(CAST(floor(root / 1e5) AS BIGINT) AS STRING), 8, '0') || '|' || lpad(CAST(root % 100000 AS STRING), 8, '0') AS region_id, CAST(count(*) AS BIGINT) AS n_px, round(avg(value), 5) AS b0, round(avg(value * 2), 4) AS b1 FROM z GROUP BY tile_id, root HAVING count(*) >= 9""")
 def smoothed_region_means(spark, sf_dir):
     g = H.median3(grid(spark, sf_dir), "value")
     _, pixels = H.regions(g.where("valid AND value > 0.5"), min_px=9)
     s = g.withColumn("spectrum", F.array("value", F.col("value") * 2))
-    return H.region_spectra(pixels, s, "spectrum", 2).select("region_id", "n_px", F.col("spectrum")[0].alias("b0"), F.col("spectrum")[1].alias("b1"))
+    return H.region_spectra(pixels, s, "spectrum", 2).select("region_id", "n_px", F.round(F.col("spectrum")[0], 5).alias("b0"), F.round(F.col("spectrum")[1], 4).alias("b1"))
 
 
 @query("mosaic", "WITH p AS (SELECT c_custkey, 't' || CAST(c_nationkey AS STRING) AS tile_id, c_acctbal / 1e2 AS x, c_nationkey * 17e-1 AS y, c_acctbal AS v, CAST(floor(c_acctbal) AS BIGINT) AS pixel_row, c_custkey AS pixel_col FROM customer), k AS (SELECT *, CAST(floor((x + 10) / 5e0) AS BIGINT) AS cell_col, CAST(floor((45 - y) / 5e0) AS BIGINT) AS cell_row FROM p) SELECT cell_row, cell_col, v FROM (SELECT *, row_number() OVER (PARTITION BY cell_row, cell_col ORDER BY tile_id, pixel_row, pixel_col) AS rn FROM k) q WHERE rn = 1")

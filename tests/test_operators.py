@@ -585,3 +585,58 @@ def test_dense_cells_are_not_compared_point_by_point(spark, monkeypatch):
     d = (x[:, None, 0] - y[None, :, 0]) ** 2 + ((x[:, None, 1] - y[None, :, 1]) * np.cos(np.radians((x[:, None, 0] + y[None, :, 0]) / 2))) ** 2
     want = int((d <= 0.0625).sum())
     assert 0 < want < d.size and graph.close_pair_counts(small_a, small_b, "g", 0.25).first()["pairs"] == want
+
+
+# ------------------------------------------------------------------------ scenes
+
+def test_polygon_pixels_of_repeated_and_hollow_rings(spark):
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    ring = lambda pts: [{"x": float(x), "y": float(y)} for x, y in pts]
+    rows = [(1, ring(square(0, 3))), (1, ring(square(0, 3))), (2, ring([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0), (1, 1), (1, 3), (3, 3), (3, 1), (1, 1)])), (3, ring([(0, 0), (5, 5)])), (4, None)]
+    got = {}
+    for r in geo.polygon_pixels(spark.createDataFrame(rows, "pid int, ring array<struct<x: double, y: double>>")).collect():
+        got.setdefault(r["pid"], []).append((r["pixel_row"], r["pixel_col"]))
+    assert sorted(got[1]) == sorted([(r, c) for r in range(3) for c in range(3)] * 2)
+    assert sorted(got[2]) == sorted((r, c) for r in range(4) for c in range(4) if not (1 <= r < 3 and 1 <= c < 3)) and set(got) == {1, 2}
+    assert tuple(spark.createDataFrame([(ring([(0, 0), (4, 0), (4, 2), (0, 2)]),)], "ring array<struct<x: double, y: double>>").select(geo.ring_centroid("ring").alias("c")).first()["c"]) == (2.0, 1.0)
+
+
+def test_harvested_points_use_up_places(spark):
+    from bandweave.operators import harvest
+    cells = [("T1", r, c, [0.2, 0.9]) for r in range(4) for c in range(4)]
+    cells[5] = ("T1", 1, 1, [0.1, 65535.0])
+    cells[6] = ("T1", 1, 2, None)
+    table = spark.createDataFrame(cells, "tile_id string, pixel_row long, pixel_col long, spectrum array<double>")
+    listed = spark.createDataFrame([(1, "t1", 0, 0), (2, "T1", 1, 1), (3, "t1", 1, 2), (4, "t1", 9, 9), (5, "t9", 0, 0), (6, "t1", 0, 0)], "k int, tile_id string, pixel_row long, pixel_col long")
+    got = {r["k"]: r["patch"] for r in harvest.harvest_points(listed, table, "spectrum", 2, ["k"], None, 1, 3).collect()}
+    assert set(got) == {1, 6} and got[1] == got[6] == [[0.0, 0.0]] * 4 + [[0.2, 0.5]] * 2 + [[0.0, 0.0], [0.2, 0.5], [0.1, 0.0]]
+    few = harvest.harvest_points(listed, table, "spectrum", 2, ["k"], 2, 1, 3).collect()
+    order = [r["k"] for r in listed.where("lower(tile_id) = 't1'").orderBy(keys.hash_text(1, "k"), "k").collect()][:2]
+    assert {r["k"] for r in few} == set(order) & {1, 6}
+
+
+def test_colours_and_stretch(spark):
+    df = spark.createDataFrame([("b", 0, 0, 0.1, 0.1, 0.9, 0.9, True), ("a", 0, 1, 0.1, 0.1, 0.1, None, True), ("a", 0, 2, 0.2, 0.2, 0.9, 0.9, False), ("b", 0, 3, 5.0, 5.0, 0.9, 0.9, False)],
+                               "tile_id string, pixel_row int, pixel_col int, x double, y double, u double, v double, ok boolean")
+    rgb = H.class_colours(df, {"u": "u", "v": "v"}, {"u": 0.5, "v": 0.5}, {"u": (0.8, 0.0, 0.1), "v": (0.7, 0.2, 0.0)}, "ok")
+    got = [(r["rgb"], r["passed"]) for r in rgb.orderBy("pixel_col").collect()]
+    assert got == [([1.0, 0.2, 0.1], ["u", "v"]), ([1.0, 1.0, 1.0], []), (None, []), (None, [])]
+    cells = {(r["cell_row"], r["cell_col"]): (r["rgb"], r["covered"]) for r in H.class_mosaic(rgb, "x", "y", "tile_id", (0.0, 1.0), 1.0).collect()}
+    assert cells == {(0, 0): ([1.0, 1.0, 1.0], True), (-4, 5): ([0.85] * 3, False)}
+    stats = {r["tile_id"]: (r["n_valid"], r["u"], r["unclassified"]) for r in H.colour_statistics(rgb, ["u", "v"], "ok").collect()}
+    assert stats == {"a": (1, 0, 1), "b": (1, 1, 0)}
+    m = {(r["cell_row"], r["cell_col"]): (r["u"], r["v"], r["covered"]) for r in H.stretched_mosaic(df, "x", "y", "tile_id", ["u", "v"], (0.0, 1.0), 1.0).collect()}
+    assert m[0, 0][2] and m[0, 0][0] == 0.0 and m[0, 0][1] == 0.0 and m[-4, 5][0] == 1.0
+
+
+def test_grid_prediction_leaves_nodata_out(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0), (2, None, 2.0), (3, float("nan"), -3.0), (4, 65535.0, 1.0), (5, 2.0, 5.0)], "k int, a double, b double")
+    train = spark.createDataFrame([(x / 10, x / 10 - 2, float((x > 20) != (x % 7 == 0)), 0.0) for x in range(40)], "a double, b double, hot double, none double")
+    models = fitting.fit_classes(train, ["a", "b"], ["none", "hot"], "logistic", 1)
+    got = {r["k"]: (r["p_none"], r["p_hot"], r["best_class"]) for r in fitting.predict_grid(df, models, ["a", "b"]).collect()}
+    assert got[4] == (0.0, 0.0, -1) and all(got[k][0] == 0.0 and got[k][1] > 0 and got[k][2] == 1 for k in (1, 2, 3, 5)) and got[5][1] > 0.5 > got[3][1]
+
+
+def test_band_map_takes_the_first_band_on_a_tie(spark):
+    df = spark.createDataFrame([("o", 0, 0.5), ("o", 1, 1.5), ("o", 2, 3.0), ("o", 3, None)], "o string, band int, wl double")
+    assert [(r["target"], r["band"], r["residual"]) for r in J.band_map(df, ["o"], "band", "wl", [1.0, 2.5]).orderBy("target").collect()] == [(0, 0, 0.5), (1, 2, 0.5)]
