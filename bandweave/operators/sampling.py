@@ -75,15 +75,14 @@ def last_decided(decisions: DataFrame, predicted: str, n: int) -> DataFrame:
 
 
 def evenly_spread(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """``n`` rows at evenly spaced positions of a unique order."""
-    rows = numbered(df, order, "__at")
-    total = rows.agg(F.max("__at").alias("last"))
-    last = total.first()["last"]
+    """``n`` rows at evenly spaced positions of a unique order; only the columns of the order are ranked."""
+    rows = numbered(df.select(*order), order, "__at")
+    last = rows.agg(F.max("__at").alias("last")).first()["last"]
     if last is None or last + 1 <= n:
-        return rows.drop("__at")
+        return df
     positions = df.sparkSession.range(n).select(
         F.floor(F.col("id") * F.lit(float(last)) / F.lit(float(n - 1))).cast("bigint").alias("__at")).distinct()
-    return rows.join(positions, "__at", "left_semi").drop("__at")
+    return null_safe_join(df, rows.join(positions, "__at", "left_semi").drop("__at"), order, "left_semi")
 
 
 def split_tiles(tiles: DataFrame, key: str, seed: int, train: float = 0.7, val: float = 0.15) -> DataFrame:
@@ -203,9 +202,11 @@ def take_quota(df: DataFrame, quota: DataFrame, keys: list[str], row_key: str, s
 def sample_cells(df: DataFrame, cell: list[str], chart: str, key: str, depth: str, budget: int, seed: int,
                  tiers_of, bland_share: float = 0.35, bland_pool: float = 0.30) -> DataFrame:
     """Stratified sample: a budget per cell, a share of it from the flattest rows,
-    spread over charts, each side backfilled from the other when it is short."""
+    spread over charts, each side backfilled from the other when it is short.
+
+    ``key`` names a row. Cells, charts, keys and depths are ranked; the other columns join the rows that are taken."""
     spark = df.sparkSession
-    flagged = flattest(df, cell, depth, key, bland_pool)
+    flagged = cut_lineage(flattest(df.select(*dict.fromkeys([*cell, chart, key, depth])), cell, depth, key, bland_pool))
     groups = [*cell, "bland_pool", chart]
     counts = collect_bounded(flagged.groupBy(*groups).count(), 100_000, "sample groups")
     room: dict = {}
@@ -223,7 +224,8 @@ def sample_cells(df: DataFrame, cell: list[str], chart: str, key: str, depth: st
             charts = sorted(room[k][side])
             share = equal_fill({c: room[k][side][c] for c in charts}, take, [charts]) if take else {}
             quota.update({(*k, side, c): q for c, q in share.items() if q})
-    return take_quota(flagged, as_table(spark, quota, groups, "quota", flagged), groups, key, seed)
+    taken = take_quota(flagged, as_table(spark, quota, groups, "quota", flagged), groups, key, seed)
+    return df.join(taken.select(key, "bland_pool"), key).select(*df.columns, "bland_pool")
 
 
 # ----------------------------------------------------------- spatial thinning
