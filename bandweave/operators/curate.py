@@ -14,7 +14,6 @@ from .sampling import cap_per_group, subsample
 # fixed values: mafic labels zeroed by the hand policy, and artifact polygons
 MAFIC = ["olivine_t1", "olivine_t2", "lcp", "hcp"]
 EXCLUDED_POLYGONS = [("t0638", 949), ("t0636", 823), ("t0566", 958), ("t0636", 769), ("t0638", 852)]
-MAX_PER_POLYGON = 20_000
 
 
 def with_defaults(df: DataFrame, columns: list[str], value: float = 0.0) -> DataFrame:
@@ -96,7 +95,7 @@ def tagged(df: DataFrame, tag: str | None) -> DataFrame:
 
 
 def bland_review(df: DataFrame, mc13: bool, n: int, seed: int, row_key: list[str],
-                 per_polygon: int = MAX_PER_POLYGON) -> DataFrame:
+                 per_polygon: int | None = None) -> DataFrame:
     """Reject pool of one region without mineral reassignments, capped, subsampled, stamped bland."""
     region = L.in_mc13("tile_id") if mc13 else ~L.in_mc13("tile_id")
     rows = tagged(df, None).where(region).where(~L.any_mineral(MINERALS_RAW, 0.0))
@@ -105,13 +104,13 @@ def bland_review(df: DataFrame, mc13: bool, n: int, seed: int, row_key: list[str
     return L.confidence_defaults(stamp_classes(chosen, bland=1.0, alteration=0.0))
 
 
-def reassigned(df: DataFrame, row_key: list[str], seed: int, per_polygon: int = MAX_PER_POLYGON) -> DataFrame:
+def reassigned(df: DataFrame, row_key: list[str], seed: int, per_polygon: int | None = None) -> DataFrame:
     rows = tagged(df, None).where(L.any_mineral(MINERALS_RAW, 0.0))
     capped = cap_per_group(rows, ["tile_id", "polygon_id"], row_key, per_polygon, seed)
     return L.confidence_defaults(stamp_classes(capped, zero_plag=False))
 
 
-def ambiguous(df: DataFrame, row_key: list[str], seed: int, per_polygon: int = MAX_PER_POLYGON) -> DataFrame:
+def ambiguous(df: DataFrame, row_key: list[str], seed: int, per_polygon: int | None = None) -> DataFrame:
     capped = cap_per_group(tagged(df, "ambiguous"), ["tile_id", "polygon_id"], row_key, per_polygon, seed)
     return L.confidence_defaults(stamp_classes(capped, junk=1.0, alteration=0.0))
 
@@ -227,7 +226,8 @@ def seven_class_base(pixels: DataFrame, n_bland: int, row_key: list[str], seed:
 
 def seven_class_table(pixels: DataFrame, confirmed: DataFrame, rejects: DataFrame, session: DataFrame | None, n_bland: int,
                       row_key: list[str], seed: int, grades: list[str], admitted: list[str], confirm_cap: int,
-                      policy: str = "all", bland_sources: str = "all") -> DataFrame:
+                      policy: str = "all", bland_sources: str = "all",
+                      per_polygon: int | None = None) -> DataFrame:
     """The whole 7-class table from hand, confirmed and rejected pixels, before its joint split.
 
     Review sources pass the grade bar and the legacy admission of their class while they still carry
@@ -236,10 +236,10 @@ def seven_class_table(pixels: DataFrame, confirmed: DataFrame, rejects: DataFram
     """
     base = seven_class_base(pixels, n_bland, row_key, seed, policy, bland_sources).withColumn("build_source", F.lit("base"))
     loaded = {"confirmed": ("lcp", L.confidence_defaults(stamp_classes(confirmed, zero_plag=False))),
-              "reassigned": ("lcp", reassigned(rejects, row_key, seed)),
-              "mc13_bland": ("bland", bland_review(rejects, True, n_bland, seed + 10, row_key)),
-              "mc11_bland": ("bland", bland_review(rejects, False, n_bland, seed + 20, row_key)),
-              "junk": ("junk", ambiguous(rejects, row_key, seed)),
+              "reassigned": ("lcp", reassigned(rejects, row_key, seed, per_polygon)),
+              "mc13_bland": ("bland", bland_review(rejects, True, n_bland, seed + 10, row_key, per_polygon)),
+              "mc11_bland": ("bland", bland_review(rejects, False, n_bland, seed + 20, row_key, per_polygon)),
+              "junk": ("junk", ambiguous(rejects, row_key, seed, per_polygon)),
               "alteration": ("alteration", altered(rejects))}
     parts = []
     for name, (target, rows) in loaded.items():

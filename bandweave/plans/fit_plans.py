@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import augment as G, rules as R, spectral as S
@@ -119,7 +121,10 @@ def pca_whitening(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     p = M.fit_pca(e, "embedding", 0.6, 32)
     z = e.select(S.project("embedding", p["mean"], p["components"], p["variance"]).alias("z"))
-    return z.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.var_samp(F.col("z")[0]) - 1.0) < 1e-6).alias("unit_variance"), (F.abs(F.avg(F.col("z")[0])) < 1e-6).alias("centred"))
+    every = range(len(p["variance"]))
+    unit, centred = ([f(F.col("z")[k]) for k in every] for f in (lambda c: F.abs(F.var_samp(c) - 1.0), lambda c: F.abs(F.avg(c))))
+    whole = lambda tests: F.lit(True) if not tests else reduce(lambda a, b: a & b, [t < 1e-6 for t in tests])
+    return z.agg(F.count(F.lit(1)).alias("n"), whole(unit).alias("unit_variance"), whole(centred).alias("centred"))
 
 
 @query("embedding_clusters")
