@@ -64,9 +64,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_id are not compared and all stay. Null, empty and blank texts are duplicates of each other. Empty table: no rows.
     """
     rows, names = shielded(docs, ["doc_id", "text"])
-    gone = near_dups.near_duplicates(rows).where(F.col("doc_id") != F.col("group")).select("doc_id")
+    gone = cut_lineage(near_dups.near_duplicates(rows).where(F.col("doc_id") != F.col("group")).select("doc_id"))
     kept = rows.join(gone, "doc_id", "left_anti")
     often = repeated_ids(rows.where(F.col("doc_id").isNotNull()))
+    if often.isEmpty():
+        return restored(kept, names)
     once = kept.join(often, F.col("doc_id") == F.col("often_id"), "left_anti")
     again = kept.join(often, F.col("doc_id") == F.col("often_id"), "left_semi")
     first = F.min_by(F.struct(*rows.columns), F.struct(F.col("text").isNotNull(), "text"))
