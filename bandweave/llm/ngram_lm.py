@@ -278,6 +278,9 @@ def train(texts: DataFrame, order: int = 2) -> Model:
     merged while they stream into arrays, so no task holds a large context. Lower orders count distinct
     left neighbours. There is about one shard for each partition of the input. Texts begin with order - 1 start marks, which are never predicted. The driver sees one
     row of file names and statistics a segment. Counts of an empty table give a model that knows no word.
+
+    Only ``text`` is read: doc_id may be null, repeated or absent and other columns may have any name. Empty and blank
+    texts count their end alone; repeated rows count each.
     """
     folder = f"{shared_dir(texts.sparkSession)}/lm-{uuid.uuid4().hex}"
     bits = min(16, max(4, (texts.rdd.getNumPartitions() - 1).bit_length()))
