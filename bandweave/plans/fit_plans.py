@@ -11,7 +11,7 @@ from ..operators import aggregates as A, evaluate as V, fitting as M, mining as
 from ..operators.grid import patches
 from ..operators.ranking import exact_percentiles
 from ..session import cut_lineage
-from .grid_plans import CENTERS, CLOSE, centers, grid, spectrum_grid, unit_pixels
+from .grid_plans import CENTERS, CLOSE, centers, spectrum_grid, unit_pixels
 from .registry import query
 from .sampling_plans import GRD, h
 from .spectral_plans import PARAMS, RULES, vectors
