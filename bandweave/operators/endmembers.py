@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import spectral as S
-from ..session import collect_bounded
+from ..session import collect_bounded, cut_lineage
 from .ranking import exact_percentiles, first_per_group, null_safe_join
 
 MAX_LIBRARY = 4096  # endmembers come from the class vocabulary
 BLOCK = 1024
+BOUND_SLACK = 1e-7  # radians; rounding of angles near 0
+ROUNDING = 1e-11  # of squared chords from summed moments
 
 
 def library(df: DataFrame, name: str = "class", spectrum: str = "spectrum") -> tuple[list[str], list[list[float]]]:
@@ -46,14 +48,32 @@ def mean_angles(df: DataFrame, group: list[str], key: str, spectrum: str = "spec
     row. A hot group becomes many blocks, hence many tasks. Rows with a missing or
     non-finite band are left out, as one of them would spoil every mean of its group.
     """
-    df = df.where(F.forall(spectrum, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    tagged = null_safe_join(df.select(*group, key, spectrum), sizes, group).withColumn("__nb", F.ceil(F.col("__n") / BLOCK).cast("int"))
-    rows = tagged.withColumn("__b", F.pmod(F.xxhash64(key), F.col("__nb")).cast("int"))
-    packed = rows.groupBy(*group, "__b").agg(F.max("__nb").alias("__nb"), F.collect_list(F.struct(key, spectrum)).alias("__rows"))
-    left = packed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
-    left = left.select(*group, F.col("__other").alias("__b"), F.col("__rows").alias("__mine"))
-    met = null_safe_join(left, packed.select(*group, "__b", F.col("__rows").alias("__theirs")), [*group, "__b"])
+    rows = _finite(df, spectrum).select(*group, key, spectrum)
+    blocks = _counted(rows, group, key, spectrum)
+    return _met(blocks, blocks, group, key)
+
+
+def _finite(df: DataFrame, spectrum: str) -> DataFrame:
+    return df.where(F.forall(spectrum, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def _packed(rows: DataFrame, sizes: DataFrame, group: list[str], key: str, spectrum: str) -> DataFrame:
+    """Blocks of about BLOCK rows of a group (``sizes`` holds its count __n): __b of __nb blocks, and __rows."""
+    tagged = null_safe_join(rows, sizes, group).withColumn("__nb", F.ceil(F.col("__n") / BLOCK).cast("int"))
+    tagged = tagged.withColumn("__b", F.pmod(F.xxhash64(key), F.col("__nb")).cast("int"))
+    return tagged.groupBy(*group, "__b").agg(F.max("__nb").alias("__nb"), F.max("__n").alias("__n"), F.collect_list(F.struct(key, spectrum)).alias("__rows"))
+
+
+def _counted(rows: DataFrame, group: list[str], key: str, spectrum: str) -> DataFrame:
+    return _packed(rows, rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), group, key, spectrum)
+
+
+def _met(some: DataFrame, blocks: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Mean angle of each row of the blocks ``some`` to the other rows of its group, whose whole blocks are ``blocks``."""
+    sizes = blocks.groupBy(*group).agg(F.max("__nb").alias("__all"))
+    left = null_safe_join(some.select(*group, F.col("__rows").alias("__mine")), sizes, group)
+    left = left.withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__all") - 1)))
+    met = null_safe_join(left, blocks.select(*group, "__b", "__n", F.col("__rows").alias("__theirs")), [*group, "__b"])
 
     @F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
     def sums(mine: pa.Array, theirs: pa.Array) -> pa.Array:
@@ -63,11 +83,10 @@ def mean_angles(df: DataFrame, group: list[str], key: str, spectrum: str = "spec
             out.append(angle.sum(axis=1))
         return pa.array(out, type=pa.list_(pa.float64()))
 
-    part = met.select(*group, F.transform("__mine", lambda r: r[key]).alias("__keys"), sums("__mine", "__theirs").alias("__sums"))
-    tall = part.select(*group, F.explode(F.arrays_zip("__keys", "__sums")).alias("z"))
-    total = tall.groupBy(*group, F.col("z.__keys").alias(key)).agg(F.sum("z.__sums").alias("__s"))
-    return null_safe_join(total, sizes, group).select(
-        *group, key, F.when(F.col("__n") > 1, F.col("__s") / (F.col("__n") - 1)).otherwise(0.0).alias("mean_angle"))
+    part = met.select(*group, "__n", F.transform("__mine", lambda r: r[key]).alias("__keys"), sums("__mine", "__theirs").alias("__sums"))
+    tall = part.select(*group, "__n", F.explode(F.arrays_zip("__keys", "__sums")).alias("z"))
+    total = tall.groupBy(*group, F.col("z.__keys").alias(key)).agg(F.sum("z.__sums").alias("__s"), F.max("__n").alias("__n"))
+    return total.select(*group, key, F.when(F.col("__n") > 1, F.col("__s") / (F.col("__n") - 1)).otherwise(0.0).alias("mean_angle"))
 
 
 def _units(rows: pa.StructArray) -> np.ndarray:
@@ -78,11 +97,78 @@ def _units(rows: pa.StructArray) -> np.ndarray:
     return unit
 
 
+def _moments(blocks: DataFrame, group: list[str]) -> DataFrame:
+    """Per group the sums of the unit vectors u and of their products u u', as one array __m (d + d d values)."""
+
+    @F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
+    def summed(rows: pa.Array) -> pa.Array:
+        out = []
+        for r in rows:
+            u = _units(r.values)
+            out.append(np.concatenate([u.sum(axis=0), (u.T @ u).ravel()]))
+        return pa.array(out, type=pa.list_(pa.float64()))
+
+    tall = blocks.select(*group, F.posexplode(summed("__rows")).alias("__i", "__v")).groupBy(*group, "__i").agg(F.sum("__v").alias("__v"))
+    held = tall.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__m"))
+    return held.withColumn("__m", F.transform("__m", lambda x: x["__v"]))
+
+
+def angle_bounds(unit: np.ndarray, n: int, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the mean angle of each row of ``unit`` to the other rows of its group of ``n``, from the group's moments.
+
+    With x the cosine to another row, its mean and the mean of its square follow from the moments. As |arcsin x - x| is at
+    most (pi/2 - 1) x^2, they bound the mean angle when rows are far apart. For rows close together the chord c, with
+    c^2 = 2 - 2x, is no longer than the angle, and E c >= (E c^2)^1.5 / (E c^4)^0.5; an angle is at most pi/2 chords.
+    """
+    own = (unit * unit).sum(axis=1)
+    others = max(n - 1, 1)
+    x = np.clip((unit @ first - own) / others, -1.0, 1.0)
+    xx = np.clip((np.einsum("ij,ij->i", unit @ second, unit) - own * own) / others, x * x, 1.0)
+    bend = (np.pi / 2 - 1) * xx
+    cc, cccc = 2 - 2 * x, np.maximum(4 - 8 * x + 4 * xx, 0)
+    chord = np.maximum(cc - ROUNDING, 0) ** 1.5 / np.sqrt(cccc + ROUNDING)
+    lower = np.maximum(np.pi / 2 - x - bend, chord)
+    upper = np.minimum(np.pi / 2 - x + bend, np.pi / 2 * np.sqrt(cc + ROUNDING))
+    itself = np.where(own > 0.5, 0.0, np.pi / 2) / others  # the angle of a zero vector to itself counts as a right one
+    return (lower + itself, upper + itself) if n > 1 else (np.zeros(len(unit)), np.zeros(len(unit)))
+
+
+def medoid_candidates(blocks: DataFrame, group: list[str], key: str, spectrum: str, count: int) -> DataFrame:
+    """The rows that may be among the ``count`` of least mean angle.
+
+    The ``count`` rows of least upper bound are measured; a row whose lower bound is beyond the largest of their means has no place.
+    """
+
+    @F.arrow_udf(returnType="array<struct<lower double, upper double>>")
+    def bounds(rows: pa.Array, n: pa.Array, moments: pa.Array) -> pa.Array:
+        out = []
+        for r, size, m in zip(rows, n.to_pylist(), moments):
+            unit, m = _units(r.values), m.values.to_numpy(zero_copy_only=False)
+            d = unit.shape[1]
+            low, high = angle_bounds(unit, size, m[:d], m[d:].reshape(d, d))
+            out.append([{"lower": a, "upper": b} for a, b in zip(low.tolist(), high.tolist())])
+        return pa.array(out, type=pa.list_(pa.struct([("lower", pa.float64()), ("upper", pa.float64())])))
+
+    known = null_safe_join(blocks, _moments(blocks, group), group).withColumn("__bounds", bounds("__rows", "__n", "__m"))
+    rows = cut_lineage(known.select(*group, F.explode(F.arrays_zip("__rows", "__bounds")).alias("z")).select(
+        *group, F.col(f"z.__rows.{key}").alias(key), F.col(f"z.__rows.{spectrum}").alias(spectrum), "z.__bounds.lower", "z.__bounds.upper"))
+    least = first_per_group(rows, group, [F.asc("upper")], count).select(*group, key, spectrum)
+    bar = _met(_counted(least, group, key, spectrum), blocks, group, key).groupBy(*group).agg(F.max("mean_angle").alias("__bar"))
+    return null_safe_join(rows, bar, group).where(F.col("lower") <= F.col("__bar") + BOUND_SLACK).select(*group, key, spectrum)
+
+
 def medoids(polygons: DataFrame, group: list[str], key: str, count: int = 1, spectrum: str = "spectrum") -> DataFrame:
-    """The ``count`` rows of each group with the smallest mean angle; ``kind`` names the place."""
-    angles = mean_angles(polygons, group, key, spectrum).withColumn("__a", F.round("mean_angle", 12))
+    """The ``count`` rows of each group with the smallest mean angle; ``kind`` names the place. ``key`` is unique in a group.
+
+    The moments of a group, one pass with map-side sums, bound the mean angle of every row; only rows whose bound leaves
+    them a place are measured against all others. Rows are left out as in ``mean_angles``, and the result is that of
+    ranking all means.
+    """
+    rows = _finite(polygons, spectrum).select(*group, key, spectrum)
+    blocks = cut_lineage(_counted(rows, group, key, spectrum))
+    some = cut_lineage(medoid_candidates(blocks, group, key, spectrum, count))
+    angles = _met(_counted(some, group, key, spectrum), blocks, group, key).withColumn("__a", F.round("mean_angle", 12))
     ranked = first_per_group(angles, group, [F.asc("__a"), F.asc(key)], count)
-    from pyspark.sql import Window
     place = F.row_number().over(Window.partitionBy(*group).orderBy("__a", key))  # at most `count` rows per group
     kind = F.when(place == 1, "medoid").otherwise(F.concat(F.lit("candidate"), place.cast("string")))
     return ranked.withColumn("kind", kind).join(polygons.select(key, spectrum), key).select(*group, key, "kind", "mean_angle", spectrum)

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
 
-GROUP_LIMIT = 1000  # Spark drops rows past this rank before the shuffle
 LEVEL_BITS, MAX_LEVELS = 16, 3  # 48 of the 52 bits of a fraction
 SORTED_ROWS = 1 << 20
 
@@ -39,16 +38,18 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return held.withColumns({c: F.col("__one")[c] for c in one_row.columns}).drop("__one")
 
 
-def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: int = 64) -> DataFrame:
-    """First ``n`` rows of each group, exact.
+def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, fan: int = 8) -> DataFrame:
+    """First ``n`` rows of each group, exact, by the same plan for every ``n``.
 
-    Small ``n``: Spark's own per-task group limit runs before the shuffle. Larger
-    ``n``: a first pass over salted groups leaves at most ``salts * n`` rows each.
+    A tournament: the rows of a group are dealt to ``fan`` x ``fan`` heats, the first ``n`` of each go on to ``fan``
+    heats and from there to the last one, so after the first round no task sees more than ``fan * n`` rows of a group.
+    Spark limits groups before a shuffle where its own threshold for ``n`` allows it.
     """
-    if n > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.lit(salts))
-        df = _head(df.withColumn("__salt", salt), [*keys, "__salt"], order, n).drop("__salt")
-    return _head(df, keys, order, n)
+    content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)]
+    heat = F.pmod(F.xxhash64(*content) + F.spark_partition_id(), F.lit(fan * fan))
+    heats = _head(df.withColumn("__heat", heat), [*keys, "__heat"], order, n)
+    heats = _head(heats.withColumn("__heat", F.col("__heat") % fan), [*keys, "__heat"], order, n)
+    return _head(heats.drop("__heat"), keys, order, n)
 
 
 def _head(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bandweave import schema
 from bandweave.functions import augment, geo, keys, labels as L, masks as M, rules as R, spectral as S
-from bandweave.operators import aggregates as A, curate as C, fitting, graph, grid as H, joins as J, ranking, review, sampling, split
+from bandweave.operators import aggregates as A, curate as C, endmembers as E, fitting, graph, grid as H, joins as J, ranking, review, sampling, split
 from bandweave.session import collect_bounded
 from bandweave.sources import log, scans, sinks
 
@@ -73,6 +73,71 @@ def test_large_cap_takes_the_first_rows(spark):
     assert sorted((r["k"], r["n"], r["m"]) for r in out) == [(0, 1500, 2998), (1, 1500, 2999)]
 
 
+def test_caps_keep_the_same_plan_and_rows_at_every_size(spark):
+    """Null and hot groups, equal rows and rows that tie; the rounds of the tournament are the same for any n."""
+    hot = [("hot", i % 7, {"m": i}) for i in range(3000)] + [(None, i, None) for i in range(5)] + [("same", 1, None)] * 40
+    df = spark.createDataFrame(hot, "k string, v int, `odd.name` map<string,int>").repartition(5)
+    for n in (1, 3, 900, 1100):
+        out = ranking.first_per_group(df, ["k"], [F.desc("v")], n)
+        got = {r["k"]: (r["n"], r["least"]) for r in out.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least")).collect()}
+        want = sorted((v for k, v, _ in hot if k == "hot"), reverse=True)[:n]
+        assert got == {"hot": (n, min(want)), None: (min(n, 5), max(5 - n, 0)), "same": (min(n, 40), 1)}
+        assert out.columns == df.columns and str(out._jdf.queryExecution().optimizedPlan()).count("Window [row_number") == 3
+    assert ranking.first_per_group(df.limit(0), ["k"], [F.asc("v")], 2).count() == 0
+
+
+# ---------------------------------------------------------------------- medoids
+
+def medoid_rows(spark, groups):
+    rows = [(g, f"{g}-{i:04d}", [float(x) for x in v]) for g, vectors in groups.items() for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "class string, uid string, spectrum array<double>")
+
+
+def test_medoids_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    close = rng.normal(size=12) + np.linspace(1, 3, 12)
+    groups = {"far": rng.normal(size=(150, 12)), "close": close + 0.05 * rng.normal(size=(150, 12)), "tight": close + 1e-5 * rng.normal(size=(40, 12)),
+              "equal": np.tile(close, (9, 1)), "opposed": np.concatenate([np.tile(close, (4, 1)), np.tile(-close, (5, 1))]),
+              "zero": np.concatenate([np.zeros((3, 12)), rng.normal(size=(20, 12))]), "two": rng.normal(size=(2, 12)), "lone": rng.normal(size=(1, 12))}
+    df = medoid_rows(spark, groups)
+    for count in (1, 4):
+        angles = E.mean_angles(df, ["class"], "uid").collect()
+        want = set()
+        for g in groups:
+            own = sorted((round(r["mean_angle"], 12), r["uid"]) for r in angles if r["class"] == g)
+            want |= {(g, uid, "medoid" if k == 0 else f"candidate{k + 1}") for k, (_, uid) in enumerate(own[:count])}
+        got = {(r["class"], r["uid"], r["kind"]) for r in E.medoids(df, ["class"], "uid", count).collect()}
+        assert got == want
+
+
+def test_medoids_with_null_groups_bad_bands_and_no_rows(spark):
+    rows = [(None, "a", [1.0, 0.0]), (None, "b", [1.0, 0.1]), (None, "c", [0.0, 1.0]), ("x", "d", [1.0, None]), ("x", "e", None), ("x", "f", [2.0, float("nan")]), ("x", "g", [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "class string, uid string, spectrum array<double>")
+    assert {(r["class"], r["uid"]) for r in E.medoids(df, ["class"], "uid").collect()} == {(None, "b"), ("x", "g")}
+    assert E.medoids(df.limit(0), ["class"], "uid").count() == 0
+
+
+def test_angle_bounds_hold():
+    rng = np.random.default_rng(5)
+    for spread in (1e-7, 1e-5, 1e-3, 0.1, 1.0, 30.0):
+        u = rng.normal(size=8) + spread * rng.normal(size=(300, 8))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        angle = np.arccos(np.clip(u @ u.T, -1, 1)).sum(axis=1) / 299
+        low, high = E.angle_bounds(u, 300, u.sum(axis=0), u.T @ u)
+        assert (low <= angle + E.BOUND_SLACK).all() and (angle <= high + E.BOUND_SLACK).all()
+
+
+def test_few_rows_are_measured_for_the_medoids(spark, sf_dir):
+    """Pairs measured on the given vectors, as a share of all pairs of their classes."""
+    from bandweave.plans.spectral_plans import polygons
+    df = polygons(spark, sf_dir.replace("sf0.001", "sf0.1"))
+    sizes = df.groupBy("class").agg(F.count(F.lit(1)).alias("__n"))
+    blocks = E._counted(df.select("class", "vec_id", "spectrum"), ["class"], "vec_id", "spectrum")
+    asked = E.medoid_candidates(blocks, ["class"], "vec_id", "spectrum", 1).join(sizes, "class").agg(F.sum("__n")).first()[0]
+    print("share of pairs measured", asked / sizes.agg(F.sum(F.col("__n") * F.col("__n"))).first()[0])
+    assert asked < 0.2 * sizes.agg(F.sum(F.col("__n") * F.col("__n"))).first()[0]
+
+
 # -------------------------------------------------------------------- spectral
 
 def test_hull_equals_brute_force():
