@@ -12,6 +12,7 @@ from .ranking import exact_percentiles, first_per_group, null_safe_join
 
 MAX_LIBRARY = 4096  # endmembers come from the class vocabulary
 BLOCK = 1024
+REPACKED = 16
 BOUND_SLACK = 1e-7  # radians; rounding of angles near 0
 ROUNDING = 1e-11  # of squared chords from summed moments
 
@@ -48,8 +49,7 @@ def mean_angles(df: DataFrame, group: list[str], key: str, spectrum: str = "spec
     row. A hot group becomes many blocks, hence many tasks. Rows with a missing or
     non-finite band are left out, as one of them would spoil every mean of its group.
     """
-    rows = _finite(df, spectrum).select(*group, key, spectrum)
-    blocks = _counted(rows, group, key, spectrum)
+    blocks = _packed(_finite(df, spectrum).select(*group, key, spectrum), group, key, spectrum)
     return _met(blocks, blocks, group, key)
 
 
@@ -57,30 +57,32 @@ def _finite(df: DataFrame, spectrum: str) -> DataFrame:
     return df.where(F.forall(spectrum, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
-def _packed(rows: DataFrame, sizes: DataFrame, group: list[str], key: str, spectrum: str) -> DataFrame:
-    """Blocks of about BLOCK rows of a group (``sizes`` holds its count __n): __b of __nb blocks, and __rows."""
+def _packed(rows: DataFrame, group: list[str], key: str, spectrum: str) -> DataFrame:
+    """Blocks of about BLOCK rows of each group: number __b of __nb, rows of the group __n, and __rows."""
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     tagged = null_safe_join(rows, sizes, group).withColumn("__nb", F.ceil(F.col("__n") / BLOCK).cast("int"))
     tagged = tagged.withColumn("__b", F.pmod(F.xxhash64(key), F.col("__nb")).cast("int"))
     return tagged.groupBy(*group, "__b").agg(F.max("__nb").alias("__nb"), F.max("__n").alias("__n"), F.collect_list(F.struct(key, spectrum)).alias("__rows"))
 
 
-def _counted(rows: DataFrame, group: list[str], key: str, spectrum: str) -> DataFrame:
-    return _packed(rows, rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")), group, key, spectrum)
+def _repacked(rows: DataFrame, group: list[str], key: str, spectrum: str) -> DataFrame:
+    """Some rows of blocks (with the __nb of their group) in new blocks, one for REPACKED old ones."""
+    dealt = F.pmod(F.xxhash64(key), F.ceil(F.col("__nb") / REPACKED))
+    return rows.groupBy(*group, dealt.alias("__b")).agg(F.max("__nb").alias("__nb"), F.collect_list(F.struct(key, spectrum)).alias("__rows"))
 
 
 def _met(some: DataFrame, blocks: DataFrame, group: list[str], key: str) -> DataFrame:
     """Mean angle of each row of the blocks ``some`` to the other rows of its group, whose whole blocks are ``blocks``."""
-    sizes = blocks.groupBy(*group).agg(F.max("__nb").alias("__all"))
-    left = null_safe_join(some.select(*group, F.col("__rows").alias("__mine")), sizes, group)
-    left = left.withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__all") - 1)))
+    left = some.select(*group, F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)).alias("__b"), F.col("__rows").alias("__mine"))
     met = null_safe_join(left, blocks.select(*group, "__b", "__n", F.col("__rows").alias("__theirs")), [*group, "__b"])
 
     @F.arrow_udf(returnType=T.ArrayType(T.DoubleType()))
     def sums(mine: pa.Array, theirs: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(mine, theirs):
-            angle = np.arccos(np.clip(_units(a.values) @ _units(b.values).T, -1.0, 1.0))
-            out.append(angle.sum(axis=1))
+            u, v = _units(a.values), _units(b.values)
+            parts = [np.arccos(np.clip(u[at:at + BLOCK] @ v.T, -1.0, 1.0)).sum(axis=1) for at in range(0, len(u), BLOCK)]
+            out.append(np.concatenate(parts))
         return pa.array(out, type=pa.list_(pa.float64()))
 
     part = met.select(*group, "__n", F.transform("__mine", lambda r: r[key]).alias("__keys"), sums("__mine", "__theirs").alias("__sums"))
@@ -150,11 +152,11 @@ def medoid_candidates(blocks: DataFrame, group: list[str], key: str, spectrum: s
         return pa.array(out, type=pa.list_(pa.struct([("lower", pa.float64()), ("upper", pa.float64())])))
 
     known = null_safe_join(blocks, _moments(blocks, group), group).withColumn("__bounds", bounds("__rows", "__n", "__m"))
-    rows = cut_lineage(known.select(*group, F.explode(F.arrays_zip("__rows", "__bounds")).alias("z")).select(
-        *group, F.col(f"z.__rows.{key}").alias(key), F.col(f"z.__rows.{spectrum}").alias(spectrum), "z.__bounds.lower", "z.__bounds.upper"))
-    least = first_per_group(rows, group, [F.asc("upper")], count).select(*group, key, spectrum)
-    bar = _met(_counted(least, group, key, spectrum), blocks, group, key).groupBy(*group).agg(F.max("mean_angle").alias("__bar"))
-    return null_safe_join(rows, bar, group).where(F.col("lower") <= F.col("__bar") + BOUND_SLACK).select(*group, key, spectrum)
+    rows = known.select(*group, "__nb", F.explode(F.arrays_zip("__rows", "__bounds")).alias("z")).select(
+        *group, "__nb", F.col(f"z.__rows.{key}").alias(key), F.col(f"z.__rows.{spectrum}").alias(spectrum), "z.__bounds.lower", "z.__bounds.upper")
+    least = first_per_group(rows, group, [F.asc("upper")], count)
+    bar = _met(_repacked(least, group, key, spectrum), blocks, group, key).groupBy(*group).agg(F.max("mean_angle").alias("__bar"))
+    return null_safe_join(rows, bar, group).where(F.col("lower") <= F.col("__bar") + BOUND_SLACK).select(*group, "__nb", key, spectrum)
 
 
 def medoids(polygons: DataFrame, group: list[str], key: str, count: int = 1, spectrum: str = "spectrum") -> DataFrame:
@@ -165,9 +167,9 @@ def medoids(polygons: DataFrame, group: list[str], key: str, count: int = 1, spe
     ranking all means.
     """
     rows = _finite(polygons, spectrum).select(*group, key, spectrum)
-    blocks = cut_lineage(_counted(rows, group, key, spectrum))
-    some = cut_lineage(medoid_candidates(blocks, group, key, spectrum, count))
-    angles = _met(_counted(some, group, key, spectrum), blocks, group, key).withColumn("__a", F.round("mean_angle", 12))
+    blocks = cut_lineage(_packed(rows, group, key, spectrum))
+    some = _repacked(medoid_candidates(blocks, group, key, spectrum, count), group, key, spectrum)
+    angles = _met(some, blocks, group, key).withColumn("__a", F.round("mean_angle", 12))
     ranked = first_per_group(angles, group, [F.asc("__a"), F.asc(key)], count)
     place = F.row_number().over(Window.partitionBy(*group).orderBy("__a", key))  # at most `count` rows per group
     kind = F.when(place == 1, "medoid").otherwise(F.concat(F.lit("candidate"), place.cast("string")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import cut_lineage
 
+GROUP_LIMIT = 1000  # Spark drops rows past this rank before the shuffle
 LEVEL_BITS, MAX_LEVELS = 16, 3  # 48 of the 52 bits of a fraction
 SORTED_ROWS = 1 << 20
 
@@ -39,17 +40,18 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, fan: int = 8) -> DataFrame:
-    """First ``n`` rows of each group, exact, by the same plan for every ``n``.
+    """First ``n`` rows of each group, exact.
 
-    A tournament: the rows of a group are dealt to ``fan`` x ``fan`` heats, the first ``n`` of each go on to ``fan``
-    heats and from there to the last one, so after the first round no task sees more than ``fan * n`` rows of a group.
-    Spark limits groups before a shuffle where its own threshold for ``n`` allows it.
+    Up to GROUP_LIMIT Spark takes the first ``n`` of a group in each task before the only shuffle. Beyond it a tournament
+    does: the rows of a group are dealt to ``fan`` x ``fan`` heats, the first ``n`` of each go on to ``fan`` heats and from
+    there to the last one, so after the first round no task sees more than ``fan * n`` rows of a group.
     """
-    content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    heat = F.pmod(F.xxhash64(*content) + F.spark_partition_id(), F.lit(fan * fan))
-    heats = _head(df.withColumn("__heat", heat), [*keys, "__heat"], order, n)
-    heats = _head(heats.withColumn("__heat", F.col("__heat") % fan), [*keys, "__heat"], order, n)
-    return _head(heats.drop("__heat"), keys, order, n)
+    if n > GROUP_LIMIT:
+        content = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, T.MapType)]
+        heat = F.pmod(F.xxhash64(*content) + F.spark_partition_id(), F.lit(fan * fan))
+        df = _head(df.withColumn("__heat", heat), [*keys, "__heat"], order, n)
+        df = _head(df.withColumn("__heat", F.col("__heat") % fan), [*keys, "__heat"], order, n).drop("__heat")
+    return _head(df, keys, order, n)
 
 
 def _head(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
