@@ -127,13 +127,23 @@ def roi_rows(spark, sf_dir):
     return S.roi_rows(r).select("obsid", "x", "y")
 
 
-@query("polygon_attributes", "SELECT vec_id, 'olivine|hcp' AS minerals, CASE WHEN vec_id % 2 = 0 THEN 'High' ELSE '' END AS confidence_tier, CAST(59 AS BIGINT) AS n FROM embeddings WHERE vec_id % 4 <> 0")
+ATTRIBUTES = """SELECT vec_id, embedding, CASE label % 6 WHEN 0 THEN 'HCP + olivine (HIGH)' WHEN 1 THEN 'hcp + Olivine' WHEN 2 THEN 'LCP, Spinel (low)' WHEN 3 THEN 'plagiolcase (Moderate)'
+ WHEN 4 THEN 'Other, altered (high)' ELSE 'other (vague)' END AS Category FROM embeddings"""
+
+
+@query("polygon_attributes", f"""WITH a AS ({ATTRIBUTES}), k AS (SELECT *, lower(Category) AS c FROM a WHERE vec_id % 4 <> 0)
+SELECT vec_id, CASE WHEN c LIKE 'other (%' THEN 'other' ELSE concat_ws('|', CASE WHEN c LIKE '%olivine%' THEN 'olivine' END, CASE WHEN c LIKE '%lcp%' THEN 'lcp' END,
+ CASE WHEN c LIKE '%hcp%' THEN 'hcp' END, CASE WHEN c LIKE '%plagiolcase%' THEN 'plagioclase' END, CASE WHEN c LIKE '%spinel%' THEN 'spinel' END, CASE WHEN c LIKE '%alter%' THEN 'alteration' END) END AS minerals,
+ CASE WHEN c LIKE '%(high)' THEN 'High' WHEN c LIKE '%(moderate)' THEN 'Moderate' WHEN c LIKE '%(low)' THEN 'Low' ELSE '' END AS confidence_tier,
+ CAST(len(embedding[1:59]) AS BIGINT) AS n, CAST(list_sum([floor(CAST(x AS DOUBLE) * 1e4) for x in embedding[1:59]]) AS BIGINT) AS total,
+ CAST(floor(CAST(embedding[59] AS DOUBLE) * 1e4) AS BIGINT) AS last_value FROM k""")
 def polygon_attributes(spark, sf_dir):
-    text = F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), ", ")
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 4 == 0, "0.1, 0.2").otherwise(text).alias("spectrum_text"),
-                                                 F.when(F.col("vec_id") % 2 == 0, "HCP + olivine (HIGH)").otherwise("hcp + Olivine").alias("Category"))
-    p = S.polygon_attributes(e)
-    return p.select("vec_id", F.array_join("minerals", "|").alias("minerals"), "confidence_tier", F.size("spectrum").cast("bigint").alias("n"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1e4).cast("string")), ", "), F.lit("]"))
+    e = spark.sql(ATTRIBUTES.replace("FROM embeddings", "FROM {e}"), e=load(spark, sf_dir, "embeddings"))
+    p = S.polygon_attributes(e.withColumn("spectrum_text", F.when(F.col("vec_id") % 4 == 0, "0.1, 0.2").otherwise(text)))
+    total = F.aggregate("spectrum", F.lit(0.0), lambda t, x: t + x).cast("bigint")
+    return p.select("vec_id", F.array_join("minerals", "|").alias("minerals"), "confidence_tier", F.size("spectrum").cast("bigint").alias("n"),
+                    total.alias("total"), F.element_at("spectrum", 59).cast("bigint").alias("last_value"))
 
 
 CAND = "SELECT o_orderkey AS region_id, 'mc' || CAST(o_custkey % 3 AS STRING) AS mc, 'olivine' AS mineral, 't' || CAST(o_custkey % 9 AS STRING) AS tile_id, CASE WHEN o_orderkey % 2 = 0 THEN 5e-1 ELSE 85e-2 END AS threshold, o_totalprice / 5e5 AS mean_prob FROM orders"
