@@ -173,6 +173,20 @@ def test_repeated_query_ids_lose_no_neighbours(spark):
     assert hits / (5 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["shifted", "flat"])
+def test_adaptive_scan_finds_neighbours_on_other_rows(spark, kind):
+    rng = np.random.default_rng(21)
+    points = rng.normal(size=(3000, 32))
+    points = 1 + 1e-5 * points if kind == "shifted" else points * (np.arange(32) < 12)
+    rows = [(k, p.tolist()) for k, p in enumerate(points)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = exact_nearest(rows, {i for i, _ in rows if i % 50 == 0}, 5)
+    got = defaultdict(set)
+    for r in adaptive_scan.nearest(vectors, vectors.where("vec_id % 50 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert sum(i in got[q] for q in want for i, _ in want[q]) / (5 * len(want)) >= 0.98
+
+
 def test_adaptive_scan_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (9, [1.0]), (2, [1.0, 0.0])]
