@@ -108,8 +108,11 @@ def reattach(selected: DataFrame, source: DataFrame, key: list[str], check: list
 
 
 def polygon_pixel_join(polygons: DataFrame, grid: DataFrame) -> DataFrame:
-    """One row per (polygon, pixel) with the grid's columns."""
-    return polygon_pixels(polygons).join(grid, list(PIXEL_KEY))
+    """One row per (polygon, pixel) with the grid's columns.
+
+    The planner knows the size of the polygons' files, not how many pixels they become, and would broadcast them all.
+    """
+    return polygon_pixels(polygons).hint("merge").join(grid, list(PIXEL_KEY))
 
 
 def box_overlap(left: DataFrame, right: DataFrame, size: float) -> DataFrame:

@@ -321,6 +321,15 @@ def test_links_wrap_and_stretch_at_high_latitude(spark):
     assert got == want
 
 
+def test_polygon_pixels_are_never_broadcast(spark):
+    ring = F.expr("array(struct(0d AS x, 0d AS y), struct(3d AS x, 0d AS y), struct(3d AS x, 3d AS y), struct(0d AS x, 3d AS y))")
+    polygons = spark.range(3).select(F.col("id").alias("polygon_id"), F.lit("t").alias("tile_id"), ring.alias("ring"))
+    cells = spark.range(25).select(F.lit("t").alias("tile_id"), F.expr("id div 5").alias("pixel_row"), (F.col("id") % 5).alias("pixel_col"), F.col("id").alias("value"))
+    met = J.polygon_pixel_join(polygons, cells)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["polygon_id"], r["value"]) for r in met.collect()) == [(p, 5 * r + c) for p in range(3) for r in range(3) for c in range(3)]
+
+
 def test_shared_pixels_stay_in_one_split(spark):
     rows = [("t1", 1, r, 0) for r in range(5)] + [("t1", 2, r, 0) for r in range(4, 1400, 200)] + [("t1", 3, 700 + r, 900) for r in range(3)]
     px = spark.createDataFrame(rows, "tile_id string, polygon_id long, pixel_row long, pixel_col long").withColumn("lcp", F.lit(1.0))
