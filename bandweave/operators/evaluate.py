@@ -146,12 +146,19 @@ def soft_confusion(df: DataFrame, truth: str, scores: str, vocab: list[str], min
     return kept.select(argmax_name(F.col(truth), vocab).alias("true"), argmax_name(F.col(scores), vocab).alias("predicted"))
 
 
+def steady_mean(x: Column) -> Column:
+    """Mean that does not depend on the order of rows; the plain one where a value is no finite decimal."""
+    exact = x.try_cast("decimal(26,12)")
+    return F.when(F.count(exact) == F.count(x), F.sum(exact).cast("double") / F.nullif(F.count(x), F.lit(0))).otherwise(F.avg(x))
+
+
 def polygon_report(polygons: DataFrame, scores: DataFrame, key: str, vocab: list[str], probs: str, minerals: str) -> DataFrame:
     """Mean scores per polygon, its argmax and whether it hits any named mineral.
 
-    Polygons without scored pixels stay, with no prediction.
+    Means come from sums in decimals of 12 places, so classes with equal means tie in whatever order rows are added, and
+    the first of ``vocab`` wins. Polygons without scored pixels stay, with no prediction.
     """
-    mean = scores.groupBy(key).agg(F.array(*[F.avg(F.col(probs)[i]) for i in range(len(vocab))]).alias("__m"), F.count(F.lit(1)).alias("n_pixels"))
+    mean = scores.groupBy(key).agg(F.array(*[steady_mean(F.col(probs)[i]) for i in range(len(vocab))]).alias("__m"), F.count(F.lit(1)).alias("n_pixels"))
     joined = polygons.join(mean, key, "left")
     predicted = F.when(F.col("__m").isNotNull(), argmax_name(F.col("__m"), vocab))
     return joined.select(*polygons.columns, F.coalesce("n_pixels", F.lit(0)).alias("n_pixels"), F.coalesce(predicted, F.lit("NONE")).alias("predicted_class"),

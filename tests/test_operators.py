@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bandweave import schema
 from bandweave.functions import augment, geo, keys, labels as L, masks as M, rules as R, spectral as S
-from bandweave.operators import aggregates as A, curate as C, endmembers as E, fitting, graph, grid as H, joins as J, ranking, review, sampling, split
+from bandweave.operators import aggregates as A, curate as C, endmembers as E, evaluate, fitting, graph, grid as H, joins as J, ranking, review, sampling, split
 from bandweave.session import collect_bounded
 from bandweave.sources import log, scans, sinks
 
@@ -321,6 +321,16 @@ def test_links_wrap_and_stretch_at_high_latitude(spark):
     assert got == want
 
 
+def test_equal_polygon_means_do_not_depend_on_row_order(spark):
+    polygons = spark.createDataFrame([(k, ["a"]) for k in range(6)] + [(6, ["a"]), (7, ["b"])], "polygon_id long, minerals array<string>")
+    orders = [[0.1, 0.2, 0.3], [0.3, 0.2, 0.1], [0.2, 0.3, 0.1]]
+    rows = [(3 * swap + k, [[0.2, p], [p, 0.2]][swap]) for swap in (0, 1) for k, order in enumerate(orders) for p in order] + [(6, [float("nan"), 1.0])]
+    scores = spark.createDataFrame(rows, "polygon_id long, probs array<double>")
+    got = {r["polygon_id"]: (r["n_pixels"], r["predicted_class"], r["correct"]) for r in evaluate.polygon_report(polygons, scores.coalesce(1), "polygon_id", ["a", "b"], "probs", "minerals").collect()}
+    assert [got[k] for k in range(6)] == [(3, "a", True)] * 6
+    assert got[6] == (1, "a", True) and got[7] == (0, "NONE", None)
+
+
 def test_polygon_pixels_are_never_broadcast(spark):
     ring = F.expr("array(struct(0d AS x, 0d AS y), struct(3d AS x, 0d AS y), struct(3d AS x, 3d AS y), struct(0d AS x, 3d AS y))")
     polygons = spark.range(3).select(F.col("id").alias("polygon_id"), F.lit("t").alias("tile_id"), ring.alias("ring"))
