@@ -43,8 +43,8 @@ def class_centroids(df: DataFrame, labels: list[str], row_key: list[str], bands:
 
 
 def ready_for_angles(df: DataFrame, spectrum: str, wavelengths: list[float] | None = None, keep: list[int] | None = None) -> DataFrame:
-    """Complete spectra only: nodata masked, clipped, hull removed, good bands kept."""
-    clean = df.withColumn(spectrum, M.sanitize(spectrum, fill=None)).where(~F.exists(spectrum, lambda x: x.isNull()))
+    """Complete spectra only: nodata masked, hull removed, good bands kept. Values are never clipped: clipping bends a spectrum."""
+    clean = df.withColumn(spectrum, M.sanitize(spectrum, phys_max=None, clip=None, fill=None)).where(~F.exists(spectrum, lambda x: x.isNull()))
     removed = clean.withColumn(spectrum, S.hull_removed(spectrum, wavelengths, keep))
     return removed.withColumn(spectrum, S.take_bands(spectrum, keep if keep is not None else S.good_bands()))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bandweave import schema
 from bandweave.functions import augment, geo, keys, labels as L, masks as M, rules as R, spectral as S
-from bandweave.operators import aggregates as A, curate as C, endmembers as E, evaluate, fitting, graph, grid as H, joins as J, ranking, review, sampling, split
+from bandweave.operators import aggregates as A, curate as C, endmembers as E, evaluate, fitting, graph, grid as H, joins as J, prepare, ranking, review, sampling, split
 from bandweave.session import collect_bounded
 from bandweave.sources import log, scans, sinks
 
@@ -331,6 +331,15 @@ def test_equal_polygon_means_do_not_depend_on_row_order(spark):
     assert got[6] == (1, "a", True) and got[7] == (0, "NONE", None)
 
 
+def test_spectra_for_angles_are_not_clipped(spark):
+    waves, keep = [1.0, 2.0, 3.0, 4.0, 5.0], list(range(5))
+    rows = [(k, [scale * x for x in (0.4, 0.9, 0.6, 0.8, 0.5)]) for k, scale in ((0, 0.1), (1, 1.0), (2, 3.0))] + [(3, [0.1, 65535.0, 0.1, 0.1, 0.1])]
+    out = prepare.ready_for_angles(spark.createDataFrame(rows, "id long, spectrum array<double>"), "spectrum", waves, keep)
+    got = {r["id"]: r["spectrum"] for r in out.collect()}
+    assert sorted(got) == [0, 1, 2]
+    assert got[1] == pytest.approx(got[0], abs=1e-6) and got[2] == pytest.approx(got[0], abs=1e-6) and min(got[0]) < 0.8
+
+
 def test_polygon_pixels_are_never_broadcast(spark):
     ring = F.expr("array(struct(0d AS x, 0d AS y), struct(3d AS x, 0d AS y), struct(3d AS x, 3d AS y), struct(0d AS x, 3d AS y))")
     polygons = spark.range(3).select(F.col("id").alias("polygon_id"), F.lit("t").alias("tile_id"), ring.alias("ring"))
