@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bandweave import schema
 from bandweave.functions import augment, geo, keys, labels as L, masks as M, rules as R, spectral as S
 from bandweave.operators import aggregates as A, curate as C, endmembers as E, evaluate, fitting, graph, grid as H, joins as J, prepare, ranking, review, sampling, split
-from bandweave.session import collect_bounded
+from bandweave.session import collect_bounded, cut_lineage
 from bandweave.sources import log, scans, sinks
 
 
@@ -349,6 +349,28 @@ def test_polygon_pixels_are_never_broadcast(spark):
     assert sorted((r["polygon_id"], r["value"]) for r in met.collect()) == [(p, 5 * r + c) for p in range(3) for r in range(3) for c in range(3)]
 
 
+def test_close_points_across_the_pole(spark):
+    pts = spark.createDataFrame([("a", 89.95, 0.0), ("b", 89.95, 180.0), ("c", 89.95, 91.0), ("d", 89.0, 0.0)], "id string, lat double, lon double").withColumn("g", F.lit("x"))
+    comp = {r["id"]: r["component"] for r in graph.connected_components(pts, graph.distance_links(pts, "id", 0.25)).collect()}
+    assert comp == {"a": "a", "b": "a", "c": "a", "d": "d"}
+    assert graph.close_pair_counts(pts.where("id = 'a'"), pts.where("id <> 'a'"), "g", 0.25).first()["pairs"] == 2
+
+
+def test_dense_points_write_no_cell_pairs(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        out = cut_lineage(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    pts = spark.range(2500).select("id", ((F.col("id") % 50) * 0.05).alias("lat"), ((F.col("id") - F.col("id") % 50) / 50 * 0.05).alias("lon"))
+    links = graph.distance_links(pts, "id", 0.25)
+    assert sum(written) < 20 * 2500
+    assert graph.connected_components(pts, links).select("component").distinct().count() == 1
+
+
 def test_shared_pixels_stay_in_one_split(spark):
     rows = [("t1", 1, r, 0) for r in range(5)] + [("t1", 2, r, 0) for r in range(4, 1400, 200)] + [("t1", 3, 700 + r, 900) for r in range(3)]
     px = spark.createDataFrame(rows, "tile_id string, polygon_id long, pixel_row long, pixel_col long").withColumn("lcp", F.lit(1.0))
