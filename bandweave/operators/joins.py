@@ -10,6 +10,8 @@ from ..functions.geo import polygon_pixels
 from ..schema import PIXEL_KEY
 from .sampling import keep_best
 
+CELL_ROWS = 512  # rows of a cell that one group compares
+BOX_ROWS = 1_024  # rows of equal boxes that travel together
 
 def inherit_split(df: DataFrame, splits: DataFrame, keys: list[str]) -> DataFrame:
     """Split of the matching row, 'train' when there is none."""
@@ -115,31 +117,59 @@ def polygon_pixel_join(polygons: DataFrame, grid: DataFrame) -> DataFrame:
     return polygon_pixels(polygons).hint("merge").join(grid, list(PIXEL_KEY))
 
 
+def met_in_cells(left: DataFrame, right: DataFrame, cells: list[str], spread: list[str]) -> DataFrame:
+    """Inner join on ``cells``, whose left rows are dealt by ``spread`` into chunks of about CELL_ROWS, each a group of its own.
+
+    The tasks are given by number, because few bytes make many pairs.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = left.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("__chunks"))
+    dealt = left.join(chunks, cells).withColumn("__chunk", F.pmod(F.xxhash64(*spread), "__chunks")).drop("__chunks")
+    copied = right.join(chunks, cells).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__chunks") - 1))).drop("__chunks")
+    keys = [*cells, "__chunk"]
+    return dealt.repartition(tasks, *keys).join(copied.repartition(tasks, *keys).hint("merge"), keys).drop("__chunk")
+
+
 def box_overlap(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """Pairs whose boxes (x0, y0, x1, y1) overlap, through shared grid buckets.
 
     A pair is reported in the one bucket that holds the lower corner of its
-    intersection, so pairs sharing several buckets come once.
+    intersection, so pairs sharing several buckets come once. Equal boxes are compared once and carry their rows along,
+    at most about BOX_ROWS of them, so the comparisons follow the different boxes and the rest is the output itself.
     """
+    corners = ("x0", "y0", "x1", "y1")
+
     def cells(df, p):
+        box = [f"{p}{c}" for c in corners]
+        rest = [c for c in df.columns if c not in box] or box[:1]
+        chunks = df.groupBy(*box).agg(F.ceil(F.count(F.lit(1)) / BOX_ROWS).alias("__n"))
+        held = df.join(chunks, box).groupBy(*box, F.pmod(F.xxhash64(*rest), "__n").alias(f"{p}part")).agg(F.collect_list(F.struct(*rest)).alias(f"{p}rows"))
         span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
-        return (df.withColumn("__i", F.explode(span(f"{p}x0", f"{p}x1"))).withColumn("__j", F.explode(span(f"{p}y0", f"{p}y1"))))
-    pairs = cells(left, "a_").join(cells(right, "b_"), ["__i", "__j"])
+        return (held.withColumn("__i", F.explode(span(f"{p}x0", f"{p}x1"))).withColumn("__j", F.explode(span(f"{p}y0", f"{p}y1"))))
+    spread = [*[f"a_{c}" for c in corners], "a_part"]
+    pairs = met_in_cells(cells(left, "a_"), cells(right, "b_"), ["__i", "__j"], spread)
     hit = ((F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1"))
            & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1")))
     own = ((F.floor(F.greatest("a_x0", "b_x0") / size) == F.col("__i"))
            & (F.floor(F.greatest("a_y0", "b_y0") / size) == F.col("__j")))
-    return pairs.where(hit & own).drop("__i", "__j")
+    out = pairs.where(hit & own).withColumn("__a", F.explode("a_rows")).withColumn("__b", F.explode("b_rows"))
+    back = lambda df, p: [F.col(c) if c in [f"{p}{k}" for k in corners] else F.col(f"__{p[0]}")[c].alias(c) for c in df.columns]
+    return out.select(*back(left, "a_"), *back(right, "b_"))
 
 
 def first_containing(points: DataFrame, boxes: DataFrame, key: str, order: str, size: float) -> DataFrame:
-    """First box (by ``order``) that contains each point; points without a box are kept."""
-    b = (boxes.withColumn("__i", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size))))
+    """First box (by ``order``) that contains each point; points without a box are kept.
+
+    Of equal boxes only the first is compared, and equal points are compared once.
+    """
+    corners = ["x0", "y0", "x1", "y1"]
+    b = (boxes.groupBy(*corners).agg(F.min(order).alias(order))
+         .withColumn("__i", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size))))
          .withColumn("__j", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size)))))
-    p = points.withColumns({"__i": F.floor(F.col("x") / size), "__j": F.floor(F.col("y") / size)})
+    p = points.select("x", "y").distinct().withColumns({"__i": F.floor(F.col("x") / size), "__j": F.floor(F.col("y") / size)})
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
-    hits = p.join(b, ["__i", "__j"]).where(inside)
-    best = hits.groupBy(key).agg(F.min(order).alias(order))
+    hits = met_in_cells(p, b, ["__i", "__j"], ["x", "y"]).where(inside).groupBy("x", "y").agg(F.min(order).alias(order))
+    best = points.select(key, "x", "y").join(hits, ["x", "y"]).groupBy(key).agg(F.min(order).alias(order))
     return points.join(best, key, "left")
 
 

@@ -340,6 +340,22 @@ def test_spectra_for_angles_are_not_clipped(spark):
     assert got[1] == pytest.approx(got[0], abs=1e-6) and got[2] == pytest.approx(got[0], abs=1e-6) and min(got[0]) < 0.8
 
 
+def test_equal_boxes_and_points_are_compared_once(spark):
+    box = lambda p, n, wide: spark.range(n).select(F.col("id").alias(f"{p}id"), (F.col("id") % 2 * 1.5).alias(f"{p}x0"), F.lit(0.0).alias(f"{p}y0"),
+                                                   (F.col("id") % 2 * 1.5 + wide).alias(f"{p}x1"), F.lit(5.0).alias(f"{p}y1"))
+    a, b = box("a_", 1500, 1.0), box("b_", 40, 2.0)
+    met = J.box_overlap(a, b, 4.0)
+    assert met.columns == [*a.columns, *b.columns]
+    got = {(r["a_id"], r["b_id"]) for r in met.collect()}
+    assert len(got) == met.count() and got == {(i, j) for i in range(1500) for j in range(40) if i % 2 or not j % 2}
+    points = spark.range(900).select((F.col("id") % 300).alias("id"), (F.col("id") % 5 + 0.5).alias("x"), F.lit(1.0).alias("y"))
+    found = {(r["id"], r["x"]): r["box"] for r in J.first_containing(points, b.selectExpr("b_id + 7 AS box", "b_x0 AS x0", "b_y0 AS y0", "b_x1 AS x1", "b_y1 AS y1"), "id", "box", 4.0).collect()}
+    assert found == {(k, k % 5 + 0.5): {0: 7, 1: 7, 2: 8, 3: 8}.get(k % 5) for k in range(300)}
+    hot = J.met_in_cells(box("a_", 10_000, 1.0).withColumn("c", F.col("a_id") < 0), b.withColumn("c", F.col("b_id") < 0), ["c"], ["a_id"])
+    shares = hot.select("a_id", F.spark_partition_id().alias("part")).distinct().groupBy("part").count().collect()
+    assert hot.count() == 10_000 * 40 and max(r["count"] for r in shares) < 6_000
+
+
 def test_polygon_pixels_are_never_broadcast(spark):
     ring = F.expr("array(struct(0d AS x, 0d AS y), struct(3d AS x, 0d AS y), struct(3d AS x, 3d AS y), struct(0d AS x, 3d AS y))")
     polygons = spark.range(3).select(F.col("id").alias("polygon_id"), F.lit("t").alias("tile_id"), ring.alias("ring"))
