@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -18,6 +20,7 @@ BLOCK = 59
 # ---- end of fixed values ----
 
 PATCHES = T.ArrayType(DOUBLES)
+ROWS_A_BATCH = 256  # patches that leave Python together
 
 
 def _col(c) -> Column:
@@ -54,8 +57,13 @@ def seam_profile(bands: int) -> np.ndarray:
     return out
 
 
-def _patch_list(patches: list[np.ndarray]) -> pa.Array:
-    return pa.array([p.tolist() for p in patches], type=pa.list_(pa.list_(pa.float64())))
+def _patch_list(patches: np.ndarray, present: np.ndarray | None = None) -> pa.Array:
+    """(present rows, cells, bands) as a list column without passing through Python numbers; absent rows are NULL."""
+    count, cells, bands = patches.shape
+    spectra = pa.ListArray.from_arrays(pa.array(np.arange(count * cells + 1) * bands, pa.int32()), pa.array(patches.reshape(-1)))
+    lengths = np.full(count, cells) if present is None else np.where(present, cells, 0)
+    missing = None if present is None or present.all() else pa.array(~present)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), spectra, mask=missing)
 
 
 def sensor_noise(patch, seed: Column, bands: int, size: int = 7) -> Column:
@@ -64,36 +72,48 @@ def sensor_noise(patch, seed: Column, bands: int, size: int = 7) -> Column:
 
     @F.arrow_udf(returnType=PATCHES)
     def kernel(column: pa.Array, seeds: pa.Array) -> pa.Array:
-        out = []
-        for cells, s in zip(column, np.asarray(seeds)):
+        out = np.empty((len(column), size * size, bands))
+        for at, s in enumerate(np.asarray(seeds)):
             rng = np.random.default_rng(int(s))
-            x = np.asarray(cells.as_py(), dtype=float).reshape(size, size, bands)
+            x = column[at].values.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(size, size, bands)
             x = x + rng.normal(0.0, SIGMA_GAUSS * scale, x.shape) + rng.normal(0.0, SIGMA_SPIKE * scale) * profile
-            x = x + rng.normal(0.0, SIGMA_COLUMN * scale, (1, size, bands))
-            out.append(x.reshape(size * size, bands))
+            out[at] = (x + rng.normal(0.0, SIGMA_COLUMN * scale, (1, size, bands))).reshape(size * size, bands)
         return _patch_list(out)
     return kernel(_col(patch), seed)
 
 
-def synthetic_patch(spectrum, seed: Column, size: int = 7) -> Column:
-    """One spectrum tiled to size x size with a common scale, band jitter and pixel noise, clipped."""
-    @F.arrow_udf(returnType=PATCHES)
+def with_synthetic_patch(rows: DataFrame, spectrum: str, seed: Column, size: int = 7) -> DataFrame:
+    """``rows`` with ``patch``: the spectrum tiled to size x size with a common scale, band jitter and pixel noise, clipped.
+
+    A patch is size^2 times its spectrum, so patches leave Python ROWS_A_BATCH at a time.
+    """
+    seeded = rows.withColumn("__seed", seed)
+    names = rows.columns
+    at, last = names.index(spectrum), len(names)
+
     def kernel(column: pa.Array, seeds: pa.Array) -> pa.Array:
         x, present = matrix(column)
-        out = []
-        for row, s in zip(x, np.asarray(seeds)[present]):
+        out = np.empty((len(x), size * size, x.shape[1]))
+        for i, s in enumerate(np.asarray(seeds)[present]):
             rng = np.random.default_rng(int(s))
-            base = row * rng.uniform(*SYNTH_SCALE) + rng.normal(0.0, SYNTH_JITTER, row.size)
-            out.append(np.clip(base + rng.normal(0.0, SYNTH_NOISE, (size * size, row.size)), 0.0, CLIP_MAX))
-        return _patch_list(out)
-    return kernel(_col(spectrum), seed)
+            base = x[i] * rng.uniform(*SYNTH_SCALE) + rng.normal(0.0, SYNTH_JITTER, x.shape[1])
+            out[i] = np.clip(base + rng.normal(0.0, SYNTH_NOISE, out.shape[1:]), 0.0, CLIP_MAX)
+        return _patch_list(out) if present.all() else _patch_list(out, present)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_A_BATCH):
+                part = batch.slice(start, ROWS_A_BATCH)
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], kernel(part.column(at), part.column(last))], names=[*names, "patch"])
+
+    return seeded.mapInArrow(made, T.StructType([*rows.schema.fields, T.StructField("patch", PATCHES)]))
 
 
 def synthetic_rows(library: DataFrame, name: str, spectrum: str, n: int, seed: int, tier: str) -> DataFrame:
     """``n`` synthetic plagioclase rows per library spectrum with their patches."""
     rows = library.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     tile = F.concat(F.lit("SYNTH_PLAG_"), F.regexp_replace(F.col(name), "[# ]", ""), F.lit("_"), F.col("copy").cast("string"))
-    return rows.select(tile.alias("tile_id"), F.lit(-1).cast("bigint").alias("polygon_id"), F.lit(-1).alias("pixel_row"), F.lit(-1).alias("pixel_col"),
+    made = rows.select(tile.alias("tile_id"), F.lit(-1).cast("bigint").alias("polygon_id"), F.lit(-1).alias("pixel_row"), F.lit(-1).alias("pixel_col"),
                        F.col(spectrum), *[F.lit(1.0 if c == "plagioclase" else 0.0).alias(c) for c in LABELS_RAW],
-                       F.lit(tier).alias("confidence_tier"), F.lit("train").alias("split"),
-                       synthetic_patch(spectrum, row_seed(seed, name, "copy")).alias("patch"))
+                       F.lit(tier).alias("confidence_tier"), F.lit("train").alias("split"), F.col(name).alias("__name"), "copy")
+    return with_synthetic_patch(made, spectrum, row_seed(seed, "__name", "copy")).drop("__name", "copy")

@@ -356,6 +356,27 @@ def test_equal_boxes_and_points_are_compared_once(spark):
     assert hot.count() == 10_000 * 40 and max(r["count"] for r in shares) < 6_000
 
 
+def test_synthetic_patches_leave_in_small_batches(spark):
+    pack = augment._patch_list
+    rows = spark.range(700).select(F.concat(F.lit("c"), "id").alias("name"), F.when(F.col("id") % 3 > 0, F.array(F.lit(0.1), F.lit(0.2))).alias("s")).coalesce(1)
+    out = augment.synthetic_rows(rows, "name", "s", 2, 9, "High")
+    again = augment.synthetic_rows(rows.repartition(3), "name", "s", 2, 9, "High")
+    assert "patch" in out.columns and "copy" not in out.columns
+    got = {r["tile_id"]: r["patch"] for r in out.select("tile_id", "patch").collect()}
+    assert got == {r["tile_id"]: r["patch"] for r in again.select("tile_id", "patch").collect()} and len(got) == 1400
+    assert sum(p is None for p in got.values()) == 2 * 234 and all(len(p) == 49 and len(p[0]) == 2 for p in got.values() if p)
+    assert pack(np.zeros((3, 4, 2)), np.array([True, False, True, True])).to_pylist() == [[[0.0] * 2] * 4, None, [[0.0] * 2] * 4, [[0.0] * 2] * 4]
+
+
+def test_written_pixels_are_not_shuffled(spark, sf_dir):
+    from bandweave.plans import source_plans
+    from bandweave.plans.tables import PIXELS, derive
+    path = source_plans.written(spark, sf_dir, "pixels")
+    rows, table = derive(spark, sf_dir, PIXELS), spark.read.parquet(path)
+    assert set(table.columns) == set(rows.columns) and table.select(*rows.columns).exceptAll(rows).isEmpty() and table.count() == rows.count()
+    assert len([f for f in table.inputFiles() if "split=train" in f]) == rows.rdd.getNumPartitions()
+
+
 def test_polygon_pixels_are_never_broadcast(spark):
     ring = F.expr("array(struct(0d AS x, 0d AS y), struct(3d AS x, 0d AS y), struct(3d AS x, 3d AS y), struct(0d AS x, 3d AS y))")
     polygons = spark.range(3).select(F.col("id").alias("polygon_id"), F.lit("t").alias("tile_id"), ring.alias("ring"))
