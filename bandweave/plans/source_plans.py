@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import aggregates as A, joins as J, review as R
 from ..operators.sampling import latest
+from ..operators.split import SPLITS
 from ..schema import LABELS_RAW
 from ..sources import log, scans as S, sinks as W
 from ..streaming import ledger as D
@@ -25,7 +26,8 @@ def written(spark, sf_dir: str, kind: str) -> str:
     path = W.scratch(spark, kind)
     p = derive(spark, sf_dir, PIXELS)
     if kind == "pixels":
-        p.repartition("tile_id").write.partitionBy("split").parquet(path)
+        for split in SPLITS:  # one folder at a time: rows are neither shuffled nor sorted
+            p.where(F.col("split") == split).drop("split").write.parquet(f"{path}/split={split}")
     elif kind == "review":
         p.where("review_path LIKE 'review_7cls%'").write.parquet(f"{path}/review_7cls_v3/confirmed")
         p.where("review_path NOT LIKE 'review_7cls%'").drop("alteration", "confidence_weight").write.parquet(f"{path}/review/confirmed")
