@@ -362,6 +362,12 @@ def test_line_dedup_matches_brute_force(spark, docs, edge, empty):
     assert line_dedup.drop_common_lines(empty).count() == 0
 
 
+def test_line_keys_lower_ascii_letters_alone(spark):
+    lines = [" Ab Z\t", "\u212a \u0130 A\u00c9", "\u00a0A", "", " \r", "[@A`{Z"]
+    got = [r["k"] for r in spark.createDataFrame([(x,) for x in lines], "x string").select(line_dedup.line_key(F.col("x")).alias("k")).collect()]
+    assert got == ["ab z", "\u212a \u0130 a\u00c9", "\u00a0a", "", "", "[@a`{z"]
+
+
 # ---- op6 ----
 
 def test_lpt_matches_a_plain_heap(docs, edge, empty):
