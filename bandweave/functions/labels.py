@@ -369,15 +369,26 @@ def truth_text(labels, names: list[str]) -> Column:
     return F.when(text == "", "(none)").otherwise(text)
 
 
+def read_number(token: Column) -> Column:
+    """``try_cast`` to double; what cannot begin a number, and 'nan', is told by pattern, since a failed cast is costly."""
+    number = F.when(token.rlike(r"^[\x00-\x20]*[+-]?(?i:nan|inf|[0-9.])"), token.try_cast("double"))
+    return F.when(F.lower(token) == "nan", F.lit(float("nan"))).otherwise(number)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_numbers(text, min_len: int = 6) -> Column:
     """Numbers in a text blob; fewer than ``min_len`` readable values give NULL."""
     cleaned = F.trim(F.regexp_replace(_col(text), r"[\[\],\s]+", " "))
-    values = F.filter(F.transform(F.split(cleaned, " "), lambda t: t.try_cast("double")), lambda x: x.isNotNull())
-    return F.when(F.size(values) >= min_len, values)
+    values = F.filter(F.transform(F.split(cleaned, " "), read_number), lambda x: x.isNotNull())
+    return bound(values, lambda v: F.when(F.size(v) >= min_len, v))
 
 
 def parse_slots(text) -> Column:
     """Comma-separated numbers with 'nan' kept as an empty slot; other junk is skipped."""
     inner = F.regexp_replace(_col(text), r"[\[\]\s]", "")
-    tokens = F.filter(F.split(inner, ","), lambda t: t.try_cast("double").isNotNull())
-    return F.transform(tokens, lambda t: F.when(~F.isnan(t.try_cast("double")), t.try_cast("double")))
+    numbers = F.filter(F.transform(F.split(inner, ","), read_number), lambda x: x.isNotNull())
+    return F.transform(numbers, lambda x: F.when(~F.isnan(x), x))

@@ -274,10 +274,9 @@ def parse_number_blobs(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
     text = F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", F.round(x.cast("double"), 4))), "  ")
     text = F.when(F.col("vec_id") % 4 == 0, F.lit("[0.1, 0.2 nonsense]")).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    v = L.parse_numbers(text)
-    return e.select("vec_id", F.size(v).cast("bigint").alias("n"),
-                    F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total")).withColumn(
-        "n", F.when(F.col("total").isNotNull(), F.col("n")))
+    found = L.bound(L.parse_numbers(text), lambda v: F.struct(
+        F.size(v).cast("bigint").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total")))
+    return e.select("vec_id", found.alias("found")).select("vec_id", F.when(F.col("found.total").isNotNull(), F.col("found.n")).alias("n"), "found.total")
 
 
 @query("parse_slots_text", """
@@ -286,11 +285,11 @@ def parse_slots_text(spark, sf_dir):
     l = load(spark, sf_dir, "lineitem")
     q = F.when(F.col("l_quantity") > 25, F.lit("nan")).otherwise(F.col("l_quantity").cast("string"))
     text = F.concat(F.lit("["), F.concat_ws(", ", F.col("l_discount").cast("string"), F.col("l_tax").cast("string"), F.lit("junk"), F.lit("0.5"), q), F.lit("]"))
-    v = L.parse_slots(text)
-    known = F.filter(v, lambda x: x.isNotNull())
-    return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.size(v).cast("bigint").alias("slots"),
-                    (F.size(v) - F.size(known)).cast("bigint").alias("missing"),
-                    F.round(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    found = L.bound(L.parse_slots(text), lambda v: L.bound(F.array_compact(v), lambda known: F.struct(
+        F.size(v).cast("bigint").alias("slots"), (F.size(v) - F.size(known)).cast("bigint").alias("missing"),
+        F.round(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return l.select(*key, found.alias("found")).select(*key, "found.slots", "found.missing", "found.total")
 
 
 @query("category_tier_text", POLY + """

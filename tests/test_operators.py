@@ -792,3 +792,16 @@ def test_grid_prediction_leaves_nodata_out(spark):
 def test_band_map_takes_the_first_band_on_a_tie(spark):
     df = spark.createDataFrame([("o", 0, 0.5), ("o", 1, 1.5), ("o", 2, 3.0), ("o", 3, None)], "o string, band int, wl double")
     assert [(r["target"], r["band"], r["residual"]) for r in J.band_map(df, ["o"], "band", "wl", [1.0, 2.5]).orderBy("target").collect()] == [(0, 0, 0.5), (1, 2, 0.5)]
+
+
+def test_odd_numbers_read_as_by_a_cast(spark):
+    odd = ["1", "-2.5", "+.5", "1e3", "1d", "2F", "0x1p3", "nan", "NaN", "NAN", "-NaN", "\x01nan", "inf", "-Infinity", "Infinity", "none", "nano", "i", "junk", "", "-", ".", "\x011", "1,", "١", None]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select("t", L.read_number(F.col("t")).alias("a"), F.col("t").try_cast("double").alias("b"))
+    assert got.where(~F.col("a").eqNullSafe(F.col("b"))).collect() == [] and got.where("a is not null").count() == 16
+
+
+def test_slots_are_parsed_once(spark, sf_dir):
+    from bandweave.plans import catalog
+    assert catalog.QUERIES["parse_slots_text"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    row = spark.createDataFrame([("[1, nan, x, NaN, 2 5]", "1 2 x 3"), (None, None)], "a string, b string").select(L.parse_slots("a").alias("a"), L.parse_numbers("b", 3).alias("b"), L.parse_numbers("b").alias("c"))
+    assert [tuple(r) for r in row.collect()] == [([1.0, None, None, 25.0], [1.0, 2.0, 3.0], None), (None, None, None)]
