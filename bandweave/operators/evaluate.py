@@ -27,15 +27,13 @@ def average_precision(df: DataFrame, keys: list[str]) -> DataFrame:
     """Step-sum average precision per key; keys without positives give 0.
 
     Ties share a step. Counts per distinct score come first, so the running totals
-    run over distinct scores and no class is gathered in one task.
+    run over distinct scores, no class is gathered in one task and the rows are read once.
     """
     pos = F.col("y") > POSITIVE
     steps = df.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("__n"), F.count_if(pos).alias("__p"))
     run = running_totals(steps, keys, ["score"], {"__cn": F.col("__n"), "__cp": F.col("__p")}, descending=True)
-    total = df.groupBy(*keys).agg(F.count_if(pos).alias("n_pos"), F.count(F.lit(1)).alias("n"))
-    both = null_safe_join(run, total, keys)
-    gain = F.when(F.col("n_pos") > 0, F.col("__p") / F.col("n_pos") * F.col("__cp") / F.col("__cn")).otherwise(0.0)
-    return both.groupBy(*keys).agg(F.sum(gain).alias("ap"), F.max("n_pos").alias("n_pos"), F.max("n").alias("n"))
+    sums = run.groupBy(*keys).agg(F.sum(F.col("__p") * F.col("__cp") / F.col("__cn")).alias("__gain"), F.max("__cp").alias("n_pos"), F.max("__cn").alias("n"))
+    return sums.select(*keys, F.when(F.col("n_pos") > 0, F.col("__gain") / F.col("n_pos")).otherwise(0.0).alias("ap"), "n_pos", "n")
 
 
 def mean_ap(ap: DataFrame, by: list[str], exclude: list[str] = ()) -> DataFrame:

@@ -204,8 +204,8 @@ def vectors(df: DataFrame, features: str, name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(features).cast("array<double>")))
 
 
-def class_pipeline(kind: str, inputs: list[str], label: str, seed: int, weight: str | None = None, **options) -> Pipeline:
-    """Median imputation, assembly and one binary classifier."""
+def classifier(kind: str, label: str, seed: int, weight: str | None = None, **options):
+    """One binary classifier over the column ``features``."""
     makers = {"logistic": lambda: LogisticRegression(maxIter=options.get("max_iter", 100), regParam=options.get("reg", 0.0)),
               "svc": lambda: LinearSVC(maxIter=options.get("max_iter", 50), regParam=options.get("reg", 0.0)),
               "forest": lambda: RandomForestClassifier(numTrees=options.get("trees", 50), maxDepth=options.get("depth", 8), seed=seed),
@@ -213,43 +213,58 @@ def class_pipeline(kind: str, inputs: list[str], label: str, seed: int, weight:
     if kind not in makers:
         raise ValueError(f"unknown model {kind!r}")
     model = makers[kind]().setLabelCol(label).setFeaturesCol("features").setPredictionCol("__prediction")
-    if weight:
-        model = model.setWeightCol(weight)
+    return model.setWeightCol(weight) if weight else model
+
+
+def fit_kinds(df: DataFrame, inputs: list[str], labels: list[str], kinds: dict[str, dict], seed: int = 0,
+              weight: str | None = None) -> dict[str, dict[str, PipelineModel | None]]:
+    """Per kind (with its options) one model per class; a class with a single value in the data is inert (None).
+
+    ``df`` is read once; medians are taken once and shared by all models as one first stage.
+    """
+    data = cut_lineage(df)
+    counts = data.agg(*[F.count_if(F.col(c) > POSITIVE).alias(c) for c in labels], F.count(F.lit(1)).alias("__n")).first()
+    live = [c for c in labels if counts[c] not in (0, counts["__n"])]
+    models: dict[str, dict[str, PipelineModel | None]] = {kind: dict.fromkeys(labels) for kind in kinds}
+    if not live:
+        return models
     filled = [f"{c}__f" for c in inputs]
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=inputs, outputCols=filled),
-                            VectorAssembler(inputCols=filled, outputCol="features"), model])
+    fill = Pipeline(stages=[Imputer(strategy="median", inputCols=inputs, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features")]).fit(data)
+    ready = fill.transform(data)
+    for kind, options in kinds.items():
+        for c in live:
+            flagged = ready.withColumn("__y", F.when(F.col(c) > POSITIVE, 1.0).otherwise(0.0))
+            models[kind][c] = PipelineModel([fill, classifier(kind, "__y", seed, weight, **options).fit(flagged)])
+    return models
 
 
 def fit_classes(df: DataFrame, inputs: list[str], labels: list[str], kind: str, seed: int = 0, weight: str | None = None,
                 **options) -> dict[str, PipelineModel | None]:
     """One model per class; a class with a single value in the data is inert (None)."""
-    counts = df.agg(*[F.count_if(F.col(c) > POSITIVE).alias(c) for c in labels], F.count(F.lit(1)).alias("__n")).first()
-    data = cut_lineage(df)
-    models: dict[str, PipelineModel | None] = {}
-    for c in labels:
-        if counts[c] in (0, counts["__n"]):
-            models[c] = None
-            continue
-        flagged = data.withColumn("__y", F.when(F.col(c) > POSITIVE, 1.0).otherwise(0.0))
-        models[c] = class_pipeline(kind, inputs, "__y", seed, weight, **options).fit(flagged)
-    return models
+    return fit_kinds(df, inputs, labels, {kind: options}, seed, weight)[kind]
 
 
 def predict_classes(df: DataFrame, models: dict[str, PipelineModel | None]) -> DataFrame:
-    """``p_<class>`` columns; an inert class scores 0, a margin model goes through the logistic curve."""
-    out, base = df, df.columns
+    """``p_<class>`` columns; an inert class scores 0, a margin model goes through the logistic curve.
+
+    A first stage that neighbouring models share is applied once for them.
+    """
+    out, base, fill = df, df.columns, None
     for c, model in models.items():
         if model is None:
             out = out.withColumn(f"p_{c}", F.lit(0.0))
         else:
-            scored = model.transform(out)
+            if model.stages[0] is not fill:
+                fill = model.stages[0]
+                out = fill.transform(out.select(*base))
+            scored = model.stages[1].transform(out)
             if "probability" in scored.columns:
                 p = vector_to_array("probability")[1]
             else:
                 p = F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array("rawPrediction")[1]))
-            out = scored.select(*base, p.alias(f"p_{c}"))
-        base = out.columns
-    return out
+            out = scored.select(*out.columns, p.alias(f"p_{c}"))
+        base = [*base, f"p_{c}"]
+    return out.select(*base)
 
 
 def predict_grid(grid: DataFrame, models: dict[str, PipelineModel | None], bands: list[str], nodata: float = 65535.0) -> DataFrame:

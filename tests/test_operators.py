@@ -805,3 +805,23 @@ def test_slots_are_parsed_once(spark, sf_dir):
     assert catalog.QUERIES["parse_slots_text"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     row = spark.createDataFrame([("[1, nan, x, NaN, 2 5]", "1 2 x 3"), (None, None)], "a string, b string").select(L.parse_slots("a").alias("a"), L.parse_numbers("b", 3).alias("b"), L.parse_numbers("b").alias("c"))
     assert [tuple(r) for r in row.collect()] == [([1.0, None, None, 25.0], [1.0, 2.0, 3.0], None), (None, None, None)]
+
+
+def test_kinds_share_their_preparation(spark):
+    train = spark.createDataFrame([(x / 10 if x % 9 else None, x / 10 - 2, float((x > 20) != (x % 7 == 0)), 0.0) for x in range(40)], "a double, b double, hot double, none double")
+    models = fitting.fit_kinds(train, ["a", "b"], ["hot", "none"], {"forest": {"trees": 3, "depth": 2}, "boosted": {"rounds": 2, "depth": 2}}, 1)
+    assert models["forest"]["hot"].stages[0] is models["boosted"]["hot"].stages[0] and models["forest"]["none"] is None
+    both = fitting.predict_classes(train, {"f": models["forest"]["hot"], "n": None, "b": models["boosted"]["hot"]})
+    assert both.columns == [*train.columns, "p_f", "p_n", "p_b"]
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("a__f") == fitting.predict_classes(train, {"f": models["forest"]["hot"]})._jdf.queryExecution().optimizedPlan().toString().count("a__f")
+    for kind, name in (("forest", "p_f"), ("boosted", "p_b")):
+        alone = fitting.fit_classes(train, ["a", "b"], ["hot"], kind, 1, **({"trees": 3, "depth": 2} if kind == "forest" else {"rounds": 2, "depth": 2}))
+        key = lambda r: (r["b"],)
+        assert [r["p_hot"] for r in sorted(fitting.predict_classes(train, alone).collect(), key=key)] == [r[name] for r in sorted(both.collect(), key=key)]
+
+
+def test_average_precision_reads_its_rows_once(spark):
+    rows = spark.range(40).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' WHEN id < 39 THEN 'b' END AS class", "CAST(id % 5 = 0 AND id % 2 = 0 AS DOUBLE) AS y", "(id % 8) / 8e0 AS score")
+    got = evaluate.average_precision(rows, ["class"])
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["class"]: (round(r["ap"], 9), r["n_pos"], r["n"]) for r in got.collect()} == {"a": (0.2, 4, 20), "b": (0.0, 0, 19), None: (0.0, 0, 1)}
