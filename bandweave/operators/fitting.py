@@ -7,6 +7,7 @@ import struct
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -220,7 +221,8 @@ def fit_kinds(df: DataFrame, inputs: list[str], labels: list[str], kinds: dict[s
               weight: str | None = None) -> dict[str, dict[str, PipelineModel | None]]:
     """Per kind (with its options) one model per class; a class with a single value in the data is inert (None).
 
-    ``df`` is read once; medians are taken once and shared by all models as one first stage.
+    ``df`` is read once; medians are taken once and shared by all models as one first stage, and rows are
+    filled and assembled once, on disk, which leaves the memory to the points that trees keep.
     """
     data = cut_lineage(df)
     counts = data.agg(*[F.count_if(F.col(c) > POSITIVE).alias(c) for c in labels], F.count(F.lit(1)).alias("__n")).first()
@@ -230,11 +232,12 @@ def fit_kinds(df: DataFrame, inputs: list[str], labels: list[str], kinds: dict[s
         return models
     filled = [f"{c}__f" for c in inputs]
     fill = Pipeline(stages=[Imputer(strategy="median", inputCols=inputs, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features")]).fit(data)
-    ready = fill.transform(data)
+    ready = fill.transform(data).select(*dict.fromkeys([*live, *([weight] if weight else [])]), "features").persist(StorageLevel.DISK_ONLY)
     for kind, options in kinds.items():
         for c in live:
             flagged = ready.withColumn("__y", F.when(F.col(c) > POSITIVE, 1.0).otherwise(0.0))
             models[kind][c] = PipelineModel([fill, classifier(kind, "__y", seed, weight, **options).fit(flagged)])
+    ready.unpersist()
     return models
 
 
