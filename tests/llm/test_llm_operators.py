@@ -590,6 +590,22 @@ def test_kneser_ney_matches_brute_force(spark, docs, edge, empty, order):
     assert len(ngram_lm.score(edge, ngram_lm.train(edge, order)).collect()) == 12
 
 
+def test_kneser_ney_segments_hold_exact_narrow_counts(tmp_path):
+    rows = np.array([[1, 5], [1, 6], [2, 5], [3, 9]], np.uint64)
+    for counts, kinds in (([1, 2, 3, 1], "BBBBB"), ([1, 2, 300, 1], "HHBBB"), ([1, 2, (1 << 24) + 1, (1 << 32) + 1], "QQBBB")):
+        counts = np.array(counts, np.uint64)
+        by = np.lexsort((rows[:, 1], ngram_lm.context_hash(rows[:, :1])))
+        stats, _ = ngram_lm.Writer(str(tmp_path), 2, False).segment(0, rows[by], counts[by])
+        assert stats["kinds"] == kinds
+        level = ngram_lm.Level([(stats["path"], stats["entries"], stats["contexts"], stats["kinds"], 0, (1 << 64) - 1)])
+        context = ngram_lm.context_hash(rows[:, :1])
+        order = np.argsort(keys := ngram_lm.entry_keys(context, rows[:, 1]))
+        assert ngram_lm.Lookup(level)(keys[order])[0][0].tolist() == counts[order].tolist()
+        order = np.argsort(context)
+        total = {1: 3, 2: counts[2], 3: counts[3]}
+        assert ngram_lm.Lookup(level, True)(context[order])[0][0].tolist() == [total[int(w)] for w in rows[order, 0]]
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = spark.createDataFrame([("a b a c a b",), ("b c b a",), ("c c a b d",)], "text string")
     model = ngram_lm.train(texts, 2)
