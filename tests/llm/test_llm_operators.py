@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bandweave.llm import (adaptive_scan, components, divergence, length_buckets, line_dedup, lpt_shards, near_dups, ngram_lm, phrase_mining, queries,
                            rans_files, separator_scan, simhash_trie, string_kernel, text as text_tools, token_mix, zone_clusters)
+from bandweave.llm.flatfiles import mapped
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -640,6 +641,42 @@ def test_writer_cuts_segments_and_merges(spark, docs, monkeypatch):
     assert all(abs(a[k] - b[k]) < 1e-5 * abs(a[k]) for k in a)
 
 
+def test_kneser_ney_packed_rows_come_back():
+    rng = np.random.default_rng(3)
+    for width, top in ((1, 1 << 63), (2, 40), (3, 12), (3, 1 << 31), (4, 5)):
+        rows = rng.integers(0, top, (3000, width)).astype(np.uint64)
+        rows[:50] = ngram_lm.START_ID
+        rows, counts = ngram_lm.combined(rows, rng.integers(1, 1 << 40, 3000).astype(np.uint64), 64 if width == 1 else 32)
+        assert (np.unique(rows, axis=0) == rows).all()
+        back, n = ngram_lm.unpacked(ngram_lm.packed(rows, counts), width)
+        assert (back == rows).all() and (n == counts).all()
+        back, n = ngram_lm.unpacked(ngram_lm.packed(rows[:1], counts[:1]), width)
+        assert (back == rows[:1]).all() and (n == counts[:1]).all()
+
+
+def test_kneser_ney_levels_stay_small(spark, sf_dir):
+    texts = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    model = ngram_lm.train(texts.where(~string_kernel.held_out(7)), 3)
+    for level, most in zip(model.levels, (9.5, 10, 14)):
+        assert sum(len(mapped(s[0])) for s in level.segments) < most * level.distinct
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+
+
+def test_kneser_ney_cuts_the_contexts_of_common_words(spark, monkeypatch):
+    rows = [" ".join(f"the w{(7 * d + k) % 900} of" for k in range(60)) for d in range(80)]
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(5)
+    whole = ngram_lm.train(texts, 3)
+    monkeypatch.setattr(ngram_lm, "SEGMENT", 500)
+    parts = ngram_lm.train(texts, 3)
+    assert max(s[1] for s in parts.levels[1].segments) < 300 < max(s[1] for s in whole.levels[1].segments)
+    assert [(x.distinct, x.total, x.coc) for x in whole.levels] == [(x.distinct, x.total, x.coc) for x in parts.levels]
+    a, b = ({r["doc_id"]: r["score"] for r in ngram_lm.score(texts, m).collect()} for m in (whole, parts))
+    want, _ = brute_kneser_ney([words(t) + ["</s>"] for t in rows], 3)
+    for k, t in enumerate(rows):
+        assert abs(a[k] - b[k]) < 1e-9 * abs(a[k]) and abs(a[k] - sum(math.log10(x) for x in want(words(t) + ["</s>"]))) < 1e-9 * abs(a[k])
+
+
 # ---- op9 ----
 
 def padding(lengths, bounds):
