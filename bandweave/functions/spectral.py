@@ -75,30 +75,38 @@ def upper_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hull_ratio(y: np.ndarray, x: np.ndarray, keep: list[int]) -> np.ndarray:
+def _hull_ratio(y: np.ndarray, x: np.ndarray, keep: list[int], floor: float | None = FLAT_LEVEL) -> np.ndarray:
     out = np.ones_like(y)
     part = y[:, keep]
-    finite = np.isfinite(part).all(axis=1)
-    usable = finite & (np.where(np.isfinite(part), part, -np.inf).max(axis=1, initial=-np.inf) > FLAT_LEVEL)
+    usable = np.isfinite(part).all(axis=1)
+    if floor is not None:
+        usable &= np.where(np.isfinite(part), part, -np.inf).max(axis=1, initial=-np.inf) > floor
     if usable.any():
         good = part[usable]
         hull = upper_hull(x[keep], good)
-        hull = np.where(hull <= FLAT_LEVEL, 1.0, hull)
+        if floor is not None:
+            hull = np.where(hull <= floor, 1.0, hull)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = good / hull
         block = out[usable]
-        block[:, keep] = np.clip(good / hull, 0.0, 1.0)
+        block[:, keep] = np.clip(np.where(np.isnan(ratio), 1.0, ratio), 0.0, 1.0)
         out[usable] = block
     return out
 
 
-def hull_removed(spectrum, wavelengths=None, keep=None) -> Column:
-    """Spectrum over its upper hull in [0, 1]; left-out bands and flat spectra give 1."""
+def hull_removed(spectrum, wavelengths=None, keep=None, floor: float | None = FLAT_LEVEL) -> Column:
+    """Spectrum over its upper hull in [0, 1]; left-out bands and flat spectra give 1.
+
+    A hull at or below ``floor`` counts as 1, as in the reference, so a faint end band becomes a deep one. None divides by
+    every hull, however low, and a band that is zero like its hull gives 1.
+    """
     x = np.asarray(wavelengths if wavelengths is not None else WAVELENGTHS_NM, dtype=float)
     bands = list(keep) if keep is not None else (good_bands() if wavelengths is None else list(range(len(x))))
 
     @F.arrow_udf(returnType=DOUBLES)
     def kernel(column: pa.Array) -> pa.Array:
         values, present = matrix(column)
-        return lists(_hull_ratio(values, x, bands) if values.size else values, present)
+        return lists(_hull_ratio(values, x, bands, floor) if values.size else values, present)
 
     return kernel(_col(spectrum))
 

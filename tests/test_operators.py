@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,23 @@ def test_continuum_edge_cases(spark):
     assert r[4]["h"] is None
 
 
+@pytest.mark.parametrize("name", ["hull_continuum"])
+def test_faint_bands_equal_the_check_sql(spark, tmp_path, name):
+    from bandweave.plans import catalog
+    from oracle_check import compare, connect
+    rows = np.random.default_rng(5).uniform(0.05, 0.5, (12, 64)).astype(np.float32)
+    rows[1, 0], rows[2, 63], rows[3, 1], rows[4, [0, 63]], rows[5, 0], rows[6] = 5e-7, 5e-7, 5e-7, 9e-7, 0.0, rows[6] * 1e-6
+    table = pa.table({"vec_id": pa.array(range(12), pa.int64()), "embedding": pa.array(rows.tolist(), pa.list_(pa.float32())), "label": pa.array([0] * 12, pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    assert compare(spark, connect(str(tmp_path)), str(tmp_path), name, catalog.QUERIES[name], catalog.ORACLES[name]).startswith("ok")
+
+
+def test_hull_floor_is_that_of_the_reference(spark):
+    df = spark.createDataFrame([(0, [5e-7, 0.2, 0.4]), (1, [0.0, 0.0, 0.0])], "id int, s array<double>")
+    got = {r["id"]: (r["a"], r["b"]) for r in df.select("id", S.hull_removed("s", [1.0, 2.0, 3.0]).alias("a"), S.hull_removed("s", [1.0, 2.0, 3.0], floor=None).alias("b")).collect()}
+    assert got[0][0][0] == 5e-7 and got[0][1][0] == 1.0 and got[1] == ([1.0] * 3, [1.0] * 3)
+
+
 def test_angle_rules(spark):
     nan = float("nan")
     df = spark.createDataFrame([(0, [1.0, 0.0], [1.0, 0.0]), (1, [1.0, 0.0], [0.0, 2.0]), (2, [1.0, 1.0], [-1.0, -1.0]), (3, [0.0, 0.0], [1.0, 1.0]),
