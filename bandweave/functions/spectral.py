@@ -211,8 +211,11 @@ def take_bands(spectrum, keep: list[int]) -> Column:
     return F.array(*[s[i] for i in keep])
 
 
-def linear_removed(spectrum, wavelengths=None, keep=None) -> Column:
-    """Spectrum over its least-squares straight line, clipped to [0, 2]."""
+def linear_removed(spectrum, wavelengths=None, keep=None, floor: float | None = FLAT_LEVEL) -> Column:
+    """Spectrum over its least-squares straight line, clipped to [0, 2].
+
+    Flat spectra give 1 and a line nearer to zero than ``floor`` counts as 1, as in the reference. None divides by every line.
+    """
     x = list(wavelengths if wavelengths is not None else WAVELENGTHS_NM)
     bands = list(keep) if keep is not None else (good_bands() if wavelengths is None else list(range(len(x))))
     n, mean_x = float(len(bands)), sum(x[i] for i in bands) / len(bands)
@@ -222,14 +225,18 @@ def linear_removed(spectrum, wavelengths=None, keep=None) -> Column:
     slope = reduce(lambda a, b: a + b, [s[i].cast("double") * F.lit(x[i] - mean_x) for i in bands]) / F.lit(sxx)
     peak = F.greatest(*[F.abs(s[i].cast("double")) for i in bands])
     finite = reduce(lambda a, b: a & b, [s[i].isNotNull() & ~F.isnan(s[i]) for i in bands])
-    fit = F.struct(mean_y.alias("m"), slope.alias("b"), (finite & (peak > FLAT_LEVEL)).alias("ok"))
+    usable = finite if floor is None else finite & (peak > floor)
+    fit = F.struct(mean_y.alias("m"), slope.alias("b"), usable.alias("ok"))
     offsets = F.array(*[F.lit(float(x[i] - mean_x)) if i in set(bands) else F.lit(None).cast("double") for i in range(len(x))])
 
     def one(f):
         def band(y, dx):
             line = f["m"] + f["b"] * dx
-            line = F.when(F.abs(line) < FLAT_LEVEL, 1.0).otherwise(line)
-            ratio = F.least(F.greatest(y.cast("double") / line, F.lit(LINEAR_CLIP[0])), F.lit(LINEAR_CLIP[1]))
+            if floor is None:
+                ratio = F.coalesce(y.cast("double") / F.nullif(line, F.lit(0.0)), F.when(y < 0, LINEAR_CLIP[0]).otherwise(LINEAR_CLIP[1]))
+            else:
+                ratio = y.cast("double") / F.when(F.abs(line) < floor, 1.0).otherwise(line)
+            ratio = F.least(F.greatest(ratio, F.lit(LINEAR_CLIP[0])), F.lit(LINEAR_CLIP[1]))
             return F.when(dx.isNull() | ~F.coalesce(f["ok"], F.lit(False)), 1.0).otherwise(ratio)
         return F.zip_with(s, offsets, band)
 
