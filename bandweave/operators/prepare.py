@@ -50,13 +50,13 @@ def ready_for_angles(df: DataFrame, spectrum: str, wavelengths: list[float] | No
 
 
 def continuum_patches(centres: DataFrame, grid: DataFrame, spectrum: str, bands: int, size: int = 7,
-                      wavelengths: list[float] | None = None, keep: list[int] | None = None) -> DataFrame:
+                      wavelengths: list[float] | None = None, keep: list[int] | None = None, floor: float | None = S.FLAT_LEVEL) -> DataFrame:
     """Patches of hull-removed spectra and the ``brightness`` of their centre.
 
     Every grid cell meets its hull once, before the patches are cut, not once for each patch that
     holds it. Cells outside the tile are flat and therefore 1.
     """
     place = ["tile_id", "pixel_row", "pixel_col"]
-    removed = grid.select(*place, S.hull_removed(spectrum, wavelengths, keep).alias("__cr"))
+    removed = grid.select(*place, S.hull_removed(spectrum, wavelengths, keep, floor).alias("__cr"))
     bright = grid.select(*place, S.brightness(spectrum, keep).alias("brightness"))
     return patches(centres, removed, "__cr", bands, size, outside=1.0).join(bright, place, "left")
