@@ -42,10 +42,11 @@ def class_centroids(df: DataFrame, labels: list[str], row_key: list[str], bands:
     return taken.groupBy("class").agg(mean_spectrum(embedding, bands).alias("centroid"), F.count(F.lit(1)).alias("n_pixels"))
 
 
-def ready_for_angles(df: DataFrame, spectrum: str, wavelengths: list[float] | None = None, keep: list[int] | None = None) -> DataFrame:
+def ready_for_angles(df: DataFrame, spectrum: str, wavelengths: list[float] | None = None, keep: list[int] | None = None,
+                     floor: float | None = S.FLAT_LEVEL) -> DataFrame:
     """Complete spectra only: nodata masked, hull removed, good bands kept. Values are never clipped: clipping bends a spectrum."""
     clean = df.withColumn(spectrum, M.sanitize(spectrum, phys_max=None, clip=None, fill=None)).where(~F.exists(spectrum, lambda x: x.isNull()))
-    removed = clean.withColumn(spectrum, S.hull_removed(spectrum, wavelengths, keep))
+    removed = clean.withColumn(spectrum, S.hull_removed(spectrum, wavelengths, keep, floor))
     return removed.withColumn(spectrum, S.take_bands(spectrum, keep if keep is not None else S.good_bands()))
 
 
