@@ -111,11 +111,11 @@ def hull_removed(spectrum, wavelengths=None, keep=None, floor: float | None = FL
     return kernel(_col(spectrum))
 
 
-def band_depth_mean(spectrum, wavelengths=None, keep=None) -> Column:
+def band_depth_mean(spectrum, wavelengths=None, keep=None, floor: float | None = FLAT_LEVEL) -> Column:
     """1 - mean hull-removed value over the good bands, the first band left out of the fit."""
     bands = list(keep) if keep is not None else good_bands()
     fit = [b for b in bands if b != 0]
-    cr = hull_removed(spectrum, wavelengths, fit)
+    cr = hull_removed(spectrum, wavelengths, fit, floor)
     return F.lit(1.0) - mean_at(cr, bands)
 
 

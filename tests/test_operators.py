@@ -164,7 +164,7 @@ def test_continuum_edge_cases(spark):
     assert r[4]["h"] is None
 
 
-@pytest.mark.parametrize("name", ["hull_continuum", "dual_continuum", "linear_continuum", "patch_continuum", "ready_for_angles"])
+@pytest.mark.parametrize("name", ["hull_continuum", "dual_continuum", "linear_continuum", "patch_continuum", "ready_for_angles", "mean_band_depth"])
 def test_faint_bands_equal_the_check_sql(spark, tmp_path, name):
     from bandweave.plans import catalog
     from oracle_check import compare, connect
