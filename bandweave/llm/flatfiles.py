@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import mmap
 import os
 import re
+import sys
 import tempfile
 import uuid
 
 import numpy as np
 from pyarrow import fs
 
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
     """File system and plain path of a URI or an absolute path."""
@@ -36,17 +40,24 @@ def read_range(path: str, start: int, size: int) -> bytes:
         return file.read_at(size, start)
 
 
+def mapped_local(path: str) -> np.ndarray:
+    if not os.path.getsize(path):
+        return np.zeros(0, np.uint8)
+    with open(path, "rb") as file:
+        return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED), np.uint8)
+
+
 def mapped(path: str) -> np.ndarray:
-    """The file's bytes, memory-mapped. A file of a remote store is copied to the worker's temporary folder
-    first and unlinked once mapped, so nothing stays behind."""
+    """The file's bytes, memory-mapped; no file stays open (from Python 3.13 on). A file of a remote store is copied to the
+    worker's temporary folder first and unlinked once mapped, so nothing stays behind."""
     system, plain = store(path)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(plain, np.uint8, "r") if os.path.getsize(plain) else np.zeros(0, np.uint8)
+        return mapped_local(plain)
     with tempfile.NamedTemporaryFile() as copy, system.open_input_stream(plain) as source:
         while chunk := source.read(8 << 20):
             copy.write(chunk)
         copy.flush()
-        return np.memmap(copy.name, np.uint8, "r") if os.path.getsize(copy.name) else np.zeros(0, np.uint8)
+        return mapped_local(copy.name)
 
 
 def columns(raw: np.ndarray, count: int, kinds: list[type]) -> list[np.ndarray]:

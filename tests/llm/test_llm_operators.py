@@ -3,7 +3,9 @@
 import hashlib
 import heapq
 import math
+import os
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bandweave.llm import (adaptive_scan, components, divergence, length_buckets, line_dedup, lpt_shards, near_dups, ngram_lm, phrase_mining, queries,
                            rans_files, separator_scan, simhash_trie, string_kernel, text as text_tools, token_mix, zone_clusters)
-from bandweave.llm.flatfiles import mapped
+from bandweave.llm.flatfiles import mapped, write_flat
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -677,6 +679,31 @@ def test_kneser_ney_cuts_the_contexts_of_common_words(spark, monkeypatch):
         assert abs(a[k] - b[k]) < 1e-9 * abs(a[k]) and abs(a[k] - sum(math.log10(x) for x in want(words(t) + ["</s>"]))) < 1e-9 * abs(a[k])
 
 
+def test_kneser_ney_files_grow_with_the_tokens(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    share = 1 / np.arange(1, 201)
+    rows = [(k, " ".join(f"w{x}" for x in rng.choice(200, 200, p=share / share.sum()))) for k in range(120)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = ngram_lm.train(texts, 3)
+    monkeypatch.setattr(ngram_lm, "SEGMENT", 100)
+    parts = ngram_lm.train(texts, 3)
+    shards = 1 << parts.deal.bits
+    assert parts.deal.parts.max() > 20 and whole.levels[2].apart == []
+    assert all(len(x.segments) <= shards and len(x.apart) <= shards for x in parts.levels) and parts.levels[1].apart and parts.levels[2].apart
+    assert max(s[1] for x in parts.levels for s in [*x.segments, *x.apart]) < 300
+    assert [(x.distinct, x.total, x.coc) for x in whole.levels] == [(x.distinct, x.total, x.coc) for x in parts.levels]
+    a, b = ({r["doc_id"]: r["score"] for r in ngram_lm.score(texts, m).collect()} for m in (whole, parts))
+    assert all(abs(a[k] - b[k]) < 1e-9 * abs(a[k]) for k in a)
+
+
+@pytest.mark.skipif(sys.version_info < (3, 13), reason="mappings hold their file open")
+def test_mapped_files_are_closed(tmp_path):
+    paths = [write_flat(str(tmp_path), [np.arange(k + 1)]) for k in range(50)]
+    before = len(os.listdir("/proc/self/fd"))
+    held = [mapped(p) for p in paths]
+    assert len(os.listdir("/proc/self/fd")) == before and all((x.view(np.int64) == np.arange(k + 1)).all() for k, x in enumerate(held))
+
+
 # ---- op9 ----
 
 def padding(lengths, bounds):
