@@ -853,3 +853,27 @@ def test_fits_leave_no_rows_behind(spark):
         models = fitting.fit_kinds(train, ["a"], ["hot"], {"logistic": {"max_iter": 3}, "boosted": {"rounds": 2}}, 1, weight)
         assert models["boosted"]["hot"] is not None and models["logistic"]["hot"] is not None
     assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+
+
+def test_cells_of_one_component_visit_no_block(spark, monkeypatch):
+    met = []
+    original = graph._with_bounds
+    monkeypatch.setattr(graph, "_with_bounds", lambda pairs, *rest: met.append(cut_lineage(pairs)) or original(met[-1], *rest))
+    points = spark.range(6000).selectExpr("id", "(id % 60) * 0.05 AS lat", "CAST(id / 60 AS INT) * 0.05 AS lon")
+    links = graph.distance_links(points, "id", 0.25)
+    assert [r["component"] for r in graph.connected_components(points, links).select("component").distinct().collect()] == [0]
+    occupied = graph._cells(points, *graph._grid(0.25)).selectExpr("i >> 16 AS i", "j >> 16 AS j").distinct().count()
+    assert met[0].count() <= 4 * occupied and met[1].count() == 0
+
+
+def test_only_labels_of_mined_tiles_are_compared(spark, monkeypatch):
+    from bandweave.operators import mining
+    seen = []
+    original = mining.suppress
+    monkeypatch.setattr(mining, "suppress", lambda df, touched: seen.append({r["tile_id"] for r in touched.collect()}) or original(df, touched))
+    base = spark.createDataFrame([(f"t{k % 5}", k % 3, k, 0, 0.5, float(k % 2), "High", 0.5, "train") for k in range(20)],
+                                 "tile_id string, polygon_id long, pixel_row long, pixel_col long, band_00 double, other double, confidence_tier string, confidence_weight double, split string")
+    mined = spark.createDataFrame([("t1", 1, 0, 0.1), ("t1", 99, 0, 0.2), ("t9", 2, 0, 0.3)], "tile_id string, pixel_row long, pixel_col long, band_00 double")
+    out = mining.merge_negatives(base, mined, "other")
+    new = out.where("split IS NULL").select("tile_id", "pixel_row", "polygon_id").collect()
+    assert seen == [{"t1"}] and out.count() == 22 and sorted(map(tuple, new)) == [("t1", 99, 3), ("t9", 2, 4)]
