@@ -150,13 +150,22 @@ def steady_mean(x: Column) -> Column:
     return F.when(F.count(exact) == F.count(x), F.sum(exact).cast("double") / F.nullif(F.count(x), F.lit(0))).otherwise(F.avg(x))
 
 
-def polygon_report(polygons: DataFrame, scores: DataFrame, key: str, vocab: list[str], probs: str, minerals: str) -> DataFrame:
+def polygon_report(polygons: DataFrame, scores: DataFrame, key: str, vocab: list[str], probs: str, minerals: str,
+                   order: list[str] | None = None) -> DataFrame:
     """Mean scores per polygon, its argmax and whether it hits any named mineral.
 
     Means come from sums in decimals of 12 places, so classes with equal means tie in whatever order rows are added, and
-    the first of ``vocab`` wins. Polygons without scored pixels stay, with no prediction.
+    the first of ``vocab`` wins. With ``order`` (columns that number the rows) the rounding of doubles added in that order
+    decides such ties, as in a plain sum over the table; only rows of tied polygons are sorted. Polygons without scored
+    pixels stay, with no prediction.
     """
     mean = scores.groupBy(key).agg(F.array(*[steady_mean(F.col(probs)[i]) for i in range(len(vocab))]).alias("__m"), F.count(F.lit(1)).alias("n_pixels"))
+    if order:
+        mean = cut_lineage(mean)
+        tied = cut_lineage(mean.where(F.size(F.filter("__m", lambda m: m == F.array_max("__m"))) > 1).select(key))
+        rows = scores.join(tied, key, "left_semi").repartition(key).sortWithinPartitions(key, *order)
+        added = rows.groupBy(key).agg(F.array(*[F.avg(F.col(probs)[i]) for i in range(len(vocab))]).alias("__added"))
+        mean = mean.join(added, key, "left").withColumn("__m", F.coalesce("__added", "__m"))
     joined = polygons.join(mean, key, "left")
     predicted = F.when(F.col("__m").isNotNull(), argmax_name(F.col("__m"), vocab))
     return joined.select(*polygons.columns, F.coalesce("n_pixels", F.lit(0)).alias("n_pixels"), F.coalesce(predicted, F.lit("NONE")).alias("predicted_class"),

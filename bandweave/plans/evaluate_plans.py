@@ -197,8 +197,9 @@ x AS (SELECT k.*, m.n, CASE WHEN p0 IS NULL THEN 'NONE' WHEN p0 = greatest(p0, p
 SELECT polygon_id, CAST(coalesce(n, 0) AS BIGINT) AS n_pixels, predicted_class, CASE WHEN predicted_class <> 'NONE' THEN contains(c, predicted_class) END AS correct FROM x""")
 def polygon_report(spark, sf_dir):
     polygons = derive(spark, sf_dir, POLYGONS).select("polygon_id", L.keyword_minerals("Category").alias("minerals"))
-    s = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("polygon_id"), F.array(F.col("l_discount") * 10.0, F.col("l_tax") * 12.0, F.col("l_quantity") / 50.0).alias("probs"))
-    out = V.polygon_report(polygons, s, "polygon_id", ["olivine", "lcp", "hcp"], "probs", "minerals")
+    s = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("polygon_id"), F.array(F.col("l_discount") * 10.0, F.col("l_tax") * 12.0, F.col("l_quantity") / 50.0).alias("probs"),
+                                                F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    out = V.polygon_report(polygons, s, "polygon_id", ["olivine", "lcp", "hcp"], "probs", "minerals", ["file", "row"])
     return out.select("polygon_id", "n_pixels", "predicted_class", "correct")
 
 

@@ -877,3 +877,19 @@ def test_only_labels_of_mined_tiles_are_compared(spark, monkeypatch):
     out = mining.merge_negatives(base, mined, "other")
     new = out.where("split IS NULL").select("tile_id", "pixel_row", "polygon_id").collect()
     assert seen == [{"t1"}] and out.count() == 22 and sorted(map(tuple, new)) == [("t1", 99, 3), ("t9", 2, 4)]
+
+
+def test_equal_polygon_means_follow_the_given_order_of_rows(spark):
+    polygons = spark.createDataFrame([(k, ["a"]) for k in range(7)], "polygon_id long, minerals array<string>")
+    orders, rows, want = [[0.1, 0.2, 0.3], [0.3, 0.2, 0.1], [0.2, 0.3, 0.1]], [], {6: "b"}
+    for k in range(6):
+        values = [[[0.2, p], [p, 0.2]][k // 3] for p in orders[k % 3]]
+        rows += [(k, p, 10 * k + at) for at, p in enumerate(values)]
+        a, b = ((p[0][i] + p[1][i] + p[2][i]) / 3 for p in [values] for i in (0, 1))
+        want[k] = "a" if a >= b else "b"
+    rows.append((6, [0.1, 0.3], 0))
+    assert {want[k] for k in range(6)} == {"a", "b"}
+    random.Random(2).shuffle(rows)
+    scores = spark.createDataFrame(rows, "polygon_id long, probs array<double>, row long").repartition(5)
+    out = evaluate.polygon_report(polygons, scores, "polygon_id", ["a", "b"], "probs", "minerals", ["row"])
+    assert {r["polygon_id"]: r["predicted_class"] for r in out.collect()} == want
